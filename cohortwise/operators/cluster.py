@@ -6,22 +6,26 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.operators.grid import active_bins, activity_vector, count_bits, is_active, word_names
+from cohortwise.operators.grid import activity_vector, count_bits, is_active, word_names
 from cohortwise.sources.durable import durable
 
 
-def rule_clusters(words: DataFrame, bins: int, minimum: Sequence[int]) -> DataFrame:
-    """``(p_id, cluster, engaged)``: C1 from ``minimum[0]`` engaged bins on, C2 from ``minimum[1]``, ..., the rest last."""
-    engaged = count_bits(word_names(bins))
+def rule_label(engaged: Column, minimum: Sequence[int]) -> Column:
+    """C1 from ``minimum[0]`` engaged bins on, C2 from ``minimum[1]``, ..., the rest last."""
     label = None
     for index, least in enumerate(minimum):
         test = engaged >= F.lit(least)
         label = F.when(test, F.lit(f"C{index + 1}")) if label is None else label.when(test, F.lit(f"C{index + 1}"))
-    last = F.lit(f"C{len(minimum) + 1}")
-    return words.select("p_id", label.otherwise(last).alias("cluster"), engaged.alias("engaged"))
+    return label.otherwise(F.lit(f"C{len(minimum) + 1}"))
+
+
+def rule_clusters(words: DataFrame, bins: int, minimum: Sequence[int]) -> DataFrame:
+    """``(p_id, cluster, engaged)`` by the number of engaged bins."""
+    engaged = count_bits(word_names(bins))
+    return words.select("p_id", rule_label(engaged, minimum).alias("cluster"), engaged.alias("engaged"))
 
 
 def activity_patterns(words: DataFrame, bins: int) -> DataFrame:
@@ -74,28 +78,25 @@ def wss_curve(words: DataFrame, bins: int, k_max: int = 10, seed: int = 1, start
     return first.unionByName(rest)
 
 
-def cluster_bin_rate(words: DataFrame, clusters: DataFrame, bins: int) -> DataFrame:
-    """Share of a cluster's participants active in each bin: ``(cluster, bin, n, active_rate)``.
+def bin_rate(members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Share of a cluster's participants active in each bin: ``(keys, bin, n, active_rate)``.
 
-    Only set bits are unfolded; bins without activity come from the list of clusters.
+    ``members`` has one row per participant with the list ``active`` of active
+    bins and the number ``bins`` of all bins. A bin 0 stands for the participant
+    as such, so that sizes and hits come out of one aggregate; bins nobody was
+    active in are filled from the per-cluster map, which holds at most ``bins`` entries.
     """
-    labelled = words.join(clusters.select("p_id", "cluster"), "p_id")
-    sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    hits = active_bins(labelled, bins, ["cluster"]).groupBy("cluster", "bin").agg(F.count(F.lit(1)).alias("hits"))
-    frame = sizes.select("cluster", "n", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    joined = frame.join(hits, ["cluster", "bin"], "left")
-    return joined.select("cluster", "bin", "n", (F.coalesce("hits", F.lit(0)) / F.col("n")).alias("active_rate"))
+    marks = F.explode(F.concat(F.array(F.lit(0)), F.col("active"))).alias("bin")
+    hits = members.select(*keys, "bins", marks).groupBy(*keys, "bins", "bin").agg(F.count(F.lit(1)).alias("hits"))
+    per_cluster = hits.groupBy(*keys, "bins").agg(
+        F.max(F.when(F.col("bin") == 0, F.col("hits"))).alias("n"),
+        F.map_from_entries(F.collect_list(F.struct("bin", "hits"))).alias("by_bin"),
+    )
+    dense = per_cluster.select(*keys, "n", "by_bin", F.explode(F.sequence(F.lit(1), F.col("bins"))).alias("bin"))
+    rate = F.coalesce(F.try_element_at("by_bin", F.col("bin")), F.lit(0)) / F.col("n")
+    return dense.select(*keys, "bin", "n", rate.alias("active_rate"))
 
 
 def tag_cluster(profile: DataFrame, cluster: str, suffix: str) -> DataFrame:
     """One cluster's rows with the data stream added to the cluster name."""
     return profile.filter(F.col("cluster") == cluster).withColumn("cluster", F.lit(f"{cluster}_{suffix}"))
-
-
-def stack_streams(profiles: dict[str, DataFrame], columns: Sequence[str]) -> DataFrame:
-    """Row union of per-stream profiles with the stream's label in ``cat``."""
-    stacked = None
-    for label, profile in profiles.items():
-        part = profile.select(*columns).withColumn("cat", F.lit(label))
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked

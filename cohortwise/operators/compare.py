@@ -11,23 +11,24 @@ from cohortwise.functions.nulls import null_safe_join
 from cohortwise.functions.pvalues import chi_square_p
 from cohortwise.operators.describe import melt
 from cohortwise.operators.ranks import quantile_column, rank_sums, running_counts, value_counts
+from cohortwise.sources.durable import durable
 
 
 def table_one_continuous(df: DataFrame, columns: Sequence[str], stratum: str | None) -> DataFrame:
     """Median and quartiles per variable and stratum with the number of known and missing values."""
     strata = F.lit("Overall") if stratum is None else F.col(stratum).cast("string")
     long = melt(df.withColumn("stratum", strata), ["stratum"], columns)
-    return quantile_table(value_counts(long.filter(F.col("stratum").isNotNull()), ["variable", "stratum"]))
+    return quantile_table(durable(value_counts(long.filter(F.col("stratum").isNotNull()), ["variable", "stratum"])))
 
 
 def quantile_table(counts: DataFrame) -> DataFrame:
-    """The same from value counts ``(variable, stratum, value, n)`` in which nulls are counted."""
+    """The same from pinned value counts ``(variable, stratum, value, n)`` in which nulls are counted."""
     keys = ["variable", "stratum"]
     missing = counts.groupBy(*keys).agg(
         F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("n"),
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
     )
-    ranked = running_counts(counts.filter(F.col("value").isNotNull()), keys, bucket_by="variable")
+    ranked = running_counts(counts.filter(F.col("value").isNotNull()), keys, bucket_by="variable", pinned=True)
     spread = ranked.groupBy(*keys).agg(
         *[quantile_column(p).alias(name) for name, p in {"q1": 0.25, "median": 0.5, "q3": 0.75}.items()]
     )
@@ -47,12 +48,12 @@ def table_one_categorical(df: DataFrame, columns: Sequence[str], stratum: str |
 def kruskal_wallis(df: DataFrame, columns: Sequence[str], group: str, with_p: bool = True) -> DataFrame:
     """Kruskal-Wallis H with tie correction per column; rows with a missing value or group are left out."""
     long = melt(df.filter(F.col(group).isNotNull()), [group], columns).filter(F.col("value").isNotNull())
-    return kruskal_from_counts(value_counts(long, ["variable", group]), group, with_p)
+    return kruskal_from_counts(durable(value_counts(long, ["variable", group])), group, with_p)
 
 
 def kruskal_from_counts(counts: DataFrame, group: str, with_p: bool = True) -> DataFrame:
-    """The same from value counts ``(variable, group, value, n)``; ``h`` is null when all values tie."""
-    sums = rank_sums(counts, "variable", group)
+    """The same from pinned value counts ``(variable, group, value, n)``; ``h`` is null when all values tie."""
+    sums = rank_sums(counts, "variable", group, pinned=True)
     total = F.max("total").cast("double")
     between = F.lit(12.0) * F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n"))
     raw = between / (total * (total + 1)) - F.lit(3.0) * (total + 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions.nulls import null_safe_join
 from cohortwise.operators.ranks import order_statistic, quantile_column, quantiles, running_counts, value_counts
+from cohortwise.sources.durable import durable
 
 
 def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], as_type: str = "double") -> DataFrame:
@@ -21,16 +22,29 @@ def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], as_type: str
 def quantile_grid(df: DataFrame, key: str, step: float, value: str = "value") -> DataFrame:
     """Type-7 quantiles at 0, step, ..., 1 per key in long form; ``quantile`` is in percent.
 
-    For values with a bounded domain (whole days).
+    For values with a bounded domain (whole days). Each value row emits the grid
+    points whose lower or upper order statistic it is, so the work follows the
+    number of different values plus the number of grid points.
     """
     points = round(1 / step)
     counts = value_counts(df, [key], value).filter(F.col("value").isNotNull())
     ranked = running_counts(counts, [key], bounded=True)
-    cells = [
-        F.struct(F.lit(100.0 * i / points).alias("quantile"), quantile_column(i / points).cast("double").alias("value"))
-        for i in range(points + 1)
-    ]
-    return ranked.groupBy(key).agg(F.array(*cells).alias("cells")).select(key, F.inline("cells"))
+
+    def rank(point: Column) -> Column:
+        return (F.col("total") - F.lit(1)) * point / F.lit(float(points))
+
+    def holds(position: Column) -> Column:
+        return (F.col("upto") - F.col("n") <= position) & (position < F.col("upto"))
+
+    grid = F.sequence(F.lit(0), F.lit(points))
+    hits = F.filter(grid, lambda i: holds(F.floor(rank(i))) | holds(F.ceil(rank(i))))
+    cells = ranked.withColumn("point", F.explode(hits))
+    number = F.col("value").cast("double")
+    low = F.max(F.when(holds(F.floor(rank(F.col("point")))), number))
+    high = F.max(F.when(holds(F.ceil(rank(F.col("point")))), number))
+    weight = F.max(rank(F.col("point")) - F.floor(rank(F.col("point"))))
+    result = cells.groupBy(key, "point").agg((low + (high - low) * weight).alias("value"))
+    return result.select(key, (F.col("point") * F.lit(100.0 / points)).alias("quantile"), "value")
 
 
 def histogram_counts(df: DataFrame, column: str, breaks: Sequence[float]) -> DataFrame:
@@ -75,8 +89,8 @@ def density_grid(df: DataFrame, key: str, value: str = "value", points: int = 51
 
 def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Quartiles and whiskers (last value within 1.5 IQR of the box) per key, nulls ignored."""
-    counts = value_counts(df, keys, value).filter(F.col("value").isNotNull())
-    boxes = quantiles(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    counts = durable(value_counts(df, keys, value).filter(F.col("value").isNotNull()))
+    boxes = quantiles(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, bucket_by=keys[0] if keys else None, pinned=True)
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
     joined = null_safe_join(counts, boxes, keys)
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
@@ -98,8 +112,8 @@ def _between_neighbours(position: Column) -> Column:
 
 def whisker_limits(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Whisker ends by five-number hinges: extreme data within 1.5 hinge spreads of the hinges."""
-    counts = value_counts(df, keys, value).filter(F.col("value").isNotNull())
-    ranked = running_counts(counts, keys, bucket_by=keys[0] if keys else None)
+    counts = durable(value_counts(df, keys, value).filter(F.col("value").isNotNull()))
+    ranked = running_counts(counts, keys, bucket_by=keys[0] if keys else None, pinned=True)
     quarter = F.floor((F.col("total") + F.lit(3)) / F.lit(2)) / F.lit(2.0)
     hinges = ranked.groupBy(*keys).agg(
         _between_neighbours(quarter).alias("low_hinge"),

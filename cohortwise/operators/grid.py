@@ -62,13 +62,13 @@ def activity_words(bin_events: DataFrame, bins: int, bin_column: str = "bin", ke
     return bin_events.groupBy(*keys).agg(*pack_bins(F.col(bin_column), bins))
 
 
-def all_participants(words: DataFrame, participants: DataFrame, bins: int) -> DataFrame:
+def all_participants(words: DataFrame, participants: DataFrame) -> DataFrame:
     """Full outer join with the participant list: everybody has words, zero where nothing was seen.
 
     Keeps people outside the list who have data, as densifying by a full join does.
     """
     joined = words.join(participants.select("p_id"), "p_id", "full")
-    return joined.withColumns({name: F.coalesce(name, F.lit(0).cast("bigint")) for name in word_names(bins)})
+    return joined.fillna(0, [name for name in words.columns if name != "p_id"])
 
 
 def activity_grid(words: DataFrame, bins: int, keys: Sequence[str] = ("p_id",)) -> DataFrame:
@@ -79,9 +79,9 @@ def activity_grid(words: DataFrame, bins: int, keys: Sequence[str] = ("p_id",))
     )
 
 
-def active_bins(words: DataFrame, bins: int, keys: Sequence[str]) -> DataFrame:
-    """Sparse long form: one row per active bin."""
-    return activity_grid(words, bins, keys).filter(F.col("active") == 1).drop("active")
+def active_bins(names: Sequence[str], bins: int) -> Column:
+    """``array<int>`` of the active bins."""
+    return F.filter(F.sequence(F.lit(1), F.lit(bins)), lambda b: is_active(names, b) == 1)
 
 
 def activity_vector(names: Sequence[str], bins: int) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions.nulls import null_safe_join
+from cohortwise.sources.durable import durable
 
 BUCKETS = 64
 
@@ -28,35 +29,37 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> Da
 
 
 def _with_bucket(counts: DataFrame, by: str | None, buckets: int) -> DataFrame:
-    """Number the bucket of each value. The cut points carry the row total along so that
-    this pass needs the same columns as the main one and Spark reuses its exchange."""
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = F.percentile_approx("value", shares, 100 * buckets).alias("edges")
-    rows = F.sum("n").alias("rows")
     if by is None:
-        cut = counts.agg(F.struct(edges, rows).alias("cut")).scalar()["edges"]
+        cut = counts.agg(edges).scalar()
     else:
-        per_key = counts.filter(F.col(by).isNotNull()).groupBy(by).agg(F.struct(edges, rows).alias("cut"))
-        lookup = per_key.agg(F.map_from_entries(F.collect_list(F.struct(by, "cut"))).alias("lookup")).scalar()
-        cut = F.try_element_at(lookup, F.col(by))["edges"]
+        per_key = counts.filter(F.col(by).isNotNull()).groupBy(by).agg(edges)
+        lookup = per_key.agg(F.map_from_entries(F.collect_list(F.struct(by, "edges"))).alias("lookup")).scalar()
+        cut = F.try_element_at(lookup, F.col(by))
     tagged = counts.withColumn("__edges", F.coalesce(cut, F.array().cast("array<double>")))
     bucket = F.size(F.filter("__edges", lambda edge: edge < F.col("value")))
     return tagged.withColumn("__bucket", bucket).drop("__edges")
 
 
 def running_counts(
-    counts: DataFrame, keys: Sequence[str], bounded: bool = False, bucket_by: str | None = None, buckets: int = BUCKETS
+    counts: DataFrame, keys: Sequence[str], bounded: bool = False, bucket_by: str | None = None, buckets: int = BUCKETS,
+    pinned: bool = False,
 ) -> DataFrame:
     """Add ``upto`` (rows with a value <= this one) and ``total`` (rows) per group of ``keys``.
 
     ``counts`` holds non-null values; it may have several rows per value (one per
     subgroup), which then share ``upto``. ``bucket_by`` names a key with a fixed
     small set of levels, such as the variable, that has its own value range.
+    The bucketed path reads the counts three times, so they are written to the
+    checkpoint folder first unless the caller has ``pinned`` them: the input is
+    scanned once and a lost executor costs a re-read only.
     """
     if bounded:
         group = Window.partitionBy(*keys)
         return counts.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
-    tagged = _with_bucket(counts.withColumn("value", F.col("value").cast("double")), bucket_by, buckets)
+    counts = counts.withColumn("value", F.col("value").cast("double"))
+    tagged = _with_bucket(counts if pinned else durable(counts), bucket_by, buckets)
     sums = tagged.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__in_bucket"))
     group = Window.partitionBy(*keys)
     before = F.sum("__in_bucket").over(group.orderBy("__bucket")) - F.col("__in_bucket")
@@ -83,19 +86,19 @@ def quantile_column(share: float | Column) -> Column:
 
 def quantiles(
     counts: DataFrame, keys: Sequence[str], shares: dict[str, float], bounded: bool = False, bucket_by: str | None = None,
-    extra: Sequence[Column] = (),
+    extra: Sequence[Column] = (), pinned: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group from value counts; ``shares`` maps column name to probability."""
-    ranked = running_counts(counts.filter(F.col("value").isNotNull()), keys, bounded, bucket_by)
+    ranked = running_counts(counts.filter(F.col("value").isNotNull()), keys, bounded, bucket_by, pinned=pinned)
     return ranked.groupBy(*keys).agg(*[quantile_column(float(p)).alias(name) for name, p in shares.items()], *extra)
 
 
-def rank_sums(counts: DataFrame, variable: str, group: str, bounded: bool = False) -> DataFrame:
+def rank_sums(counts: DataFrame, variable: str, group: str, bounded: bool = False, pinned: bool = False) -> DataFrame:
     """Sum of average ranks and number of rows per variable and group, with the tie sum of the variable.
 
     ``counts`` is ``(variable, group, value, n)`` without null values or groups.
     """
-    ranked = running_counts(counts, [variable], bounded, bucket_by=None if bounded else variable)
+    ranked = running_counts(counts, [variable], bounded, None if bounded else variable, pinned=pinned)
     tied = F.sum("n").over(Window.partitionBy(variable, "value"))
     scored = ranked.withColumn("__tied", tied).withColumn(
         "__rank", F.col("upto") - F.col("__tied") + (F.col("__tied") + F.lit(1)) / F.lit(2.0)

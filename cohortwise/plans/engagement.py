@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.config import BIWEEK, PASSIVE_TYPES, SURVEY_TYPES, Cohort
+from cohortwise.config import BIWEEK, PASSIVE_TYPES, STREAMS, SURVEY_TYPES, Cohort
 from cohortwise.functions.calendar import bin_of, day_in_study
-from cohortwise.operators import align, grid, summary
+from cohortwise.operators import align, cluster, grid, summary
 
 
 def bins_of(cohort: Cohort, stream: str) -> int:
@@ -15,37 +15,60 @@ def bins_of(cohort: Cohort, stream: str) -> int:
     return cohort.biweeks if stream == "active" else cohort.horizon
 
 
+def _day_bins(events: DataFrame, enrollment: DataFrame, keys: tuple[str, ...], horizon: int) -> DataFrame:
+    """Different days in study (1..horizon) per key; raw events are reduced to days before they meet the enrolment table."""
+    days = align.daily_rollup(events, keys).select(*keys, "day")
+    indexed = align.attach_enrollment(days, enrollment).withColumn("bin", day_in_study("day", "enrollment_date"))
+    return indexed.filter(F.col("bin").between(1, horizon))
+
+
 def stream_words(
     stream: str, active: DataFrame, passive: DataFrame, enrollment: DataFrame, participants: DataFrame, cohort: Cohort
 ) -> DataFrame:
-    """Activity words of one stream for every participant.
-
-    Only rows within day 1..horizon count. The raw events are reduced to days
-    before they meet the enrolment table.
-    """
+    """Activity words of one stream for every participant."""
     if stream == "active":
         events = active.filter(F.col("data_name").isin(list(SURVEY_TYPES)))
-        rollup = align.daily_rollup(events, ("p_id",))
     else:
-        rollup = align.daily_rollup(passive.filter(F.col("data_name") == PASSIVE_TYPES[stream]), ("p_id",))
-    days = align.attach_enrollment(rollup.select("p_id", "day"), enrollment)
-    inside = days.withColumn("bin", day_in_study("day", "enrollment_date")).filter(F.col("bin").between(1, cohort.horizon))
+        events = passive.filter(F.col("data_name") == PASSIVE_TYPES[stream])
+    days = _day_bins(events, enrollment, ("p_id",), cohort.horizon)
     if stream == "active":
-        inside = inside.withColumn("bin", bin_of("bin", BIWEEK))
-    bins = bins_of(cohort, stream)
-    return grid.all_participants(grid.activity_words(inside, bins), participants, bins)
+        days = days.withColumn("bin", bin_of("bin", BIWEEK))
+    return grid.all_participants(grid.activity_words(days, bins_of(cohort, stream)), participants)
 
 
-def engagement_counts(words: dict[str, DataFrame], cohort: Cohort) -> DataFrame:
-    """``(p_id, stream, engaged_bins, engaged_days)``; a biweek counts for 14 days."""
-    result = None
-    for stream, df in words.items():
-        names = grid.word_names(bins_of(cohort, stream))
+def all_stream_words(
+    active: DataFrame, passive: DataFrame, enrollment: DataFrame, participants: DataFrame, cohort: Cohort
+) -> DataFrame:
+    """Activity words of the three streams side by side (``<stream>_w0``, ...), from one pass over the events."""
+    events = align.tag_streams(active, passive, PASSIVE_TYPES, SURVEY_TYPES)
+    days = _day_bins(events, enrollment, ("p_id", "stream"), cohort.horizon)
+    packed = []
+    for stream in STREAMS:
+        bin_column = bin_of("bin", BIWEEK) if stream == "active" else F.col("bin")
+        packed += grid.pack_bins(bin_column, bins_of(cohort, stream), F.col("stream") == stream, f"{stream}_w")
+    return grid.all_participants(days.groupBy("p_id").agg(*packed), participants)
+
+
+def by_stream(wide: DataFrame, cohort: Cohort, minimum: tuple[int, ...], keep: tuple[str, ...] = ("p_id",), with_bins: bool = False) -> DataFrame:
+    """One row per participant and stream with cluster, engaged bins and engaged days, unfolded in place.
+
+    A biweek counts for 14 days. ``with_bins`` adds the list of active bins.
+    """
+    cells = []
+    for stream in STREAMS:
+        bins = bins_of(cohort, stream)
+        names = grid.word_names(bins, f"{stream}_w")
         engaged = grid.count_bits(names)
-        days = engaged * F.lit(BIWEEK if stream == "active" else 1)
-        part = df.select("p_id", F.lit(stream).alias("stream"), engaged.alias("engaged_bins"), days.alias("engaged_days"))
-        result = part if result is None else result.unionByName(part)
-    return result
+        fields = [
+            F.lit(stream).alias("stream"),
+            cluster.rule_label(engaged, minimum).alias("cluster"),
+            engaged.alias("engaged"),
+            (engaged * F.lit(BIWEEK if stream == "active" else 1)).alias("engaged_days"),
+        ]
+        if with_bins:
+            fields += [F.lit(bins).alias("bins"), grid.active_bins(names, bins).alias("active")]
+        cells.append(F.struct(*fields))
+    return wide.select(*keep, F.inline(F.array(*cells)))
 
 
 def survey_summary(indexed: DataFrame, cohort: Cohort) -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import types as T
 
 from cohortwise.config import COHORT_1, COHORT_2, PASSIVE_TYPES, STREAM_LABELS, STREAMS, Cohort
 from cohortwise.functions import coding
-from cohortwise.functions.calendar import bin_label, day_in_study
-from cohortwise.functions.nulls import null_safe_join
+from cohortwise.functions.calendar import bin_label
 from cohortwise.operators import align, cluster, compare, cox, describe, grid, ranks, report, summary, survival
 from cohortwise.plans import engagement, retention
 from cohortwise.plans.fixtures import Fixtures
 from cohortwise.sources import study
+from cohortwise.sources.durable import durable
 
 # Parameters of the analyses on these tables.
 DUMMY_IDS = (207, 209, 227)
@@ -101,6 +101,10 @@ def _words(f: Fixtures, stream: str, cohort: Cohort = COHORT_1) -> DataFrame:
     return engagement.stream_words(stream, f.active(), f.passive(), enrollment, participants, cohort)
 
 
+def _wide_words(f: Fixtures) -> DataFrame:
+    return engagement.all_stream_words(f.active(), f.passive(), f.enrollment(), _participants(f), COHORT_1)
+
+
 def _clusters(f: Fixtures, stream: str) -> DataFrame:
     return cluster.rule_clusters(_words(f, stream), engagement.bins_of(COHORT_1, stream), RULE_BINS)
 
@@ -406,7 +410,8 @@ def activity_pivot(f: Fixtures) -> DataFrame:
 
 @query
 def engagement_counts(f: Fixtures) -> DataFrame:
-    return present(engagement.engagement_counts({s: _words(f, s) for s in STREAMS}, COHORT_1))
+    rows = engagement.by_stream(_wide_words(f), COHORT_1, RULE_BINS)
+    return present(rows.select("p_id", "stream", F.col("engaged").alias("engaged_bins"), "engaged_days"))
 
 
 @query
@@ -428,14 +433,8 @@ def cluster_profile(f: Fixtures) -> DataFrame:
 
 @query
 def cluster_bin_rate(f: Fixtures) -> DataFrame:
-    result = None
-    for stream in STREAMS:
-        bins = engagement.bins_of(COHORT_1, stream)
-        words = _words(f, stream)
-        rates = cluster.cluster_bin_rate(words, cluster.rule_clusters(words, bins, RULE_BINS), bins)
-        part = rates.withColumn("stream", F.lit(stream))
-        result = part if result is None else result.unionByName(part)
-    return present(result)
+    members = engagement.by_stream(_wide_words(f), COHORT_1, RULE_BINS, with_bins=True)
+    return present(cluster.bin_rate(members, ["stream", "cluster"]))
 
 
 def _record_counts(f: Fixtures) -> DataFrame:
@@ -457,22 +456,19 @@ def _longitudinal_counts(f: Fixtures) -> DataFrame:
 
 @query
 def longitudinal_by_group(f: Fixtures) -> DataFrame:
-    table = compare.quantile_table(_longitudinal_counts(f))
+    table = compare.quantile_table(durable(_longitudinal_counts(f)))
     return present(table.select(F.col("stratum").alias("cluster"), "variable", "n", "n_missing", "q1", "median", "q3"))
 
 
 def _streams(f: Fixtures) -> DataFrame:
     indexed = _indexed_surveys(f)
-    shared = summary.star(
-        _people(f).select("p_id", "age"), engagement.survey_summary(indexed, COHORT_1), summary.baseline_max(indexed, "sum_phq8")
+    shared = ("age", "mean_phq8_score", "phq8_response_min", "phq8_total_s", "sum_phq8")
+    people = summary.star(
+        _wide_words(f), _people(f).select("p_id", "age"), engagement.survey_summary(indexed, COHORT_1), summary.baseline_max(indexed, "sum_phq8")
     )
-    profiles = {}
-    for stream in STREAMS:
-        days = F.col("engaged") * F.lit(14 if stream == "active" else 1)
-        profile = summary.star(_clusters(f, stream), shared).withColumn("engaged_days", days)
-        profiles[STREAM_LABELS[stream]] = profile.withColumn("total_time", F.col("phq8_total_s") + F.col("phq8_response_min"))
-    columns = ["p_id", "cluster", "age", "engaged_days", "mean_phq8_score", "phq8_response_min", "phq8_total_s", "total_time"]
-    return cluster.stack_streams(profiles, [*columns, "sum_phq8"])
+    rows = engagement.by_stream(people, COHORT_1, RULE_BINS, ("p_id", *shared))
+    total = F.col("phq8_total_s") + F.col("phq8_response_min")
+    return rows.withColumns({"cat": coding.recode("stream", STREAM_LABELS), "total_time": total}).drop("stream", "engaged")
 
 
 @query
@@ -482,12 +478,8 @@ def cluster_union_streams(f: Fixtures) -> DataFrame:
 
 @query
 def cluster_extremes(f: Fixtures) -> DataFrame:
-    parts = None
-    for stream in STREAMS:
-        for name in ("C1", "C4"):
-            part = cluster.tag_cluster(_clusters(f, stream), name, stream)
-            parts = part if parts is None else parts.unionByName(part)
-    return present(parts)
+    rows = engagement.by_stream(_wide_words(f), COHORT_1, RULE_BINS).filter(F.col("cluster").isin("C1", "C4"))
+    return present(rows.select("p_id", F.concat_ws("_", "cluster", "stream").alias("cluster"), "engaged"))
 
 
 @query
@@ -497,15 +489,19 @@ def wss_curve(f: Fixtures) -> DataFrame:
 
 @query
 def kmeans_assign(f: Fixtures) -> DataFrame:
-    placed = cluster.assign_kmeans(_words(f, "active"), COHORT_1.biweeks, COHORT_1.clusters, SEED)
+    placed = cluster.assign_kmeans(durable(_words(f, "active")), COHORT_1.biweeks, COHORT_1.clusters, SEED)
     return present(placed.select("p_id", "raw_cluster"))
 
 
 @query
 def cluster_labels(f: Fixtures) -> DataFrame:
+    wide = durable(_wide_words(f))
     result = None
     for stream in STREAMS:
-        placed = cluster.assign_kmeans(_words(f, stream), engagement.bins_of(COHORT_1, stream), COHORT_1.clusters, SEED)
+        bins = engagement.bins_of(COHORT_1, stream)
+        names = grid.word_names(bins, f"{stream}_w")
+        words = wide.select("p_id", *[F.col(a).alias(b) for a, b in zip(names, grid.word_names(bins))])
+        placed = cluster.assign_kmeans(words, bins, COHORT_1.clusters, SEED)
         part = placed.select(F.lit(stream).alias("stream"), "p_id", "cluster")
         result = part if result is None else result.unionByName(part)
     return present(result)
@@ -513,7 +509,7 @@ def cluster_labels(f: Fixtures) -> DataFrame:
 
 @query
 def cluster_labels_cohort_2(f: Fixtures) -> DataFrame:
-    words = _words(f, "active", COHORT_2)
+    words = durable(_words(f, "active", COHORT_2))
     placed = cluster.assign_kmeans(words, COHORT_2.biweeks, COHORT_2.clusters, SEED)
     return present(placed.select("p_id", "cluster"))
 
@@ -610,16 +606,14 @@ def numeric_summary(f: Fixtures) -> DataFrame:
 
 @query
 def comparison_report(f: Fixtures) -> DataFrame:
-    profile = _profile(f)
-    numbers = compare.table_one_continuous(profile, PROFILE_NUMBERS, "cluster")
-    long = _longitudinal_counts(f)
-    records = compare.quantile_table(long)
+    profile = durable(_profile(f))
+    counts = durable(ranks.value_counts(describe.melt(profile.withColumnRenamed("cluster", "stratum"), ["stratum"], PROFILE_NUMBERS), ["variable", "stratum"]))
     names = {"sum_phq8": "record_phq8", "sum_rses": "record_rses", "ids_score": "record_ids"}
-    renamed = records.withColumn("variable", coding.recode("variable", names))
-    tests = compare.kruskal_wallis(profile, PROFILE_NUMBERS, "cluster").select("variable", "p")
-    record_tests = compare.kruskal_from_counts(
-        long.filter(F.col("value").isNotNull()).withColumn("variable", coding.recode("variable", names)), "stratum"
-    ).select("variable", "p")
+    records = durable(_longitudinal_counts(f).withColumn("variable", coding.recode("variable", names)))
+    numbers, renamed = compare.quantile_table(counts), compare.quantile_table(records)
+    tests, record_tests = (
+        compare.kruskal_from_counts(part.filter(F.col("value").isNotNull()), "stratum").select("variable", "p") for part in (counts, records)
+    )
     categories = compare.table_one_categorical(profile, PROFILE_FACTORS, "cluster")
     cells = categories.select("variable", "level", "stratum", "n")
     level_tests = compare.chi_square(cells, ["variable"], "level", "stratum").select("variable", "p")
