@@ -22,13 +22,13 @@ def table_one_continuous(df: DataFrame, columns: Sequence[str], stratum: str | N
 
 
 def quantile_table(counts: DataFrame) -> DataFrame:
-    """The same from pinned value counts ``(variable, stratum, value, n)`` in which nulls are counted."""
+    """The same from durable value counts ``(variable, stratum, value, n)`` in which nulls are counted."""
     keys = ["variable", "stratum"]
     missing = counts.groupBy(*keys).agg(
         F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("n"),
         F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
     )
-    ranked = running_counts(counts.filter(F.col("value").isNotNull()), keys, bucket_by="variable", pinned=True)
+    ranked = running_counts(counts.filter(F.col("value").isNotNull()), keys, bucket_by="variable")
     spread = ranked.groupBy(*keys).agg(
         *[quantile_column(p).alias(name) for name, p in {"q1": 0.25, "median": 0.5, "q3": 0.75}.items()]
     )
@@ -52,8 +52,8 @@ def kruskal_wallis(df: DataFrame, columns: Sequence[str], group: str, with_p: bo
 
 
 def kruskal_from_counts(counts: DataFrame, group: str, with_p: bool = True) -> DataFrame:
-    """The same from pinned value counts ``(variable, group, value, n)``; ``h`` is null when all values tie."""
-    sums = rank_sums(counts, "variable", group, pinned=True)
+    """The same from durable value counts ``(variable, group, value, n)``; ``h`` is null when all values tie."""
+    sums = rank_sums(counts, "variable", group)
     total = F.max("total").cast("double")
     between = F.lit(12.0) * F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n"))
     raw = between / (total * (total + 1)) - F.lit(3.0) * (total + 1)

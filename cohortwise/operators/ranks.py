@@ -18,9 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions.nulls import null_safe_join
-from cohortwise.sources.durable import durable
 
-BUCKETS = 64
+SIDE = 8  # the search for a bucket takes two steps of SIDE - 1 comparisons; there are SIDE ** 2 buckets
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -28,38 +27,47 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> Da
     return df.groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _with_bucket(counts: DataFrame, by: str | None, buckets: int) -> DataFrame:
+def _with_bucket(counts: DataFrame, by: str | None, side: int = SIDE) -> DataFrame:
+    """Number the bucket of each value among ``side ** 2``, cut at approximate quantiles of the different values.
+
+    The cut points carry the row total along: this pass then needs the same
+    columns of ``counts`` as the main one, and Spark reuses its exchange.
+    """
+    buckets = side * side
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = F.percentile_approx("value", shares, 100 * buckets).alias("edges")
+    cut = F.struct(F.percentile_approx("value", shares, 100 * buckets).alias("edges"), F.sum("n").alias("rows"))
     if by is None:
-        cut = counts.agg(edges).scalar()
+        edges = counts.agg(cut.alias("cut")).scalar()["edges"]
     else:
-        per_key = counts.filter(F.col(by).isNotNull()).groupBy(by).agg(edges)
-        lookup = per_key.agg(F.map_from_entries(F.collect_list(F.struct(by, "edges"))).alias("lookup")).scalar()
-        cut = F.try_element_at(lookup, F.col(by))
-    tagged = counts.withColumn("__edges", F.coalesce(cut, F.array().cast("array<double>")))
-    bucket = F.size(F.filter("__edges", lambda edge: edge < F.col("value")))
-    return tagged.withColumn("__bucket", bucket).drop("__edges")
+        per_key = counts.groupBy(by).agg(cut.alias("cut"))
+        known = F.when(F.col(by).isNotNull(), F.struct(by, "cut"))
+        edges = F.try_element_at(per_key.agg(F.map_from_entries(F.collect_list(known)).alias("lookup")).scalar(), F.col(by))["edges"]
+
+    def over(position: Column) -> Column:
+        return F.coalesce((F.get("__edges", position) < F.col("value")).cast("int"), F.lit(0))
+
+    coarse = sum((over(F.lit(side * j - 1)) for j in range(1, side)), F.lit(0))
+    fine = sum((over(F.col("__coarse") * side + j) for j in range(side - 1)), F.lit(0))
+    placed = counts.withColumn("__edges", edges).withColumn("__coarse", coarse)
+    return placed.withColumn("__bucket", F.col("__coarse") * side + fine).drop("__edges", "__coarse")
 
 
 def running_counts(
-    counts: DataFrame, keys: Sequence[str], bounded: bool = False, bucket_by: str | None = None, buckets: int = BUCKETS,
-    pinned: bool = False,
+    counts: DataFrame, keys: Sequence[str], bounded: bool = False, bucket_by: str | None = None, side: int = SIDE
 ) -> DataFrame:
     """Add ``upto`` (rows with a value <= this one) and ``total`` (rows) per group of ``keys``.
 
     ``counts`` holds non-null values; it may have several rows per value (one per
     subgroup), which then share ``upto``. ``bucket_by`` names a key with a fixed
     small set of levels, such as the variable, that has its own value range.
-    The bucketed path reads the counts three times, so they are written to the
-    checkpoint folder first unless the caller has ``pinned`` them: the input is
-    scanned once and a lost executor costs a re-read only.
+    The bucketed form reads the counts three times from one exchange; callers
+    that use the counts elsewhere as well should make them durable first.
     """
     if bounded:
         group = Window.partitionBy(*keys)
         return counts.withColumns({"upto": F.sum("n").over(group.orderBy("value")), "total": F.sum("n").over(group)})
     counts = counts.withColumn("value", F.col("value").cast("double"))
-    tagged = _with_bucket(counts if pinned else durable(counts), bucket_by, buckets)
+    tagged = _with_bucket(counts, bucket_by, side)
     sums = tagged.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__in_bucket"))
     group = Window.partitionBy(*keys)
     before = F.sum("__in_bucket").over(group.orderBy("__bucket")) - F.col("__in_bucket")
@@ -86,19 +94,19 @@ def quantile_column(share: float | Column) -> Column:
 
 def quantiles(
     counts: DataFrame, keys: Sequence[str], shares: dict[str, float], bounded: bool = False, bucket_by: str | None = None,
-    extra: Sequence[Column] = (), pinned: bool = False,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Exact quantiles per group from value counts; ``shares`` maps column name to probability."""
-    ranked = running_counts(counts.filter(F.col("value").isNotNull()), keys, bounded, bucket_by, pinned=pinned)
+    ranked = running_counts(counts.filter(F.col("value").isNotNull()), keys, bounded, bucket_by)
     return ranked.groupBy(*keys).agg(*[quantile_column(float(p)).alias(name) for name, p in shares.items()], *extra)
 
 
-def rank_sums(counts: DataFrame, variable: str, group: str, bounded: bool = False, pinned: bool = False) -> DataFrame:
+def rank_sums(counts: DataFrame, variable: str, group: str, bounded: bool = False) -> DataFrame:
     """Sum of average ranks and number of rows per variable and group, with the tie sum of the variable.
 
     ``counts`` is ``(variable, group, value, n)`` without null values or groups.
     """
-    ranked = running_counts(counts, [variable], bounded, None if bounded else variable, pinned=pinned)
+    ranked = running_counts(counts, [variable], bounded, None if bounded else variable)
     tied = F.sum("n").over(Window.partitionBy(variable, "value"))
     scored = ranked.withColumn("__tied", tied).withColumn(
         "__rank", F.col("upto") - F.col("__tied") + (F.col("__tied") + F.lit(1)) / F.lit(2.0)

@@ -80,7 +80,7 @@ def _surveys(f: Fixtures) -> DataFrame:
 
 
 def _indexed_surveys(f: Fixtures) -> DataFrame:
-    return align.attach_enrollment(summary.index_surveys(_surveys(f), f.enrollment()).drop("enrollment_date"), f.enrollment())
+    return summary.index_surveys(_surveys(f), f.enrollment()).filter(F.col("enrollment_date").isNotNull())
 
 
 def _days_in_study(f: Fixtures) -> DataFrame:

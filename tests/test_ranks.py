@@ -32,14 +32,14 @@ def test_running_counts_agree_between_both_forms(values):
     _, _, df = values
     counts = ranks.value_counts(df, ["g"])
     plain = {(r.g, r.value): (r.upto, r.total) for r in ranks.running_counts(counts, ["g"], bounded=True).collect()}
-    split = {(r.g, r.value): (r.upto, r.total) for r in ranks.running_counts(counts, ["g"], buckets=16).collect()}
+    split = {(r.g, r.value): (r.upto, r.total) for r in ranks.running_counts(counts, ["g"], side=4).collect()}
     assert plain == split
 
 
 def test_no_bucket_holds_a_large_part_of_a_hot_group(values):
     _, _, df = values
     counts = ranks.value_counts(df, ["g"])
-    tagged = ranks._with_bucket(counts.withColumn("value", F.col("value").cast("double")), None, 16)
+    tagged = ranks._with_bucket(counts.withColumn("value", F.col("value").cast("double")), None, 4)
     largest = tagged.groupBy("g", "__bucket").count().agg(F.max("count")).first()[0]
     assert largest < 0.15 * counts.count()
 
