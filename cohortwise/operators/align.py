@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions.calendar import bin_of, day_in_study, week_from_zero
 from cohortwise.functions.nulls import not_within, null_safe_join
+from cohortwise.functions.spread import spread_join
 
 
 def daily_rollup(events: DataFrame, keys: Sequence[str] = ("p_id", "data_name"), ts: str = "ts") -> DataFrame:
@@ -27,18 +28,22 @@ def daily_rollup(events: DataFrame, keys: Sequence[str] = ("p_id", "data_name"),
     )
 
 
-def attach_enrollment(df: DataFrame, enrollment: DataFrame) -> DataFrame:
-    """Inner join of the enrolment date on ``p_id`` alone.
+def attach_enrollment(df: DataFrame, enrollment: DataFrame, spread_by: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Join of the enrolment date on ``p_id`` alone.
 
     Repeating it changes nothing: an enrolment date already present is replaced.
+    Tables that are not reduced to days yet name columns in ``spread_by`` so that
+    the records of one participant go to many tasks.
     """
     dates = enrollment.select("p_id", "enrollment_date")
-    return df.drop("enrollment_date").join(dates, "p_id")
+    bare = df.drop("enrollment_date")
+    return spread_join(bare, dates, ["p_id"], how, spread_by) if spread_by else bare.join(dates, "p_id", how)
 
 
-def index_days(df: DataFrame, enrollment: DataFrame, day: Column, offset: int = 1) -> DataFrame:
-    """Enrolled rows with ``day_in_study``, both week conventions and the biweek."""
-    indexed = attach_enrollment(df, enrollment).withColumn("day_in_study", day_in_study(day, "enrollment_date", offset))
+def index_days(events: DataFrame, enrollment: DataFrame, ts: str = "ts", offset: int = 1) -> DataFrame:
+    """Enrolled event rows with ``day_in_study``, both week conventions and the biweek."""
+    day = F.to_date(ts)
+    indexed = attach_enrollment(events, enrollment, [ts]).withColumn("day_in_study", day_in_study(day, "enrollment_date", offset))
     return indexed.withColumns(
         {
             "week_a": week_from_zero("day_in_study"),
@@ -148,18 +153,22 @@ def drop_ids(df: DataFrame, ids: Sequence) -> DataFrame:
 
 
 def unenrolled_ids(dates: DataFrame, enrollment: DataFrame) -> DataFrame:
-    """Ids that have data but no enrolment row."""
-    return dates.select("p_id").subtract(enrollment.select("p_id"))
+    """Ids that have data but no enrolment row; ids are made distinct before they are compared."""
+    return remove_ids(dates.select("p_id").distinct(), enrollment)
 
 
-def remove_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is not in ``ids`` (null equals null)."""
+def remove_ids(df: DataFrame, ids: DataFrame, spread_by: Sequence[str] = ()) -> DataFrame:
+    """Rows whose id is not in ``ids`` (null equals null); ``spread_by`` as in ``attach_enrollment``."""
+    if spread_by:
+        return spread_join(df, ids.select("p_id"), ["p_id"], "left_anti", spread_by)
     return null_safe_join(df, ids.select("p_id"), ["p_id"], "left_anti")
 
 
-def keep_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
+def keep_ids(df: DataFrame, ids: DataFrame, spread_by: Sequence[str] = ()) -> DataFrame:
     """Rows whose id is in ``ids``."""
-    return df.join(ids.select("p_id"), "p_id", "left_semi")
+    if spread_by:
+        return spread_join(df, ids.select("p_id"), ["p_id"], "left_semi", spread_by)
+    return null_safe_join(df, ids.select("p_id"), ["p_id"], "left_semi")
 
 
 def distinct_participants(stream_events: DataFrame) -> DataFrame:

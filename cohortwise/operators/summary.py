@@ -51,24 +51,27 @@ def score_surveys(records: DataFrame) -> DataFrame:
     return records.withColumns(scores)
 
 
-def index_surveys(records: DataFrame, enrollment: DataFrame) -> DataFrame:
-    """Left join of the enrolment date with ``days`` (one-based) and ``week``; unmatched rows keep null days."""
-    dates = enrollment.select("p_id", "enrollment_date")
-    indexed = records.drop("enrollment_date").join(dates, "p_id", "left")
+def index_surveys(records: DataFrame, enrollment: DataFrame, how: str = "left") -> DataFrame:
+    """Join of the enrolment date with ``days`` (one-based) and ``week``; a left join keeps unmatched rows with null days."""
+    indexed = attach_enrollment(records, enrollment, ["start_time", "total_time_taken"], how)
     days = day_in_study(F.to_date("start_time"), "enrollment_date")
     return indexed.withColumn("days", days).withColumn("week", week_from_zero("days"))
 
 
 def contact_count(contacts: DataFrame, enrollment: DataFrame, horizon: int) -> DataFrame:
-    """Highest contact number up to the horizon (contacts before enrolment included); unknown counts as 0."""
-    inside = attach_enrollment(contacts, enrollment).filter(day_in_study("date", "enrollment_date") <= horizon)
+    """Highest contact number up to the horizon (contacts before enrolment included); unknown counts as 0.
+
+    The log is reduced to one row per participant and day first.
+    """
+    daily = contacts.groupBy("p_id", "date").agg(strict(F.max, "record_num").alias("record_num"))
+    inside = attach_enrollment(daily, enrollment).filter(day_in_study("date", "enrollment_date") <= horizon)
     return inside.groupBy("p_id").agg(F.coalesce(strict(F.max, "record_num"), F.lit(0)).alias("num_contact"))
 
 
 def visits_in_period(visits: DataFrame, enrollment: DataFrame, horizon: int) -> DataFrame:
     """Visits up to the horizon plus the baseline visit whenever it took place."""
     day = day_in_study("date", "enrollment_date")
-    return attach_enrollment(visits, enrollment).filter((day <= horizon) | (F.col("record_num") == 0))
+    return attach_enrollment(visits, enrollment, ["date", "record_num"]).filter((day <= horizon) | (F.col("record_num") == 0))
 
 
 def visit_summary(visits: DataFrame, enrollment: DataFrame, horizon: int, score: str = "ids_score") -> DataFrame:

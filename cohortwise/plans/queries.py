@@ -80,7 +80,7 @@ def _surveys(f: Fixtures) -> DataFrame:
 
 
 def _indexed_surveys(f: Fixtures) -> DataFrame:
-    return summary.index_surveys(_surveys(f), f.enrollment()).filter(F.col("enrollment_date").isNotNull())
+    return summary.index_surveys(_surveys(f), f.enrollment(), "inner")
 
 
 def _days_in_study(f: Fixtures) -> DataFrame:
@@ -198,7 +198,7 @@ def study_window(f: Fixtures) -> DataFrame:
 
 @query
 def day_index(f: Fixtures) -> DataFrame:
-    indexed = align.index_days(f.passive(), f.enrollment(), F.to_date("ts"))
+    indexed = align.index_days(f.passive(), f.enrollment())
     return present(indexed.select("p_id", "ts", "day_in_study", "week_a", "week_b", "biweek"))
 
 

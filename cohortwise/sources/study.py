@@ -83,8 +83,9 @@ def demographics_star(
 def load_study(spark: SparkSession, paths: dict[str, str], dummy_ids: Sequence[str] = ()) -> Study:
     """Read and clean the study's CSV tables; ``paths`` maps the schema names to files.
 
-    People on the dummy list are left out of the date table, and everybody who
-    has data but no enrolment is left out of all tables.
+    People on the dummy list are left out of the date table. Whoever is in the
+    date table without an enrolment is left out of all tables; the records of
+    dummy people go at the first join with the enrolment table.
     """
     raw = {name: tables.read_csv(spark, path, name) for name, path in paths.items()}
     enrollment = enrollment_dim(tables.enrollment_from_raw(raw["participants"]))
@@ -98,16 +99,16 @@ def load_study(spark: SparkSession, paths: dict[str, str], dummy_ids: Sequence[s
 
     def surveys(name: str) -> DataFrame:
         scored = summary.score_surveys(summary.clean_notifications(raw[name], name))
-        return align.remove_ids(summary.index_surveys(scored, enrollment), outside)
+        return align.remove_ids(summary.index_surveys(scored, enrollment), outside, ["start_time"])
 
     star = demographics_star(
         *[raw[name] for name in ("demographics", "phone_brand", "employment", "comorbidity", "medication", "ethnicity", "phone_status")]
     )
     return Study(
         enrollment=enrollment,
-        active=align.remove_ids(active, outside),
-        passive=align.remove_ids(passive, outside),
-        clinical=align.remove_ids(clinical, outside),
+        active=align.remove_ids(active, outside, ["ts"]),
+        passive=align.remove_ids(passive, outside, ["ts"]),
+        clinical=align.remove_ids(clinical, outside, ["ts"]),
         demographics=align.remove_ids(star, outside),
         contacts=contacts,
         visits=visits,

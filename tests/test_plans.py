@@ -22,12 +22,10 @@ def test_no_product_joins_and_no_python_on_rows(spark, name):
     assert "BatchEvalPython" not in text and "FlatMapGroups" not in text
 
 
-@pytest.mark.parametrize("name", ["km_curve", "activity_vector", "activity_grid_daily", "last_activity", "baseline_top1", "survey_period_summary"])
+@pytest.mark.parametrize("name", ["km_curve", "activity_vector", "activity_grid_daily", "last_activity", "baseline_top1", "survey_period_summary", "table_one_continuous"])
 def test_nothing_is_gathered_in_one_partition(spark, name):
     text = plan(spark, name)
-    single = len(re.findall("Exchange SinglePartition", text))
-    sketches = len(re.findall(r"partial_(?:approx_percentile|percentile_approx|collect_list|max)\(", text))
-    assert single <= (sketches if name == "survey_period_summary" else 0)
+    assert "SinglePartition" not in text
 
 
 def test_scans_read_only_needed_columns(spark):
