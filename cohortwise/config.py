@@ -23,7 +23,8 @@ class Cohort:
     ``day_offset`` gives, per stream, the number added to the day difference
     when a duration is computed. ``episodes`` maps a stream to the cut points
     and the covariate whose effect may change at them. ``members_only`` keeps
-    only participants who could have been observed for the whole window.
+    only participants who could have been observed for the whole window. ``relevel``
+    gives the level order of a covariate in the episode models.
     """
 
     name: str
@@ -33,9 +34,11 @@ class Cohort:
     score_statistic: str
     day_offset: dict[str, int] = field(default_factory=dict)
     episodes: dict[str, tuple[tuple[int, ...], str]] = field(default_factory=dict)
+    relevel: dict[str, tuple[str, ...]] = field(default_factory=dict)
     members_only: bool = False
     with_contacts: bool = True
-    merge_ethnicity: bool = True
+    merge_categories: bool = True
+    numeric_phone_status: bool = False
 
     @property
     def grace(self) -> int:
@@ -49,6 +52,7 @@ COHORT_1 = Cohort(
     clusters=3,
     score_statistic="median",
     episodes={"phone": ((130, 240), "sex")},
+    relevel={"sex": ("male", "female")},
 )
 COHORT_2 = Cohort(
     name="cohort_2",
@@ -57,8 +61,10 @@ COHORT_2 = Cohort(
     clusters=4,
     score_statistic="mean",
     day_offset={"active": 1},
-    episodes={"active": ((320,), "age_band"), "fitbit": ((450,), "children")},
+    episodes={"active": ((320,), "age_band"), "fitbit": ((450,), "children_cat")},
     members_only=True,
     with_contacts=False,
-    merge_ethnicity=False,
+    merge_categories=False,
+    numeric_phone_status=True,
+    relevel={"age_band": ("30-39", "40-49", "50-59", ">60", "<30"), "children_cat": ("Yes", "No")},
 )

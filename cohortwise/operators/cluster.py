@@ -100,3 +100,12 @@ def bin_rate(members: DataFrame, keys: Sequence[str]) -> DataFrame:
 def tag_cluster(profile: DataFrame, cluster: str, suffix: str) -> DataFrame:
     """One cluster's rows with the data stream added to the cluster name."""
     return profile.filter(F.col("cluster") == cluster).withColumn("cluster", F.lit(f"{cluster}_{suffix}"))
+
+
+def stack_streams(profiles: dict[str, DataFrame], columns: Sequence[str]) -> DataFrame:
+    """Row union of per-stream profiles with the stream's label in ``cat``."""
+    stacked = None
+    for label, profile in profiles.items():
+        part = profile.select(*columns).withColumn("cat", F.lit(label))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    return stacked

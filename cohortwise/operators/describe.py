@@ -87,10 +87,10 @@ def density_grid(df: DataFrame, key: str, value: str = "value", points: int = 51
     return cells.groupBy(key, "x").agg(F.sum(kernel).alias("density"))
 
 
-def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str = "value", bucket_by: str | None = None) -> DataFrame:
     """Quartiles and whiskers (last value within 1.5 IQR of the box) per key, nulls ignored."""
     counts = durable(value_counts(df, keys, value).filter(F.col("value").isNotNull()))
-    boxes = quantiles(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, bucket_by=keys[0] if keys else None, pinned=True)
+    boxes = quantiles(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, bucket_by=bucket_by, pinned=True)
     reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
     joined = null_safe_join(counts, boxes, keys)
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
@@ -110,10 +110,10 @@ def _between_neighbours(position: Column) -> Column:
     return (order_statistic(F.floor(zero_based)) + order_statistic(F.ceil(zero_based))) / F.lit(2.0)
 
 
-def whisker_limits(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
+def whisker_limits(df: DataFrame, keys: Sequence[str], value: str = "value", bucket_by: str | None = None) -> DataFrame:
     """Whisker ends by five-number hinges: extreme data within 1.5 hinge spreads of the hinges."""
     counts = durable(value_counts(df, keys, value).filter(F.col("value").isNotNull()))
-    ranked = running_counts(counts, keys, bucket_by=keys[0] if keys else None, pinned=True)
+    ranked = running_counts(counts, keys, bucket_by=bucket_by, pinned=True)
     quarter = F.floor((F.col("total") + F.lit(3)) / F.lit(2)) / F.lit(2.0)
     hinges = ranked.groupBy(*keys).agg(
         _between_neighbours(quarter).alias("low_hinge"),

@@ -71,19 +71,29 @@ def by_stream(wide: DataFrame, cohort: Cohort, minimum: tuple[int, ...], keep: t
     return wide.select(*keep, F.inline(F.array(*cells)))
 
 
-def survey_summary(indexed: DataFrame, cohort: Cohort) -> DataFrame:
-    """Score, response time (min) and completion time (s) per participant, as the cohort defines them."""
+def survey_summary(indexed: DataFrame, kind: str, score_statistic: str, horizon: int) -> DataFrame:
+    """Score, response time (min) and completion time (s) per participant for one questionnaire.
+
+    ``kind`` is ``phq8`` or ``rses``; ``indexed`` are its day-indexed records.
+    """
     stats = summary.survey_period_summary(
         indexed,
-        cohort.horizon,
+        horizon,
         {
-            "mean_phq8_score": ("sum_phq8", cohort.score_statistic),
-            "phq8_lag_s": ("response_lag", "median"),
-            "phq8_total_s": ("total_time_taken", "median"),
-            "mean_rses_score": ("sum_rses", "mean"),
+            f"mean_{kind}_score": (f"sum_{kind}", score_statistic),
+            "lag_s": ("response_lag", "median"),
+            f"{kind}_total_s": ("total_time_taken", "median"),
         },
     )
-    return stats.withColumn("phq8_response_min", F.col("phq8_lag_s") / F.lit(60.0)).drop("phq8_lag_s")
+    return stats.withColumn(f"{kind}_response_min", F.col("lag_s") / F.lit(60.0)).drop("lag_s")
+
+
+def survey_summaries(phq8: DataFrame, rses: DataFrame, cohort: Cohort) -> tuple[DataFrame, DataFrame]:
+    """Both questionnaires as the cohort defines them."""
+    return (
+        survey_summary(phq8, "phq8", cohort.score_statistic, cohort.horizon),
+        survey_summary(rses, "rses", "mean", cohort.horizon),
+    )
 
 
 def cluster_profile(

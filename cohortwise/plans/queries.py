@@ -83,6 +83,20 @@ def _indexed_surveys(f: Fixtures) -> DataFrame:
     return summary.index_surveys(_surveys(f), f.enrollment(), "inner")
 
 
+def _survey_summary(f: Fixtures, cohort: Cohort) -> DataFrame:
+    stats = summary.survey_period_summary(
+        _indexed_surveys(f),
+        cohort.horizon,
+        {
+            "mean_phq8_score": ("sum_phq8", cohort.score_statistic),
+            "phq8_lag_s": ("response_lag", "median"),
+            "phq8_total_s": ("total_time_taken", "median"),
+            "mean_rses_score": ("sum_rses", "mean"),
+        },
+    )
+    return stats.withColumn("phq8_response_min", F.col("phq8_lag_s") / F.lit(60.0)).drop("phq8_lag_s")
+
+
 def _days_in_study(f: Fixtures) -> DataFrame:
     return align.days_in_study(f.active(), f.enrollment())
 
@@ -133,8 +147,7 @@ def _cohort_table(f: Fixtures, cohort: Cohort = COHORT_1) -> DataFrame:
     labels = _labels(f, cohort, base)
     contacts = summary.contact_count(f.contacts(), f.enrollment(), cohort.horizon) if cohort.with_contacts else None
     table = retention.survival_cohort(people, f.enrollment(), labels, contacts, _baseline(f))
-    marry = coding.keep_listed(coding.recode("marry_align", MARRY), retention.MARRY_LEVELS)
-    return retention.model_covariates(table.withColumn("marry_cat", marry))
+    return retention.model_covariates(table.withColumn("marry_align", coding.recode("marry_align", MARRY)))
 
 
 def _profile(f: Fixtures, stream: str = "active") -> DataFrame:
@@ -144,14 +157,15 @@ def _profile(f: Fixtures, stream: str = "active") -> DataFrame:
         _people(f),
         summary.contact_count(f.contacts(), f.enrollment(), COHORT_1.horizon),
         summary.visit_summary(f.visits(), f.enrollment(), COHORT_1.horizon),
-        engagement.survey_summary(indexed, COHORT_1),
+        _survey_summary(f, COHORT_1),
         summary.baseline_max(indexed, "sum_phq8"),
     )
 
 
 def _fit(f: Fixtures) -> cox.CoxFit:
-    terms = retention.model_terms(SITES)
-    return cox.coxph(retention.long_matrix(_cohort_table(f), terms), terms, model="stream")
+    table = _cohort_table(f)
+    terms = retention.model_terms(table.columns, SITES)
+    return cox.coxph(retention.long_matrix(table, terms), terms, model="stream")
 
 
 # Cleaning and alignment ----------------------------------------------------------
@@ -350,7 +364,7 @@ def survey_period_summary(f: Fixtures) -> DataFrame:
 
 @query
 def survey_period_summary_cohort_2(f: Fixtures) -> DataFrame:
-    return present(engagement.survey_summary(_indexed_surveys(f), COHORT_2))
+    return present(_survey_summary(f, COHORT_2))
 
 
 @query
@@ -464,7 +478,7 @@ def _streams(f: Fixtures) -> DataFrame:
     indexed = _indexed_surveys(f)
     shared = ("age", "mean_phq8_score", "phq8_response_min", "phq8_total_s", "sum_phq8")
     people = summary.star(
-        _wide_words(f), _people(f).select("p_id", "age"), engagement.survey_summary(indexed, COHORT_1), summary.baseline_max(indexed, "sum_phq8")
+        _wide_words(f), _people(f).select("p_id", "age"), _survey_summary(f, COHORT_1), summary.baseline_max(indexed, "sum_phq8")
     )
     rows = engagement.by_stream(people, COHORT_1, RULE_BINS, ("p_id", *shared))
     total = F.col("phq8_total_s") + F.col("phq8_response_min")
@@ -577,13 +591,13 @@ def density_grid(f: Fixtures) -> DataFrame:
 def boxplot_by_group(f: Fixtures) -> DataFrame:
     values = ["age", "sum_phq8", "phq8_response_min", "phq8_total_s"]
     long = describe.melt(_streams(f), ["cat", "cluster"], values)
-    return present(describe.boxplot_stats(long, ["variable", "cat", "cluster"]))
+    return present(describe.boxplot_stats(long, ["variable", "cat", "cluster"], bucket_by="variable"))
 
 
 @query
 def whisker_limits(f: Fixtures) -> DataFrame:
     long = describe.melt(_streams(f), [], ["phq8_response_min", "phq8_total_s"])
-    limits = describe.whisker_limits(long, ["variable"])
+    limits = describe.whisker_limits(long, ["variable"], bucket_by="variable")
     low = F.col("lo") * F.when(F.col("variable") == "phq8_response_min", 0.0).otherwise(1.0)
     return present(limits.select("variable", low.alias("lo"), (F.col("hi") * F.lit(1.1)).alias("hi")))
 
@@ -692,8 +706,9 @@ def episode_split_cohort_2(f: Fixtures) -> DataFrame:
 
 @query
 def design_matrix(f: Fixtures) -> DataFrame:
-    terms = retention.model_terms(SITES)
-    matrix = survival.design_matrix(_cohort_table(f), terms, ["p_id"])
+    table = _cohort_table(f)
+    terms = retention.model_terms(table.columns, SITES)
+    matrix = survival.design_matrix(table, terms, ["p_id"])
     return present(survival.design_columns(matrix, len(survival.term_names(terms)), ["p_id"]))
 
 
@@ -709,24 +724,19 @@ def cox_summary(f: Fixtures) -> DataFrame:
     return present(joined.withColumnRenamed("model", "stream"))
 
 
-def _stratified(f: Fixtures, cohort: Cohort, stream: str) -> cox.CoxFit:
-    cuts, column = cohort.episodes[stream]
-    groups = tuple(range(1, len(cuts) + 2))
-    terms = retention.model_terms(SITES, column, groups, ("male", "female"))
-    table = _cohort_table(f, cohort).withColumnsRenamed({f"duration_{stream}": "duration", f"event_{stream}": "event"})
-    rows = survival.episode_split(table, cuts)
-    matrix = survival.design_matrix(rows, terms, ["p_id", "tgroup", "tstop", "event"])
-    return cox.coxph(matrix, terms, stratum="tgroup", time="tstop")
+def _stratified(f: Fixtures, cohort: Cohort, stream: str) -> DataFrame:
+    fit = retention.episode_model(_cohort_table(f, cohort), cohort, stream, SITES)
+    return present(fit.coefficients().withColumn("model", F.lit(stream)).withColumnRenamed("model", "stream"))
 
 
 @query
 def cox_stratified(f: Fixtures) -> DataFrame:
-    return present(_stratified(f, COHORT_1, "phone").coefficients().withColumn("model", F.lit("phone")).withColumnRenamed("model", "stream"))
+    return _stratified(f, COHORT_1, "phone")
 
 
 @query
 def cox_stratified_cohort_2(f: Fixtures) -> DataFrame:
-    return present(_stratified(f, COHORT_2, "active").coefficients().withColumn("model", F.lit("active")).withColumnRenamed("model", "stream"))
+    return _stratified(f, COHORT_2, "active")
 
 
 @query
