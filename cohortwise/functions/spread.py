@@ -17,7 +17,7 @@ def _partitions(spark: SparkSession) -> int:
 
 def salts(spark: SparkSession) -> int:
     """Number of parts a key's rows are spread over; grows with the cluster's shuffle width."""
-    return max(8, min(256, _partitions(spark) // 4))
+    return max(8, min(128, _partitions(spark) // 4))
 
 
 def bucket_side(spark: SparkSession) -> int:

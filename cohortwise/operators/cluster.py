@@ -39,11 +39,11 @@ def activity_patterns(words: DataFrame, bins: int) -> DataFrame:
     return durable(counted.withColumn("features", array_to_vector(activity_vector(names, bins))))
 
 
-def fit_kmeans(patterns: DataFrame, k: int, seed: int, max_iter: int = 50) -> KMeansModel:
+def fit_kmeans(patterns: DataFrame, k: int, seed: int, max_iter: int = 20) -> KMeansModel:
     return KMeans(k=k, seed=seed, maxIter=max_iter, weightCol="weight").fit(patterns)
 
 
-def assign_kmeans(words: DataFrame, bins: int, k: int, seed: int, max_iter: int = 50) -> DataFrame:
+def assign_kmeans(words: DataFrame, bins: int, k: int, seed: int, max_iter: int = 20) -> DataFrame:
     """``(p_id, raw_cluster, cluster)``: k-means membership and its stable label.
 
     Clusters are named C1..Ck by falling mean number of engaged bins, ties by

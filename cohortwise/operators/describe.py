@@ -65,7 +65,7 @@ def density_grid(df: DataFrame, key: str, value: str = "value", points: int = 51
     different values with their counts, so its cost follows the value domain
     (whole days) and not the number of participants.
     """
-    counts = value_counts(df, [key], value).filter(F.col("value").isNotNull())
+    counts = durable(value_counts(df, [key], value).filter(F.col("value").isNotNull()))
     ranked = running_counts(counts, [key], bounded=True)
     number = F.col("value").cast("double")
     mean = F.sum(number * F.col("n")) / F.sum("n")

@@ -717,6 +717,14 @@ def cox_coefficients(f: Fixtures) -> DataFrame:
     return present(_fit(f).coefficients().withColumnRenamed("model", "stream"))
 
 
+@query
+def cox_one_covariate(f: Fixtures) -> DataFrame:
+    terms = [survival.Factor("sex", ("female", "male"))]
+    fit = cox.coxph(retention.long_matrix(_cohort_table(f), terms), terms, model="stream", tolerance=1e-12)
+    joined = fit.coefficients().join(fit.summary().select("model", "n", "n_event", "loglik_null", "loglik"), "model")
+    return present(joined.select(F.col("model").alias("stream"), "n", "n_event", "coef", "hr", "se", "z", "loglik_null", "loglik"), 5)
+
+
 @query
 def cox_summary(f: Fixtures) -> DataFrame:
     fit = _fit(f)

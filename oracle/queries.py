@@ -306,7 +306,28 @@ _SUBDAY_LABELS = """(SELECT e.p_id, 'app' AS stream, coalesce(date_diff('day', e
   WHERE v.ts <= CAST(e.enrollment_date AS TIMESTAMP) + INTERVAL 21 DAY) AS DATE)), 0) < 14 THEN 1 ELSE 0 END AS event
  FROM fx_ev_enrollment e LEFT JOIN fx_ev_stream v USING (p_id) GROUP BY e.p_id, e.enrollment_date)"""
 
+_ONE_COVARIATE = """SELECT stream, CAST(n AS BIGINT) AS n, CAST(n_event AS BIGINT) AS n_event, round(b, 5) AS coef, round(exp(b), 5) AS hr,
+ round(1 / sqrt(info), 5) AS se, round(b * sqrt(info), 5) AS z, round(null_ll, 5) AS loglik_null, round(ll, 5) AS loglik
+ FROM (WITH RECURSIVE long AS (SELECT s.stream, CASE s.stream WHEN 'active' THEN duration_active WHEN 'phone' THEN duration_phone ELSE duration_fitbit END AS time,
+   CASE s.stream WHEN 'active' THEN event_active WHEN 'phone' THEN event_phone ELSE event_fitbit END AS event, CASE WHEN sex = 'male' THEN 1 ELSE 0 END AS male
+   FROM cohort_table CROSS JOIN (SELECT unnest(['active', 'phone', 'fitbit']) AS stream) s),
+  days AS (SELECT stream, time, CAST(count(*) AS DOUBLE) AS n, CAST(sum(male) AS DOUBLE) AS m, CAST(sum(event) AS BIGINT) AS d, CAST(sum(event * male) AS DOUBLE) AS dm
+   FROM long GROUP BY stream, time),
+  risk AS (SELECT stream, d, dm, sum(n) OVER w AS n, sum(m) OVER w AS m FROM days WINDOW w AS (PARTITION BY stream ORDER BY time DESC)),
+  steps AS (SELECT stream, n - m - (l / CAST(d AS DOUBLE)) * (d - dm) AS w0, m - (l / CAST(d AS DOUBLE)) * dm AS w1
+   FROM (SELECT *, unnest(range(0, d)) AS l FROM risk WHERE d > 0)),
+  sizes AS (SELECT stream, count(*) AS n, sum(event) AS n_event, CAST(sum(event * male) AS DOUBLE) AS dm FROM long GROUP BY stream),
+  newton(stream, i, b) AS (SELECT DISTINCT stream, 0, CAST(0 AS DOUBLE) FROM sizes
+   UNION ALL SELECT r.stream, r.i + 1, any_value(r.b) + (any_value(z.dm) - sum(w1 * exp(r.b) / (w0 + w1 * exp(r.b))))
+     / sum(w1 * exp(r.b) / (w0 + w1 * exp(r.b)) * (1 - w1 * exp(r.b) / (w0 + w1 * exp(r.b))))
+   FROM newton r JOIN steps t ON t.stream = r.stream JOIN sizes z ON z.stream = r.stream WHERE r.i < 12 GROUP BY r.stream, r.i)
+  SELECT r.stream, any_value(z.n) AS n, any_value(z.n_event) AS n_event, any_value(r.b) AS b,
+   sum(w1 * exp(r.b) / (w0 + w1 * exp(r.b)) * (1 - w1 * exp(r.b) / (w0 + w1 * exp(r.b)))) AS info,
+   -sum(ln(w0 + w1)) AS null_ll, any_value(z.dm) * any_value(r.b) - sum(ln(w0 + w1 * exp(r.b))) AS ll
+  FROM newton r JOIN steps t ON t.stream = r.stream JOIN sizes z ON z.stream = r.stream WHERE r.i = 12 GROUP BY r.stream)"""
+
 _TEXTS = {
+    "cox_one_covariate": _ONE_COVARIATE,
     "enrollment_dim": "SELECT p_id, enrollment_date, withdrawal_date, CAST(date_diff('day', DATE '2017-11-30', enrollment_date) AS BIGINT) AS delta_enrol_vs_study_start FROM fx_enrollment",
     "participant_dates": """SELECT p_id, active_first, active_last, passive_first, passive_last, phone_first, phone_last, fitbit_first, fitbit_last,
  clin_first, clin_last, enrollment_date
