@@ -717,14 +717,24 @@ def cox_coefficients(f: Fixtures) -> DataFrame:
     return present(_fit(f).coefficients().withColumnRenamed("model", "stream"))
 
 
+def _sex_model(f: Fixtures) -> cox.CoxFit:
+    terms = [survival.Factor("sex", ("female", "male"))]
+    return cox.coxph(retention.long_matrix(_cohort_table(f), terms), terms, model="stream", tolerance=1e-12)
+
+
 @query
 def cox_one_covariate(f: Fixtures) -> DataFrame:
-    terms = [survival.Factor("sex", ("female", "male"))]
-    fit = cox.coxph(retention.long_matrix(_cohort_table(f), terms), terms, model="stream", tolerance=1e-12)
+    fit = _sex_model(f)
     joined = fit.coefficients().join(fit.summary().select("model", "n", "n_event", "loglik_null", "loglik"), "model")
     return present(joined.select(F.col("model").alias("stream"), "n", "n_event", "coef", "hr", "se", "z", "loglik_null", "loglik"), 5)
 
 
+@query
+def zph_one_covariate(f: Fixtures) -> DataFrame:
+    tests = _sex_model(f).ph_test().filter(F.col("term") == "GLOBAL")
+    return present(tests.select(F.col("model").alias("stream"), "chisq", "df"), 5)
+
+
 @query
 def cox_summary(f: Fixtures) -> DataFrame:
     fit = _fit(f)
