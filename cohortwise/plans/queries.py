@@ -735,6 +735,16 @@ def zph_one_covariate(f: Fixtures) -> DataFrame:
     return present(tests.select(F.col("model").alias("stream"), "chisq", "df"), 5)
 
 
+@query
+def cox_episode_effect(f: Fixtures) -> DataFrame:
+    cuts = COHORT_1.episodes["phone"][0]
+    terms = [survival.ByStratum(survival.Factor("sex", ("male", "female")), "tgroup", tuple(range(1, len(cuts) + 2)))]
+    table = _cohort_table(f).withColumnsRenamed({"duration_phone": "duration", "event_phone": "event"})
+    matrix = survival.design_matrix(survival.episode_split(table, cuts), terms, ["p_id", "tgroup", "tstop", "event"])
+    fit = cox.coxph(matrix, terms, stratum="tgroup", time="tstop", tolerance=1e-12)
+    return present(fit.coefficients().filter(F.col("coef").isNotNull()).select("term", "coef", "se"), 5)
+
+
 @query
 def cox_summary(f: Fixtures) -> DataFrame:
     fit = _fit(f)

@@ -307,9 +307,14 @@ _SUBDAY_LABELS = """(SELECT e.p_id, 'app' AS stream, coalesce(date_diff('day', e
  FROM fx_ev_enrollment e LEFT JOIN fx_ev_stream v USING (p_id) GROUP BY e.p_id, e.enrollment_date)"""
 
 # Newton steps for one 0/1 covariate: risk sets reduce to counts of men and women per day.
-_NEWTON = """WITH RECURSIVE long AS (SELECT s.stream, CASE s.stream WHEN 'active' THEN duration_active WHEN 'phone' THEN duration_phone ELSE duration_fitbit END AS time,
+_STREAM_ROWS = """SELECT s.stream, CASE s.stream WHEN 'active' THEN duration_active WHEN 'phone' THEN duration_phone ELSE duration_fitbit END AS time,
    CASE s.stream WHEN 'active' THEN event_active WHEN 'phone' THEN event_phone ELSE event_fitbit END AS event, CASE WHEN sex = 'male' THEN 1 ELSE 0 END AS male
-   FROM cohort_table CROSS JOIN (SELECT unnest(['active', 'phone', 'fitbit']) AS stream) s),
+   FROM cohort_table CROSS JOIN (SELECT unnest(['active', 'phone', 'fitbit']) AS stream) s"""
+
+
+def _newton(rows: str) -> str:
+    """CTEs up to ``fitted``: one model per ``stream`` of ``rows``."""
+    return f"""WITH RECURSIVE long AS ({rows}),
   days AS (SELECT stream, time, CAST(count(*) AS DOUBLE) AS n, CAST(sum(male) AS DOUBLE) AS m, CAST(sum(event) AS BIGINT) AS d, CAST(sum(event * male) AS DOUBLE) AS dm
    FROM long GROUP BY stream, time),
   risk AS (SELECT stream, time, d, dm, sum(n) OVER w AS n, sum(m) OVER w AS m FROM days WINDOW w AS (PARTITION BY stream ORDER BY time DESC)),
@@ -322,16 +327,17 @@ _NEWTON = """WITH RECURSIVE long AS (SELECT s.stream, CASE s.stream WHEN 'active
    FROM newton r JOIN steps t ON t.stream = r.stream JOIN sizes z ON z.stream = r.stream WHERE r.i < 12 GROUP BY r.stream, r.i),
   fitted AS (SELECT stream, b FROM newton WHERE i = 12)"""
 
+
 _ONE_COVARIATE = f"""SELECT stream, CAST(n AS BIGINT) AS n, CAST(n_event AS BIGINT) AS n_event, round(b, 5) AS coef, round(exp(b), 5) AS hr,
  round(1 / sqrt(info), 5) AS se, round(b * sqrt(info), 5) AS z, round(null_ll, 5) AS loglik_null, round(ll, 5) AS loglik
- FROM ({_NEWTON}
+ FROM ({_newton(_STREAM_ROWS)}
   SELECT r.stream, any_value(z.n) AS n, any_value(z.n_event) AS n_event, any_value(r.b) AS b,
    sum(w1 * exp(r.b) / (w0 + w1 * exp(r.b)) * (1 - w1 * exp(r.b) / (w0 + w1 * exp(r.b)))) AS info,
    -sum(ln(w0 + w1)) AS null_ll, any_value(z.dm) * any_value(r.b) - sum(ln(w0 + w1 * exp(r.b))) AS ll
   FROM fitted r JOIN steps t ON t.stream = r.stream JOIN sizes z ON z.stream = r.stream GROUP BY r.stream)"""
 
 _TREND = f"""SELECT stream, round(u * u / (i22 - i12 * i12 / i11), 5) AS chisq, CAST(1 AS BIGINT) AS df
- FROM ({_NEWTON},
+ FROM ({_newton(_STREAM_ROWS)},
   before AS (SELECT stream, time, d, dm, coalesce(product(1.0 - d / n) OVER (PARTITION BY stream ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS s FROM risk),
   centred AS (SELECT stream, time, dm, (1 - s) - sum((1 - s) * d) OVER (PARTITION BY stream) / sum(d) OVER (PARTITION BY stream) AS g, d FROM before),
   pieces AS (SELECT t.stream, t.time, sum(w1 * exp(b) / (w0 + w1 * exp(b))) AS mean, sum(w1 * exp(b) / (w0 + w1 * exp(b)) * (1 - w1 * exp(b) / (w0 + w1 * exp(b)))) AS v
@@ -339,9 +345,19 @@ _TREND = f"""SELECT stream, round(u * u / (i22 - i12 * i12 / i11), 5) AS chisq,
   SELECT p.stream, sum(g * (dm - mean)) AS u, sum(v) AS i11, sum(g * v) AS i12, sum(g * g * v) AS i22
   FROM pieces p JOIN centred c ON c.stream = p.stream AND c.time = p.time GROUP BY p.stream)"""
 
+_EPISODE_ROWS = """SELECT CAST(e.tgroup AS VARCHAR) AS stream, e.tstop AS time, e.event, CASE WHEN d.sex = 'male' THEN 1 ELSE 0 END AS male
+   FROM episodes_phone e JOIN people d ON d.p_id = e.p_id"""
+_EPISODE_EFFECT = f"""SELECT 'sex=male:tgroup=' || stream AS term, round(b, 5) AS coef, round(1 / sqrt(info), 5) AS se
+ FROM ({_newton(_EPISODE_ROWS)}
+  SELECT r.stream, any_value(r.b) AS b, sum(w1 * exp(r.b) / (w0 + w1 * exp(r.b)) * (1 - w1 * exp(r.b) / (w0 + w1 * exp(r.b)))) AS info
+  FROM fitted r JOIN steps t ON t.stream = r.stream GROUP BY r.stream)"""
+HELPERS["episodes_phone"] = _episodes("labels_people", "phone", (130, 240))
+_ORDER.append("episodes_phone")
+
 _TEXTS = {
     "cox_one_covariate": _ONE_COVARIATE,
     "zph_one_covariate": _TREND,
+    "cox_episode_effect": _EPISODE_EFFECT,
     "enrollment_dim": "SELECT p_id, enrollment_date, withdrawal_date, CAST(date_diff('day', DATE '2017-11-30', enrollment_date) AS BIGINT) AS delta_enrol_vs_study_start FROM fx_enrollment",
     "participant_dates": """SELECT p_id, active_first, active_last, passive_first, passive_last, phone_first, phone_last, fitbit_first, fitbit_last,
  clin_first, clin_last, enrollment_date

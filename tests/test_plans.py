@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-MODELS = {"cox_coefficients", "cox_one_covariate", "zph_one_covariate", "cox_summary", "cox_stratified", "cox_stratified_cohort_2", "hr_report", "forest_table", "zph_test",
+MODELS = {"cox_coefficients", "cox_one_covariate", "zph_one_covariate", "cox_episode_effect", "cox_summary", "cox_stratified", "cox_stratified_cohort_2", "hr_report", "forest_table", "zph_test",
           "schoenfeld_residuals", "schoenfeld_at_zero", "residual_covariance", "wss_curve", "kmeans_assign", "cluster_labels", "cluster_labels_cohort_2"}
 
 
