@@ -26,9 +26,9 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,9 +191,15 @@ class WordBpe:
         return [int(i) for ids, _ in self.parts(text) for i in ids.split()]
 
 
+@lru_cache(maxsize=1)
+def word_bpe(path: str) -> WordBpe:
+    """The coder of this Python worker; later tasks find its memos filled."""
+    return WordBpe(path)
+
+
 def encode_documents(documents: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, ids, decoded)``: the ids of each whole text and what they decode to."""
-    return _by_document(documents, tokenizer_path, id_column, text_column, "doc_id long, ids array<int>, decoded string", lambda ids, text: (np.array(ids.split(), dtype="int32"), text))
+    return _by_document(documents, tokenizer_path, id_column, text_column, "doc_id long, ids array<int>, decoded string", lambda ids, text: ([int(i) for i in ids.split()], text))
 
 
 def encode_digests(documents: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -206,19 +212,19 @@ def encode_digests(documents: DataFrame, tokenizer_path: str, id_column: str = "
 
 
 def _by_document(documents, tokenizer_path, id_column, text_column, schema, shape) -> DataFrame:
-    columns = [x.split()[0] for x in schema.split(", ")][1:]
+    kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    columns = [(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))]
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = WordBpe(tokenizer_path)
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = word_bpe(tokenizer_path)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                # a chunk without any word (white space only) has no ids
-                parts = [p for p in coder.parts(text) if p[0]]
-                rows.append(shape(" ".join(p[0] for p in parts), " ".join(p[1] for p in parts)))
-            out = pd.DataFrame(rows, columns=columns)
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield out
+            for text in batch.column("text"):
+                # a chunk without any word has no ids
+                parts = [p for p in coder.parts(text.as_py()) if p[0]]
+                rows.append(shape(" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])))
+            values = [batch.column("doc_id"), *(pa.array([row[k] for row in rows], kind) for k, (_, kind) in enumerate(columns[1:]))]
+            yield pa.RecordBatch.from_arrays(values, names=[name for name, _ in columns])
 
     narrow = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return narrow.mapInPandas(encoded, schema)
+    return narrow.mapInArrow(encoded, schema)

@@ -1,3 +1,75 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+OP5 = """
+WITH digests AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, text_sha256,
+       max(doc_id) OVER same AS keep_id,
+       count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept
+FROM digests WINDOW same AS (PARTITION BY t)
+"""
+
+OP6 = r"""
+WITH RECURSIVE rules(verdict, host, path) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), links AS (
+    SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages
+), raw_edges AS (
+    SELECT url AS a, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) AS b FROM links WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical')
+    UNION ALL
+    SELECT url, regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1) FROM links
+    WHERE regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh') AND NOT regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical')
+), urls AS (
+    SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT b FROM raw_edges) WHERE url IS NOT NULL
+), split AS (
+    SELECT url, strpos(url, '://') AS mark, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM urls
+), parts AS (
+    SELECT url, mark,
+           translate(regexp_extract(rest, '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '\A[^/?#]*([^?#]*)', 1) AS path,
+           CASE WHEN mark > 0 THEN translate(substr(url, 1, mark - 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' ||
+               translate(regexp_extract(rest, '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '\A[^/?#]*([^#]*)', 1) END AS node
+    FROM split
+), fitted AS (
+    SELECT p.*, r.host || r.path AS rule, r.verdict,
+           row_number() OVER (PARTITION BY p.url ORDER BY length(r.host || r.path) DESC NULLS LAST) AS place
+    FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+), own AS (SELECT * FROM fitted WHERE place = 1),
+edges AS (
+    SELECT x.node AS a, y.node AS b FROM raw_edges e JOIN own x ON e.a = x.url JOIN own y ON e.b = y.url WHERE x.node <> y.node
+), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+alias AS (SELECT r.a AS node, min(o.verdict) AS verdict, least(min(r.b), r.a) AS component FROM reach r JOIN own o ON o.node = r.b GROUP BY r.a)
+SELECT p.page_id, coalesce(o.host, '') AS host, coalesce(o.path, '') AS path, o.rule, coalesce(o.verdict, a.verdict, 'allow') AS verdict, a.component
+FROM pages p LEFT JOIN own o ON p.url = o.url LEFT JOIN alias a ON o.node = a.node
+"""
+
+OP8 = r"""
+WITH kinds(k, kind, pattern, part, least) AS (
+    VALUES (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+           (1, 'access', 'AKIA[A-Z0-9]+', 0, 20),
+           (2, 'hex', '[0-9a-f]+', 0, 24)
+), texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+    SELECT r, t, 'assign' AS kind, regexp_extract_all(t, (SELECT pattern FROM kinds WHERE k = 0)) AS hits, regexp_extract_all(t, (SELECT pattern FROM kinds WHERE k = 0), 2) AS parts,
+           string_split_regex(t, (SELECT pattern FROM kinds WHERE k = 0)) AS gaps FROM texts
+    UNION ALL
+    SELECT r, t, 'access', regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM texts
+    UNION ALL
+    SELECT r, t, 'hex', regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM texts
+), hits AS (
+    SELECT r, kind, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(parts) AS part, unnest(gaps[:len(hits)]) AS gap FROM found
+), placed AS (
+    SELECT r, kind, hit, part, sum(length(hit) + length(gap)) OVER (PARTITION BY r, kind ORDER BY i) AS ends FROM hits
+), spans AS (
+    SELECT p.r, p.kind, k.k, ends - length(hit) AS s, ends AS e FROM placed p JOIN kinds k USING (kind) WHERE length(p.part) >= k.least
+), joined AS (
+    SELECT r, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, k) AS spans,
+           count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM spans GROUP BY r
+)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       coalesce(spans, '') AS spans, sha256(coalesce(spans, '')) AS base_sha256
+FROM texts t LEFT JOIN joined j USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_secret_scan": OP8}

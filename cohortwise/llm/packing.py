@@ -23,9 +23,10 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,6 +81,12 @@ class UnitEncoder:
         return self._ids(units[:1])[0] + b"".join(map(self._spaced.__getitem__, rest))
 
 
+@lru_cache(maxsize=1)
+def unit_encoder(path: str) -> UnitEncoder:
+    """The encoder of this Python worker; later tasks find its memo filled."""
+    return UnitEncoder(path)
+
+
 def assign(lengths: list[int], spec: Packing) -> list[tuple[int, int, int, int, int]]:
     """``(document, start, length, sequence, offset)`` of all pieces of one window; sequences count from 0."""
     pieces, small, sequences = [], [], 0
@@ -111,30 +118,29 @@ def pack(documents: DataFrame, tokenizer_path: str, spec: Packing = Packing(), i
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, closing = UnitEncoder(tokenizer_path), np.asarray([spec.closing_id], dtype="<u4").tobytes()
+    columns = [(name, pa.list_(pa.int32()) if kind == "array<int>" else pa.int64()) for name, kind in (x.split() for x in schema.split(", "))]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, closing = unit_encoder(tokenizer_path), np.asarray([spec.closing_id], dtype="<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
-        used, held, names, texts = 0, 0, [], []
+        held, names, texts = 0, [], []
 
-        def window() -> pd.DataFrame:
-            nonlocal used
-            lengths = [len(x) // 4 for x in texts]
-            rows = []
+        def window() -> pa.RecordBatch:
+            nonlocal first
+            lengths, rows = [len(x) // 4 for x in texts], []
             for document, start, n, sequence, offset in assign(lengths, spec):
                 ids = memoryview(texts[document])[4 * start : 4 * (start + n)]
-                row = (names[document], start, n, zlib.crc32(ids), lengths[document], first + used + sequence, offset)
+                row = (names[document], start, n, zlib.crc32(ids), lengths[document], first + sequence, offset)
                 rows.append((*row, np.frombuffer(ids, "<u4").astype("int32")) if with_ids else row)
-            used = max((row[5] for row in rows), default=first - 1) + 1 - first
-            frame = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            first = max(row[5] for row in rows) + 1
             names.clear()
             texts.clear()
-            return frame
+            return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, (_, kind) in zip(zip(*rows), columns)], names=[name for name, _ in columns])
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"], batch["text"]):
-                names.append(None if pd.isna(name) else int(name))
-                texts.append(encode(text) + closing)
+            for name, text in zip(batch.column("doc_id"), batch.column("text")):
+                names.append(name.as_py())
+                texts.append(encode(text.as_py()) + closing)
                 held += len(texts[-1]) // 4
                 if held >= spec.window_tokens:
                     yield window()
@@ -143,4 +149,4 @@ def pack(documents: DataFrame, tokenizer_path: str, spec: Packing = Packing(), i
             yield window()
 
     narrow = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return narrow.mapInPandas(packed, schema)
+    return narrow.mapInArrow(packed, schema)

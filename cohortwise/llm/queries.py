@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortwise.llm import bpe, packing
+from cohortwise.llm import bpe, exact_dedup, packing, secrets, sharding, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,9 +24,48 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in shards 0 to 39 by the law ``rows``."""
+    records = sharding.document_records(_table(spark, folder, "documents"))
+    placed = sharding.shuffle_into_shards(records, 40, ["doc_id", "text_crc32", "size"], "size")
+    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays; one row per document."""
+    return exact_dedup.deduplicate(_table(spark, folder, "documents")).withColumnRenamed("digest", "text_sha256")
+
+
+# The rules of the benchmark query.
+PAGE_RULES = (
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+)
+
+
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, longest fitting rule and verdict of every page."""
+    return url_filter.judge(_table(spark, folder, "pages"), PAGE_RULES)
+
+
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every whole text."""
+    return secrets.report(secrets.scan(_table(spark, folder, "documents")))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encoding and decoding of every whole text, as digests."""
     return bpe.encode_digests(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op9_bpe": op9_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op4_sharding": op4_sharding,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_bpe": op9_bpe,
+}
