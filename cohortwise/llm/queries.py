@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import bpe, exact_dedup, packing, secrets, sharding, url_filter
+from cohortwise.llm import bpe, exact_dedup, packing, quality, secrets, sharding, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Votes, score and decision of the weakly supervised quality scorer on every document."""
+    documents = _table(spark, folder, "documents")
+    return quality.score(documents, quality.fit(documents))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in shards 0 to 39 by the law ``rows``."""
     records = sharding.document_records(_table(spark, folder, "documents"))
@@ -63,6 +69,7 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
