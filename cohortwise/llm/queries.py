@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import bpe, exact_dedup, packing, quality, secrets, sharding, url_filter
+from cohortwise.llm import bpe, exact_dedup, language_model, packing, quality, secrets, sharding, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,6 +57,13 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(_table(spark, folder, "pages"), PAGE_RULES)
 
 
+def op7_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Base and model score of every whole text; six of seven documents train."""
+    documents = _table(spark, folder, "documents")
+    model = language_model.train(documents.where(~language_model.held_out(F.col("doc_id"))))
+    return language_model.score(documents, model).withColumn("held_out", language_model.held_out(F.col("doc_id")))
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every whole text."""
     return secrets.report(secrets.scan(_table(spark, folder, "documents")))
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_url_filter": op6_url_filter,
+    "op7_language_model": op7_language_model,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
 }
