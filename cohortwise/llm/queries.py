@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import bpe, exact_dedup, language_model, packing, quality, secrets, sharding, url_filter
+from cohortwise.llm import bpe, exact_dedup, language_model, minhash, packing, quality, secrets, sharding, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all whole texts on shingles of two words."""
+    return minhash.near_duplicates(_table(spark, folder, "documents"), minhash.NearDuplicates(shingle=2, percent=80))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_quality": op3_quality,
@@ -83,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_model": op7_language_model,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
+    "op10_minhash": op10_minhash,
 }
