@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import bpe, exact_dedup, language_model, minhash, packing, quality, secrets, sharding, url_filter
+from cohortwise.llm import bpe, embedding_dedup, exact_dedup, language_model, minhash, packing, quality, secrets, sharding, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of all vectors with a cosine of at least 0.98 within their label."""
+    return embedding_dedup.near_vectors(_table(spark, folder, "embeddings"), 0.98)
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Votes, score and decision of the weakly supervised quality scorer on every document."""
     documents = _table(spark, folder, "documents")
@@ -81,6 +86,7 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_cover_tree": op2_cover_tree,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op5_exact_dedup": op5_exact_dedup,

@@ -176,5 +176,5 @@ def masked(documents: DataFrame, rules: Sequence[SecretRule] = BASE_RULES) -> Da
         joined = joined.withColumn("text", F.when(concerned & F.col("text").rlike(rule.pattern), _without(F.col("text"), rule)).otherwise(F.col("text")))
     if "n_chars" in names:
         kind = documents.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kind)))
+        joined = joined.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
     return joined.select(*names)

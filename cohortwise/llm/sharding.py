@@ -14,7 +14,7 @@ in two levels so that no task sees more than about the square root of the bucket
 Defined results: records with a null key are scattered by their other scatter
 columns; identical records may land anywhere, each once; an empty table gives
 empty shards; with more shards than records some shards stay empty. Columns named
-like the result's (``shard``, ``slot``) are refused.
+like the result's (``shard``, ``slot``) are replaced by it.
 """
 
 from __future__ import annotations
@@ -39,9 +39,7 @@ def shuffle_into_shards(records: DataFrame, shards: int, scatter_by: Sequence[st
     ``scatter_by`` are columns with scalar values that tell records apart; ``size``
     is a column with the bytes of a record, for buckets of ``bucket_bytes`` on average.
     """
-    taken = {"shard", "slot", _BUCKET, _PLACE} & set(records.columns)
-    if taken:
-        raise ValueError(f"columns already there: {sorted(taken)}")
+    records = records.drop("shard", "slot", _BUCKET, _PLACE)
     spark = records.sparkSession
     total = records.agg(F.sum(size)).first()[0] or 0
     buckets = max(math.ceil(total / bucket_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
