@@ -1,7 +1,65 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``.
+
+Five stages, each on what the one before kept: weakly supervised quality filter,
+exact dedup, near-dedup (one document of each group stays), masking of secrets,
+and packing into sequences of 2048 tokens. All but the last return the columns of
+the documents. Between stages the documents are written as Parquet to the shared
+folder and read again, so a lost executor never reaches back beyond one stage.
+"""
 
 from __future__ import annotations
 
-from cohortwise.llm.pipeline import ORACLE_SQL, STAGES, run
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from cohortwise.llm import exact_dedup, minhash, packing, quality, secrets
+from cohortwise.llm.common import shared_folder
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality scorer accepts."""
+    return quality.keep_good(docs, quality.fit(docs))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    return minhash.drop_near_copies(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked."""
+    return secrets.masked(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
+
+# The scorer, the tokenizer and the greedy packing have no SQL form; tests hold the stages against brute force.
+ORACLE_SQL = None
+
 
-__all__ = ["ORACLE_SQL", "STAGES", "run"]
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents in ``sf_dir``."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
