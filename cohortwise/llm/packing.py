@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -66,19 +66,44 @@ class UnitEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._spaced = Memo(lambda units: self._ids([" " + unit for unit in units]))
+        self._spaced = Memo(lambda units: self._ids([" " + unit for unit in units]), 400_000)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text:  # may hold the name of a special token, which takes in no neighbouring space
-            return self._ids([text])[0]
-        units = _UNIT_START.split(text) if _AWKWARD.search(text) else text.split(" ")
-        rest = units[1:]
-        self._spaced.ensure(set(rest))
-        return self._ids(units[:1])[0] + b"".join(map(self._spaced.__getitem__, rest))
+    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text; unknown units of about a million characters are encoded at once."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= 1_000_000:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        split, known, unknown = [], [], set()
+        for text in texts:
+            if "<|" in text:  # may hold the name of a special token, which takes in no neighbouring space
+                units = [text]
+            else:
+                units = _UNIT_START.split(text) if _AWKWARD.search(text) else text.split(" ")
+            parts = list(map(self._spaced.get, units))
+            parts[0] = b""
+            if None in parts:
+                unknown.update(unit for unit, part in zip(units, parts) if part is None)
+            split.append(units)
+            known.append(parts)
+        self._spaced.ensure(unknown)
+        heads = self._ids([units[0] for units in split])
+        out = []
+        for head, units, parts in zip(heads, split, known):
+            if None in parts:
+                parts = [self._spaced[unit] if part is None else part for unit, part in zip(units, parts)]
+            out.append(head + b"".join(parts))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -138,9 +163,9 @@ def pack(documents: DataFrame, tokenizer_path: str, spec: Packing = Packing(), i
             return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, (_, kind) in zip(zip(*rows), columns)], names=[name for name, _ in columns])
 
         for batch in batches:
-            for name, text in zip(batch.column("doc_id"), batch.column("text")):
+            for name, ids in zip(batch.column("doc_id"), encode(text.as_py() for text in batch.column("text"))):
                 names.append(name.as_py())
-                texts.append(encode(text.as_py()) + closing)
+                texts.append(ids + closing)
                 held += len(texts[-1]) // 4
                 if held >= spec.window_tokens:
                     yield window()
