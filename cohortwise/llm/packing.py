@@ -21,16 +21,19 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortwise.llm.bpe import byte_alphabet
 from cohortwise.llm.common import Memo, whole_text
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -39,6 +42,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _INVISIBLE = r"\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁯　﻿"
 _AWKWARD = re.compile(f" [{_INVISIBLE}]")
 _UNIT_START = re.compile(f" (?=[^{_INVISIBLE}])")
+#: Characters whose kind no version of Unicode disputes, and the pre-tokenizer's pieces among them.
+_ORDINARY = re.compile("[\n -~¡-ɏ]+").fullmatch
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 
 
 @dataclass(frozen=True)
@@ -57,7 +63,10 @@ class UnitEncoder:
 
     The byte-level pre-tokenizer never joins what stands before a space and a
     visible character with what follows, so a text is the sequence of its
-    space-separated units; units repeat, and their ids are remembered.
+    space-separated units; units repeat, and their ids are remembered. Units of
+    ordinary characters are cut into pieces as the pre-tokenizer does, and the
+    library's merge model encodes a piece once; all others go through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
@@ -66,11 +75,33 @@ class UnitEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._spaced = Memo(lambda units: self._ids([" " + unit for unit in units]), 400_000)
+        self._letters = byte_alphabet()
+        self._piece = Memo(lambda pieces: map(self._piece_ids, pieces))
+        self._spaced = Memo(self._unit_ids, 500_000)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _piece_ids(self, piece: str) -> bytes:
+        word = "".join([self._letters[b] for b in piece.encode()])
+        return array("I", [t.id for t in self._tokenizer.model.tokenize(word)]).tobytes()
+
+    def _unit_ids(self, units: list[str]) -> list[bytes]:
+        piece, out, rest = self._piece, [], []
+        for unit in units:
+            if not _ORDINARY(unit):
+                rest.append(len(out))
+                out.append(b"")
+            elif unit.isalpha():
+                out.append(piece[" " + unit])
+            elif unit[:-1].isalpha() and unit[-1] in ",.":
+                out.append(piece[" " + unit[:-1]] + piece[unit[-1]])
+            else:
+                out.append(b"".join([piece[x] for x in _PIECES(" " + unit)]))
+        for at, ids in zip(rest, self._ids([" " + units[at] for at in rest])):
+            out[at] = ids
+        return out
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         """The ids of each text; unknown units of about a million characters are encoded at once."""
