@@ -33,14 +33,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.llm.common import cut_lineage, whole_text
 from cohortwise.llm.components import connected_components
 from cohortwise.llm.language_model import WordTable, _mix, words
 
-_BUCKETS, _SEGMENT = 1 << 20, 1 << 16
 _BLOCK_MEMBERS, _BLOCK_VALUES = 2048, 4_000_000
 
 
@@ -57,11 +56,6 @@ class NearDuplicates:
         s = self.percent / 100
         return max(1, math.floor(self.k * s - 5 * math.sqrt(self.k * s * (1 - s))))
 
-    def prefix(self, n: int) -> int:
-        """How many of a sketch's rarest values go into lists, for a set of ``n``."""
-        overlap = min(self.least_overlap, -(-self.percent * n // 100))
-        return min(n, self.k) - overlap + 1
-
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         """On full sets."""
         shared = len(np.intersect1d(a, b, assume_unique=True))
@@ -105,64 +99,38 @@ def _sketches(documents: DataFrame, spec: NearDuplicates) -> DataFrame:
                     batch.column("doc_id"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_fingerprint(s) for s in sets], pa.binary()),
-                    pa.array([s[: spec.k].tobytes() for s in sets], pa.binary()),
+                    pa.array([s[: spec.k].view(np.int64) for s in sets], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "n", "set_id", "sketch"],
             )
 
-    return documents.mapInArrow(sketched, "doc_id long, n long, set_id binary, sketch binary")
-
-
-def _value_frequencies(classes: DataFrame) -> np.ndarray:
-    """How often sketch values fall into each of a fixed number of buckets: the order from rare to frequent."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(_BUCKETS, np.int64)
-        for batch in batches:
-            values = np.frombuffer(b"".join(x.as_py() for x in batch.column("sketch")), np.uint64)
-            totals += np.bincount((values % np.uint64(_BUCKETS)).astype(np.int64), minlength=_BUCKETS)
-        for segment in range(_BUCKETS // _SEGMENT):
-            part = totals[segment * _SEGMENT : (segment + 1) * _SEGMENT]
-            at = part.nonzero()[0]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([part[at].astype("<i8").tobytes()], pa.binary())], names=["segment", "at", "n"])
-
-    def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        total = np.zeros(_SEGMENT, np.int64)
-        for at, n in zip(rows["at"], rows["n"]):
-            total[np.frombuffer(at.as_py(), "<u4")] += np.frombuffer(n.as_py(), "<i8")
-        return pa.table({"segment": [key[0].as_py()], "n": pa.array([total.tobytes()], pa.binary())})
-
-    totals = np.zeros(_BUCKETS, np.int64)
-    counted = classes.select("sketch").mapInArrow(count, "segment long, at binary, n binary").groupBy("segment").applyInArrow(add, "segment long, n binary")
-    for row in counted.collect():  # a fixed number of buckets
-        totals[row["segment"] * _SEGMENT : (row["segment"] + 1) * _SEGMENT] = np.frombuffer(row["n"], "<i8")
-    return totals
-
-
-def _postings(classes: DataFrame, spec: NearDuplicates) -> DataFrame:
-    """``(value, id, n)``: the rarest sketch values of each class."""
-    frequency = classes.sparkSession.sparkContext.broadcast(_value_frequencies(classes))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = frequency.value
-        for batch in batches:
-            sizes, values = batch.column("n").to_pylist(), []
-            for n, sketch in zip(sizes, batch.column("sketch")):
-                v = np.frombuffer(sketch.as_py(), np.uint64)
-                order = np.lexsort((v, count[(v % np.uint64(_BUCKETS)).astype(np.int64)]))
-                values.append(v[order[: spec.prefix(n)]])
-            lengths = [len(v) for v in values]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate(values).view(np.int64) if values else [], pa.int64()),
-                    pa.array(np.repeat(batch.column("id").to_numpy(), lengths), pa.int64()),
-                    pa.array(np.repeat(np.array(sizes, np.int64), lengths), pa.int64()),
-                ],
-                names=["value", "id", "n"],
-            )
-
-    return classes.select("id", "n", "sketch").mapInArrow(prefixes, "value long, id long, n long")
+    return documents.mapInArrow(sketched, "doc_id long, n long, set_id binary, sketch array<long>")
+
+
+def _lists(classes: DataFrame, spec: NearDuplicates) -> DataFrame:
+    """Members ``(value, id, n, first)`` of the inverted lists that hold two classes or more.
+
+    Values that a class shares with nobody are its rarest; its prefix goes on with
+    the shared ones from rare to frequent. Lists with the same members count once.
+    """
+    postings = classes.select("id", "n", F.explode("sketch").alias("value"))
+    shared = postings.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
+    overlap = F.least(F.lit(spec.least_overlap), F.ceil(F.col("n") * spec.percent / 100))
+    kept = F.least("n", F.lit(spec.k))
+    by_class = Window.partitionBy("id")
+    prefixes = (
+        postings.join(shared, "value")
+        .withColumn("rank", F.row_number().over(by_class.orderBy("m", "value")))
+        .withColumn("alone", kept - F.count("*").over(by_class))
+        .where(F.col("rank") <= kept - overlap + 1 - F.col("alone"))
+        .select("value", "id", "n")
+    )
+    prefixes = cut_lineage(prefixes)
+    summary = prefixes.groupBy("value").agg(
+        F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("first"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("s")
+    )
+    different = summary.where("m > 1").groupBy("m", "first", "x", "s").agg(F.min("value").alias("value")).select("value", "first")
+    return cut_lineage(prefixes.join(different, "value"))
 
 
 def _sets_of(documents: DataFrame, classes: DataFrame, spec: NearDuplicates) -> DataFrame:
@@ -278,9 +246,7 @@ def near_duplicates(documents: DataFrame, spec: NearDuplicates = NearDuplicates(
     sketched = cut_lineage(_sketches(narrow, spec))
     by_set = sketched.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut_lineage(by_set).withColumn("id", F.monotonically_increasing_id())  # stable: the rows lie in files now
-    postings = _postings(classes, spec)
-    lists = postings.groupBy("value").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("first")).where("m > 1")
-    members = cut_lineage(postings.join(lists, "value").select("value", "id", "n", "first"))
+    members = _lists(classes, spec)
     concerned = members.select("id").distinct()
     sets = cut_lineage(_sets_of(narrow, classes.join(concerned, "id", "left_semi"), spec))
     small, large = F.least("n", "first.n"), F.greatest("n", "first.n")
