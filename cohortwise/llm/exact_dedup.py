@@ -33,8 +33,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cohortwise.llm.common import cut_lineage, shared_folder, whole_text
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The state lies in RocksDB; each of its many small files takes the room it needs and no more.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -44,14 +48,16 @@ def sha256(text: Column) -> Column:
 def follow(arrivals: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep the state of a stream with ``digest``, ``id`` and ``locator`` under ``checkpoint``."""
     spark = arrivals.sparkSession
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {name: spark.conf.get(name, None) for name in _STATE}
+    for name, value in _STATE.items():
+        spark.conf.set(name, value)
     try:
         state = arrivals.groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("keeper"), F.count("*").alias("rows"))
         writer = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
         return writer.trigger(**trigger).start()
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -73,7 +79,7 @@ def deduplicate(documents: DataFrame, digest: Callable[[Column], Column] = sha25
     if landed.isEmpty():
         return spark.createDataFrame([], "doc_id long, digest string, keep_id long, group_size long, kept boolean")
     follow(spark.readStream.schema(landed.schema).parquet(landing), f"{folder}/state", availableNow=True).awaitTermination()
-    state = read_state(spark, f"{folder}/state")
+    state = cut_lineage(read_state(spark, f"{folder}/state"))
 
     # the byte check: all rows that hit a digest, folded to the least and greatest text of each digest
     part = F.pmod(F.xxhash64("id"), F.lit(spread))
