@@ -7,9 +7,10 @@ so copies are never paired.
 Two sets with similarity s share at least ``least_overlap`` sketch values (five
 standard deviations below the mean; exact for sets that fit in the sketch), hence
 one of the rarest ``k - least_overlap + 1`` of either. Only these are put in
-inverted lists, which keeps frequent shingles out of them. In each list every
-member meets the list's first member; pairs are filtered by size and by the
-estimate from the union sketch, and verified on the full sets. Lists whose members
+inverted lists, which keeps frequent shingles out of them. Members that overlap with no other member in
+enough sketch values leave their list. In each list every member then meets the
+list's first member; pairs are filtered by size and by the estimate from the union
+sketch, and verified on the full sets. Lists whose members
 then lie in one component need nothing more. The members of the other lists are
 compared in blocks inside tasks, across components only, and again verified on
 full sets; a list of any length is split into block pairs. So no list is cut
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,25 +168,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, spec: NearDuplicates) -> DataFr
     return pairs.join(one, "a").join(other, "b").select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long")
 
 
-def _compare_block(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], spec: NearDuplicates) -> list[tuple[int, int]]:
-    """Links between members of different groups, as many as join groups that were apart."""
-    sketches = [s[: spec.k] for s in sets]
-    member = np.repeat(np.arange(len(sets)), [len(s) for s in sketches])
+def _likely(sketches: list[np.ndarray], n: np.ndarray, spec: NearDuplicates) -> tuple[np.ndarray, np.ndarray]:
+    """Overlaps of all sketches with each other, and which pairs (upper triangle) overlap enough and are of like size."""
+    member = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
     _, column, times = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
     shared = times[column] > 1  # values of one member overlap with nothing
     _, column = np.unique(column[shared], return_inverse=True)
     member = member[shared]
-    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    overlap = np.zeros((len(sketches), len(sketches)), np.float32)
+    width = int(min(4096, column.max(initial=-1) + 1))
     for first in range(0, int(column.max(initial=-1)) + 1, 4096):
         here = (column >= first) & (column < first + 4096)
-        present = np.zeros((len(sets), 4096), np.float32)
+        present = np.zeros((len(sketches), width), np.float32)
         present[member[here], column[here] - first] = 1
         overlap += present @ present.T
-    n = np.array([len(s) for s in sets], np.int64)
     large, both = np.maximum(n[:, None], n[None, :]), n[:, None] + n[None, :]
     needed = np.where(large <= spec.k, -(-spec.percent * both // (100 + spec.percent)), spec.least_overlap)
-    likely = np.triu((overlap >= needed) & (groups[:, None] != groups[None, :]) & (100 * (both - large) >= spec.percent * large), 1)
-    one, other = likely.nonzero()
+    return overlap, np.triu((overlap >= needed) & (100 * (both - large) >= spec.percent * large), 1)
+
+
+def _compare_block(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], spec: NearDuplicates) -> list[tuple[int, int]]:
+    """Links between members of different groups, as many as join groups that were apart."""
+    overlap, likely = _likely([s[: spec.k] for s in sets], np.array([len(s) for s in sets], np.int64), spec)
+    one, other = (likely & (groups[:, None] != groups[None, :])).nonzero()
     root = {g: g for g in groups.tolist()}
 
     def find(g: int) -> int:
@@ -204,40 +209,79 @@ def _compare_block(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray],
     return links
 
 
-def _across_components(members: DataFrame, components: DataFrame, sets: DataFrame, spec: NearDuplicates) -> DataFrame:
-    """Links that the first members of the lists have not shown."""
-    named = members.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
-    mixed = named.groupBy("value").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count("*").alias("m"), F.sum("n").alias("values")).where("least <> most")
+_DEALT = ("bundle", "low", "high", "blocks")
+_HELD = tuple(f"held_{name}" for name in _DEALT)
+
+
+def _once_each(dealt: DataFrame, payload: DataFrame) -> DataFrame:
+    """The payload ``(id, values)`` of each member of a bundle, once, under names of its own."""
+    held = dealt.select(*[F.col(c).alias(h) for c, h in zip(_DEALT, _HELD)], F.col("id").alias("held_id")).distinct()
+    return held.join(payload.select(F.col("id").alias("held_id"), F.col("values").alias("held_values")), "held_id")
+
+
+def _deal(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """Members of the given lists ``(value, centre, m, values)`` in bundles that one task can hold.
+
+    Lists with the same first member share a bundle; a long list is dealt in pairs of blocks.
+    """
     blocks = F.greatest(F.ceil(F.col("m") / F.lit(_BLOCK_MEMBERS)), F.ceil(F.col("values") / F.lit(_BLOCK_VALUES))).cast("int")
-    open_lists = cut_lineage(mixed.select("value", blocks.alias("blocks"), "m"))
-    bundles = max(1, math.ceil((open_lists.where("blocks = 1").agg(F.sum("m")).first()[0] or 0) / _BLOCK_MEMBERS))
+    sized = cut_lineage(lists.select("value", "centre", blocks.alias("blocks"), "m"))
+    bundles = max(1, math.ceil((sized.where("blocks = 1").agg(F.sum("m")).first()[0] or 0) / _BLOCK_MEMBERS))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = (
-        named.join(open_lists.drop("m"), "value")
+    return (
+        members.join(sized.drop("m"), "value")
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("value"), F.lit(bundles))).otherwise(F.col("value")).alias("bundle"),
-            F.least("mine", "other").alias("low"),
-            F.greatest("mine", "other").alias("high"),
-            "blocks",
-            "value",
-            "id",
-            "group",
-        )
+        .withColumn("bundle", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("centre"), F.lit(bundles))).otherwise(F.col("value")))
+        .withColumn("low", F.least("mine", "other"))
+        .withColumn("high", F.greatest("mine", "other"))
     )
 
-    def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("value")
-        value, ids, groups = (rows[c].to_numpy() for c in ("value", "id", "group"))
-        ends = np.append((value[1:] != value[:-1]).nonzero()[0] + 1, len(value))
-        links, first = [], 0
-        for last in ends:
-            links += _compare_block(ids[first:last], groups[first:last], [_array(x) for x in rows["values"][first:last]], spec)
-            first = last
+
+def _by_list(rows: pa.Table, held: pa.Table, array: Callable[[pa.Scalar], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """``(value, ids, places, arrays)`` of each list in a bundle."""
+    rows = rows.sort_by([("value", "ascending"), ("id", "ascending")])
+    arrays = {i.as_py(): array(x) for i, x in zip(held["held_id"], held["held_values"])}
+    value, ids = rows["value"].to_numpy(), rows["id"].to_numpy()
+    first = 0
+    for last in np.append((value[1:] != value[:-1]).nonzero()[0] + 1, len(value)):
+        yield int(value[first]), ids[first:last], rows.slice(first, last - first), [arrays[i] for i in ids[first:last].tolist()]
+        first = last
+
+
+def _active(members: DataFrame, classes: DataFrame, spec: NearDuplicates) -> DataFrame:
+    """Members that some other member of their list overlaps with in as many sketch values as similar sets do."""
+    lists = members.groupBy("value").agg(F.count("*").alias("m"), F.lit(0).alias("values"), F.first("first.id").alias("centre"))
+    dealt = _deal(members.select("value", "id", "n"), lists).select(*_DEALT, "value", "id", "n")
+    sketches = classes.select("id", F.col("sketch").alias("values"))
+    held = _once_each(dealt, sketches)
+
+    def filter_members(rows: pa.Table, held: pa.Table) -> pa.Table:
+        kept: tuple[list, list] = ([], [])
+        for value, ids, part, arrays in _by_list(rows, held, lambda x: x.values.to_numpy().view(np.uint64)):
+            _, likely = _likely(arrays, part["n"].to_numpy(), spec)
+            active = ids[likely.any(0) | likely.any(1)].tolist()
+            kept[0].extend([value] * len(active))
+            kept[1].extend(active)
+        return pa.table({"value": pa.array(kept[0], pa.int64()), "id": pa.array(kept[1], pa.int64())})
+
+    return dealt.groupBy(*_DEALT).cogroup(held.groupBy(*_HELD)).applyInArrow(filter_members, "value long, id long").distinct()
+
+
+def _across_components(members: DataFrame, components: DataFrame, sets: DataFrame, spec: NearDuplicates) -> DataFrame:
+    """Links that the first members of the lists have not shown."""
+    named = members.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    summary = named.groupBy("value").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count("*").alias("m"), F.sum("n").alias("values"), F.min("id").alias("centre"))
+    dealt = _deal(named, summary.where("least <> most and m > 2")).select(*_DEALT, "value", "id", "group")
+    held = _once_each(dealt, sets)
+
+    def compare(rows: pa.Table, held: pa.Table) -> pa.Table:
+        links = []
+        for _, ids, part, arrays in _by_list(rows, held, _array):
+            links += _compare_block(ids, part["group"].to_numpy(), arrays, spec)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
-    return dealt.join(sets, "id").groupBy("bundle", "low", "high", "blocks").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy(*_DEALT).cogroup(held.groupBy(*_HELD)).applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, spec: NearDuplicates = NearDuplicates(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -246,7 +290,10 @@ def near_duplicates(documents: DataFrame, spec: NearDuplicates = NearDuplicates(
     sketched = cut_lineage(_sketches(narrow, spec))
     by_set = sketched.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut_lineage(by_set).withColumn("id", F.monotonically_increasing_id())  # stable: the rows lie in files now
-    members = _lists(classes, spec)
+    listed = _lists(classes, spec)
+    active = listed.join(_active(listed, classes, spec), ["value", "id"]).select("value", "id", "n")
+    first = active.groupBy("value").agg(F.min(F.struct("id", "n")).alias("first"))
+    members = cut_lineage(active.join(first, "value"))
     concerned = members.select("id").distinct()
     sets = cut_lineage(_sets_of(narrow, classes.join(concerned, "id", "left_semi"), spec))
     small, large = F.least("n", "first.n"), F.greatest("n", "first.n")
