@@ -187,26 +187,38 @@ def _likely(sketches: list[np.ndarray], n: np.ndarray, spec: NearDuplicates) ->
     return overlap, np.triu((overlap >= needed) & (100 * (both - large) >= spec.percent * large), 1)
 
 
-def _compare_block(ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], spec: NearDuplicates) -> list[tuple[int, int]]:
-    """Links between members of different groups, as many as join groups that were apart."""
-    overlap, likely = _likely([s[: spec.k] for s in sets], np.array([len(s) for s in sets], np.int64), spec)
-    one, other = (likely & (groups[:, None] != groups[None, :])).nonzero()
-    root = {g: g for g in groups.tolist()}
-
-    def find(g: int) -> int:
-        while root[g] != g:
-            root[g] = root[root[g]]
-            g = root[g]
-        return g
-
-    links = []
-    for i in np.argsort(-overlap[one, other], kind="stable"):
-        a, b = one[i], other[i]
-        x, y = find(int(groups[a])), find(int(groups[b]))
-        if x != y and spec.plausible(sets[a], sets[b]) and spec.similar(sets[a], sets[b]):
-            root[max(x, y)] = min(x, y)
-            links.append((int(ids[a]), int(ids[b])))
-    return links
+class _Comparison:
+    """Links between members of different groups, over all lists of a bundle; a pair is compared once."""
+
+    def __init__(self, spec: NearDuplicates):
+        self._spec, self._root, self._compared = spec, {}, set()
+        self.links: list[tuple[int, int]] = []
+
+    def _find(self, group: int) -> int:
+        root = self._root
+        while (up := root.setdefault(group, group)) != group:
+            root[group] = root[up]
+            group = up
+        return group
+
+    def compare(self, ids: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> None:
+        """Add as many links as join groups that were apart."""
+        spec = self._spec
+        groups = np.array([self._find(g) for g in groups.tolist()])
+        if (groups == groups[0]).all():
+            return
+        overlap, likely = _likely([s[: spec.k] for s in sets], np.array([len(s) for s in sets], np.int64), spec)
+        one, other = (likely & (groups[:, None] != groups[None, :])).nonzero()
+        for i in np.argsort(-overlap[one, other], kind="stable"):
+            a, b = one[i], other[i]
+            pair = (int(ids[a]), int(ids[b]))
+            x, y = self._find(int(groups[a])), self._find(int(groups[b]))
+            if x == y or pair in self._compared:
+                continue
+            self._compared.add(pair)
+            if spec.plausible(sets[a], sets[b]) and spec.similar(sets[a], sets[b]):
+                self._root[max(x, y)] = min(x, y)
+                self.links.append(pair)
 
 
 _DEALT = ("bundle", "low", "high", "blocks")
@@ -232,7 +244,7 @@ def _deal(members: DataFrame, lists: DataFrame) -> DataFrame:
         members.join(sized.drop("m"), "value")
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("bundle", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("centre"), F.lit(bundles))).otherwise(F.col("value")))
+        .withColumn("bundle", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("centre"), F.lit(bundles))).otherwise(F.col("centre")))
         .withColumn("low", F.least("mine", "other"))
         .withColumn("high", F.greatest("mine", "other"))
     )
@@ -276,9 +288,10 @@ def _across_components(members: DataFrame, components: DataFrame, sets: DataFram
     held = _once_each(dealt, sets)
 
     def compare(rows: pa.Table, held: pa.Table) -> pa.Table:
-        links = []
+        comparison = _Comparison(spec)
         for _, ids, part, arrays in _by_list(rows, held, _array):
-            links += _compare_block(ids, part["group"].to_numpy(), arrays, spec)
+            comparison.compare(ids, part["group"].to_numpy(), arrays)
+        links = comparison.links
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return dealt.groupBy(*_DEALT).cogroup(held.groupBy(*_HELD)).applyInArrow(compare, "a long, b long").distinct()
