@@ -196,14 +196,14 @@ def _divide(members: DataFrame, sizes: DataFrame, cell_rows: int) -> tuple[DataF
     large = sizes.where(F.col("n") > cell_rows).select("cell", "n", F.least(F.lit(64), F.ceil(2 * F.col("n") / cell_rows)).cast("int").alias("parts"), F.ceil(F.col("n") / cell_rows).cast("int").alias("chunks"))
     drawn = members.join(large, "cell").where(F.pmod(F.xxhash64("id", F.length("cell")), F.col("n")) < 8 * F.col("parts"))
     rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id", F.length("cell")), "id"))
-    pivots = cut_lineage(drawn.withColumn("k", rank).where("k <= parts").select("cell", "chunks", "k", "vector"))
+    pivots = cut_lineage(drawn.withColumn("k", rank).where("k <= parts").select(F.col("cell").alias("parent_cell"), F.col("chunks").alias("copies"), "k", F.col("vector").alias("pivot")))
     chunk = F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int")
     chunked = members.join(large.select("cell", "chunks"), "cell").withColumn("chunk", chunk)
-    copied = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    copied = pivots.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
 
     def nearest(rows: pa.Table, centres: pa.Table) -> pa.Table:
         centres = centres.sort_by("k")
-        x, c = _matrix(rows["vector"], len(rows)), _matrix(centres["vector"], len(centres))
+        x, c = _matrix(rows["vector"], len(rows)), _matrix(centres["pivot"], len(centres))
         x, c = x / np.linalg.norm(x, axis=1)[:, None], c / np.linalg.norm(c, axis=1)[:, None]
         away = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ c.T)))
         # equal distances are dealt out by a hash, so that one direction cannot stay together for ever
@@ -212,9 +212,9 @@ def _divide(members: DataFrame, sizes: DataFrame, cell_rows: int) -> tuple[DataF
         return pa.table({"id": rows["id"], "weight": rows["weight"], "vector": rows["vector"], "parent": rows["cell"], "k": pa.array(k + 1, pa.int32()), "away": pa.array(away[np.arange(len(k)), k])})
 
     schema = "id long, weight long, vector array<float>, parent string, k int, away double"
-    dealt = chunked.groupBy("cell", "chunk").cogroup(copied.groupBy("cell", "chunk")).applyInArrow(nearest, schema)
+    dealt = chunked.groupBy("cell", "chunk").cogroup(copied.groupBy("parent_cell", "copy")).applyInArrow(nearest, schema)
     dealt = cut_lineage(dealt.withColumn("cell", F.concat_ws("/", "parent", "k")))
-    cells = dealt.groupBy("parent", "k", "cell").agg(F.max("away").alias("radius")).join(pivots.select(F.col("cell").alias("parent"), "k", _unit(F.col("vector")).alias("centre")), ["parent", "k"])
+    cells = dealt.groupBy("parent", "k", "cell").agg(F.max("away").alias("radius")).join(pivots.select(F.col("parent_cell").alias("parent"), "k", _unit(F.col("pivot")).alias("centre")), ["parent", "k"])
     return dealt.select("id", "weight", "vector", "cell"), cells.select("parent", "cell", "centre", "radius")
 
 
