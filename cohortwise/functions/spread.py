@@ -22,7 +22,7 @@ def salts(spark: SparkSession) -> int:
 
 def bucket_side(spark: SparkSession) -> int:
     """Square root of the number of value buckets; grows with the shuffle width as well."""
-    return max(8, min(32, math.isqrt(_partitions(spark))))
+    return max(8, math.isqrt(_partitions(spark)))
 
 
 def spread_join(

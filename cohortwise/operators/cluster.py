@@ -71,8 +71,9 @@ def wss_curve(words: DataFrame, bins: int, k_max: int = 10, seed: int = 1, start
         total = part if total is None else total + part
     first = patterns.agg(F.lit(1).alias("k"), total.alias("wss"))
     distinct = patterns.count()
-    costs = []
-    for k in range(2, min(k_max, distinct) + 1):
+    # as many clusters as different patterns leave nothing within
+    costs = [(k, 0.0) for k in range(max(2, distinct), k_max + 1)]
+    for k in range(2, min(k_max + 1, distinct)):
         costs.append((k, min(fit_kmeans(patterns, k, seed + s).summary.trainingCost for s in range(starts))))
     rest = words.sparkSession.createDataFrame(costs, "k int, wss double")
     return first.unionByName(rest)

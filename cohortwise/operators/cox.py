@@ -29,6 +29,11 @@ from cohortwise.sources.durable import durable
 _TIE_CHUNK = 1_000_000
 
 
+def _exp(x: float) -> float:
+    """Infinity where the ratio is beyond a double, as under separation."""
+    return math.exp(x) if x < 709.0 else math.inf
+
+
 @dataclass
 class _Layout:
     """Positions of the sums inside one packed vector."""
@@ -253,8 +258,8 @@ class CoxFit:
                     continue
                 z = float(coef / se)
                 rows.append(
-                    (m.model, name, float(coef), math.exp(coef), float(se), z, normal_two_sided(z),
-                     math.exp(coef - Z_95 * se), math.exp(coef + Z_95 * se))
+                    (m.model, name, float(coef), _exp(coef), float(se), z, normal_two_sided(z),
+                     _exp(coef - Z_95 * se), _exp(coef + Z_95 * se))
                 )
         return self._frame(rows, "model string, term string, coef double, hr double, se double, z double, p double, lower double, upper double")
 
@@ -285,7 +290,7 @@ class CoxFit:
                     j = at + i
                     if m.kept[j]:
                         se = float(m.standard_errors()[j])
-                        stats = (math.exp(m.coef[j]), math.exp(m.coef[j] - Z_95 * se), math.exp(m.coef[j] + Z_95 * se), normal_two_sided(float(m.coef[j]) / se))
+                        stats = (_exp(m.coef[j]), _exp(m.coef[j] - Z_95 * se), _exp(m.coef[j] + Z_95 * se), normal_two_sided(float(m.coef[j]) / se))
                     else:
                         stats = (None,) * 4
                     rows.append((m.model, term.column, labels[i], int(counts[i]), *stats))
@@ -407,7 +412,7 @@ def coxph(
             at = _likelihood(table[table["model"] == name], state.beta, layout)
             if state.kept is None:
                 state.kept, state.loglik_null = _independent(at["information"]), at["loglik"]
-            done = state.previous is not None and abs(1.0 - state.loglik / at["loglik"]) <= tolerance
+            done = state.previous is not None and abs(at["loglik"] - state.loglik) <= tolerance * abs(at["loglik"])
             if not done and state.previous is not None and at["loglik"] < state.loglik:
                 state.beta = (state.beta + state.previous) / 2.0
                 state.steps += 1

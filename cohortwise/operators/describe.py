@@ -48,14 +48,20 @@ def quantile_grid(df: DataFrame, key: str, step: float, value: str = "value") ->
 
 
 def histogram_counts(df: DataFrame, column: str, breaks: Sequence[float]) -> DataFrame:
-    """Counts in right-closed bins, the lowest break included; empty bins are listed."""
+    """Counts in right-closed bins, the lowest break included; empty bins are listed.
+
+    A value that no bin covers is an error; missing values are not counted.
+    """
     value = F.col(column)
+    outside = F.count_if((value < breaks[0]) | (value > breaks[-1]))
+    refuse = F.raise_error(F.lit(f"values of {column} lie outside the breaks"))
     edges = list(zip(breaks, breaks[1:]))
     cells = []
     for index, (low, high) in enumerate(edges):
         test = (value >= low if index == 0 else value > low) & (value <= high)
         cells.append(F.struct(F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"), F.count_if(test).alias("n")))
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    counted = df.agg(F.array(*cells).alias("cells"), outside.alias("outside"))
+    return counted.select(F.inline(F.when(F.col("outside") == 0, F.col("cells")).otherwise(refuse)))
 
 
 def density_grid(df: DataFrame, key: str, value: str = "value", points: int = 512) -> DataFrame:

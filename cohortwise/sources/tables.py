@@ -55,8 +55,18 @@ SCHEMAS: dict[str, T.StructType] = {
 
 
 def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """One study table with header; ``NA`` and empty fields are null. Columns are matched by name order of the schema."""
-    return spark.read.schema(SCHEMAS[table]).option("header", True).option("nullValue", "NA").csv(path)
+    """One study table with header; ``NA`` and empty fields are null.
+
+    Columns are found by their names in the header, wherever they stand; further
+    columns are left out and a missing one is an error.
+    """
+    raw = spark.read.option("header", True).option("nullValue", "NA").csv(path)
+    fields = SCHEMAS[table].fields
+    missing = [f.name for f in fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    number = {"int", "double"}
+    return raw.select(*[F.trim(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.dataType.simpleString() in number else F.col(f"`{f.name}`") for f in fields])
 
 
 def read_parquet(spark: SparkSession, path: str, table: str) -> DataFrame:

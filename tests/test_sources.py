@@ -105,3 +105,12 @@ def test_checkpoint_folder_is_the_one_of_the_session(spark):
     if configured is not None:
         assert folder.removeprefix("file:").startswith(configured.removeprefix("file:").rstrip("/"))
     assert durable.durable(spark.range(3)).count() == 3
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "active.csv").write_text('"",dataName,p_id,note,timestamp\n"1",PHQ8,a1,x,2020-01-02 03:04:05\n"2",NA,a2,y,NA\n')
+    rows = tables.read_csv(spark, str(tmp_path / "active.csv"), "active").collect()
+    assert [(r.p_id, r.timestamp, r.dataName) for r in rows] == [("a1", "2020-01-02 03:04:05", "PHQ8"), ("a2", None, None)]
+    (tmp_path / "short.csv").write_text("p_id,timestamp\na1,2020\n")
+    with pytest.raises(ValueError, match="dataName"):
+        tables.read_csv(spark, str(tmp_path / "short.csv"), "active")
