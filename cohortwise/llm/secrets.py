@@ -63,49 +63,34 @@ BASE_RULES = (
     SecretRule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 
-_BLOCK = 64
-
-
-def _running_sum(values: Column) -> Column:
-    """Sums before each element, in blocks, so that work stays near linear in long arrays."""
-
-    def total(array: Column) -> Column:
-        return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
-
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: total(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
-    starts = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
+def _matches(text: Column, rule: SecretRule) -> Column:
+    """For each match what stands before it, the match and its group; last the rest of the text with null matches."""
+    gaps = F.split(text, rule.pattern, -1)
+    hits, parts = (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)) for group in (0, rule.group))
+    return F.transform(F.arrays_zip(gaps, hits, parts), lambda x: F.struct(x["0"].alias("gap"), x["1"].alias("hit"), x["2"].alias("part")))
 
-    def before(_: Column, i: Column) -> Column:
-        block = F.floor(i / _BLOCK).cast("int")
-        return F.get(starts, block) + total(F.slice(values, block * _BLOCK + 1, i - block * _BLOCK))
 
-    return F.when(F.size(values) > 0, F.transform(values, before)).otherwise(F.array().cast("array<bigint>"))
+def _kept_spans(text: Column, rule: SecretRule) -> Column:
+    """``array<struct<start, end>>`` of the matches that count, in one run over the matches."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+        counts = F.coalesce(F.length(x["part"]) >= rule.least, F.lit(False))
+        spans = F.when(counts, F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(state["spans"])
+        return F.struct(end.alias("at"), spans.alias("spans"))
 
-def _kept_spans(text: Column, rule: SecretRule) -> Column:
-    """``array<struct<start, end>>`` of the matches that count."""
-    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    gaps = F.split(text, rule.pattern, -1)
-    steps = F.transform(hits, lambda hit, i: (F.length(F.get(gaps, i)) + F.length(hit)).cast("long"))
-    before = _running_sum(steps)
-    spans = F.transform(
-        hits,
-        lambda hit, i: F.struct(
-            (F.get(before, i) + F.length(F.get(gaps, i))).alias("start"),
-            (F.get(before, i) + F.get(steps, i)).alias("end"),
-            (F.length(F.get(parts, i)) >= rule.least).alias("kept"),
-        ),
-    )
-    return F.transform(F.filter(spans, lambda s: s["kept"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.aggregate(_matches(text, rule), F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda state: state["spans"])
 
 
 def _without(text: Column, rule: SecretRule) -> Column:
     """The text with the matches that count replaced."""
-    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    shown = F.transform(hits, lambda hit, i: F.when(F.length(F.get(parts, i)) >= rule.least, F.lit(f"[{rule.kind}]")).otherwise(hit))
-    return F.array_join(F.transform(F.split(text, rule.pattern, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(shown, i), F.lit("")))), "")
+    def shown(x: Column) -> Column:
+        hit = F.when(F.length(x["part"]) >= rule.least, F.lit(f"[{rule.kind}]")).otherwise(F.coalesce(x["hit"], F.lit("")))
+        return F.concat(x["gap"], hit)
+
+    return F.array_join(F.transform(_matches(text, rule), shown), "")
 
 
 def postings(documents: DataFrame, rules: Sequence[SecretRule], text: str = "text") -> DataFrame:
