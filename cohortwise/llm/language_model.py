@@ -29,8 +29,9 @@ Columns besides id and text are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from cohortwise.llm.common import cut_lineage, whole_text
 
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"", 1)), np.uint64(xxhash.xxh64_intdigest(b"", 2))
 _PROBES = 3
-_FLUSH_TOKENS = 2_000_000
+_FLUSH_TOKENS, _RUN_TOKENS = 2_000_000, 300_000
 
 
 def words(text: str) -> list[bytes]:
@@ -189,6 +190,19 @@ def _in_flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
         yield held
 
 
+def _runs(documents: Iterable[list[bytes]]) -> Iterator[list[list[bytes]]]:
+    """Documents in lists of some hundred thousand words, so that they are probed together."""
+    held, size = [], 0
+    for document in documents:
+        held.append(document)
+        size += len(document)
+        if size >= _RUN_TOKENS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for documents in _in_flushes(batches):
         different, n = _summed(np.concatenate(documents))
@@ -275,23 +289,44 @@ def score(documents: DataFrame, model: Model, smoothing: float = 200.0, id_colum
         table = WordTable(values)
         of_end = {name: array[0] for name, array in values(_END[None]).items()}
         near_start = quantised_counts(held, unigrams(_START[None]))[0]
+
+        def with_ends(of_words: np.ndarray, end: float | np.uint64, ends: np.ndarray) -> np.ndarray:
+            return np.insert(of_words, ends, end)
+
+        def behind(start: float | np.uint64, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+            """For each token the value of the one before it in its document."""
+            before = np.roll(values, 1)
+            before[starts] = start
+            return before
+
+        def together(names: pa.Array, run: list[list[bytes]]) -> pa.RecordBatch:
+            sizes = np.array([len(document) for document in run], np.int64)
+            at, ends = table.look_up(list(chain.from_iterable(run))), np.cumsum(sizes)
+            starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+            token = with_ends(table.column("hash", at), _END, ends)
+            exact, near = (with_ends(table.column(name, at), of_end[name], ends) for name in ("exact", "near"))
+            common = exact >= 0
+            base = np.where(common, np.log10(np.where(common, exact + 1, 1.0) / mass), 0.0)
+            near_before = behind(near_start, near, starts)
+            different, place = np.unique(bigrams(behind(_START, token, starts), token), return_inverse=True)
+            pairs = np.minimum(quantised_counts(held, different)[place], near_before)
+            logs = np.log10((pairs + smoothing * (near + 1) / mass) / (near_before + smoothing))
+            known = np.add.reduceat(common.astype(np.int64), starts)
+            rest = np.concatenate([[0], np.cumsum(sizes + 1 - known)]).astype(np.int32)
+            columns = {
+                "n_tokens": pa.array(sizes + 1),
+                "known": pa.array(known),
+                "base": pa.array(np.add.reduceat(base, starts)),
+                "score": pa.array(np.add.reduceat(logs, starts)),
+                "rest": pa.ListArray.from_arrays(pa.array(rest), pa.array(token[~common].view(np.int64))),
+            }
+            return pa.RecordBatch.from_arrays([names, *columns.values()], names=["doc_id", *columns])
+
         for batch in batches:
-            rows = {name: [] for name in ("n_tokens", "known", "base", "score", "rest")}
-            for text in batch.column("text"):
-                at = table.look_up(words(text.as_py()))
-                token = np.append(table.column("hash", at), _END)
-                exact = np.append(table.column("exact", at), of_end["exact"])
-                near = np.append(table.column("near", at), of_end["near"])
-                common = exact >= 0
-                rows["n_tokens"].append(len(token))
-                rows["known"].append(int(common.sum()))
-                rows["base"].append(float(np.log10((exact[common] + 1) / mass).sum()))
-                rows["rest"].append(token[~common].view(np.int64))
-                near_before = np.append(near_start, near[:-1])
-                pairs = np.minimum(quantised_counts(held, bigrams(np.append(_START, token[:-1]), token)), near_before)
-                rows["score"].append(float(np.log10((pairs + smoothing * (near + 1) / mass) / (near_before + smoothing)).sum()))
-            kinds = {"n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "rest": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(rows[k], kind) for k, kind in kinds.items())], names=["doc_id", *kinds])
+            names, first = batch.column("doc_id"), 0
+            for run in _runs(words(text.as_py()) for text in batch.column("text")):
+                yield together(names.slice(first, len(run)), run)
+                first += len(run)
 
     narrow = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     done = cut_lineage(narrow.mapInArrow(scored, "doc_id long, n_tokens long, known long, base double, score double, rest array<long>"))
