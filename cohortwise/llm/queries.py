@@ -6,6 +6,7 @@ in the columns of its contract.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwise.llm import bpe, embedding_dedup, exact_dedup, language_model, minhash, packing, quality, secrets, sharding, url_filter
+from cohortwise.llm.common import shared_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,9 +38,9 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents in shards 0 to 39 by the law ``rows``."""
-    records = sharding.document_records(_table(spark, folder, "documents"))
-    placed = sharding.shuffle_into_shards(records, 40, ["doc_id", "text_crc32", "size"], "size")
+    """All documents written to shards 0 to 39 by the law ``rows``; the rows come from the files read back."""
+    written = sharding.shard_documents(_table(spark, folder, "documents"), 40, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
+    placed = sharding.document_records(written, "shard", "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
     return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 

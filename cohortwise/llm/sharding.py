@@ -24,6 +24,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,10 +49,12 @@ def shuffle_into_shards(records: DataFrame, shards: int, scatter_by: Sequence[st
     order = list(scatter_by)
 
     def fisher_yates(key: tuple[pa.Scalar, ...], bucket: pa.Table) -> pa.Table:
-        bucket = bucket.sort_by([(name, "ascending") for name in order])
+        at = pc.sort_indices(bucket.select(order), [(name, "ascending") for name in order])
         places = np.arange(len(bucket))
         np.random.default_rng([seed, key[0].as_py()]).shuffle(places)  # NumPy's shuffle is Fisher-Yates
-        return bucket.append_column(_PLACE, pa.array(places, pa.int64()))
+        placed = np.empty_like(places)
+        placed[at.to_numpy()] = places
+        return bucket.append_column(_PLACE, pa.array(placed, pa.int64()))
 
     shuffled = scattered.groupBy(_BUCKET).applyInArrow(fisher_yates, schema)
     counts = cut_lineage(scattered.groupBy(_BUCKET).agg(F.count("*").alias("n")))
@@ -70,7 +73,7 @@ def shuffle_into_shards(records: DataFrame, shards: int, scatter_by: Sequence[st
     shard = F.expr(f"((__begin + {_PLACE} + 1) * {shards} - 1) div {max(rows, 1)}").cast("int")
     first = F.expr(f"(shard * {rows}L) div {shards}")
     return (
-        shuffled.join(begins, _BUCKET)
+        shuffled.join(F.broadcast(begins), _BUCKET)  # a row per bucket; the records stay where they are
         .withColumn("shard", shard)
         .withColumn("slot", F.col("__begin") + F.col(_PLACE) - first)
         .drop(_BUCKET, _PLACE, "__begin")
@@ -78,14 +81,32 @@ def shuffle_into_shards(records: DataFrame, shards: int, scatter_by: Sequence[st
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, rows in slot order within each file; the order is kept in ``slot``."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """One folder per shard, rows in slot order within each file; the order is kept in ``slot``.
+
+    Buckets are written where they were shuffled: a shard has a file for each task with buckets of it.
+    """
+    sharded.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def shard_documents(documents: DataFrame, shards: int, path: str) -> DataFrame:
+    """Shuffle whole documents, write them to ``path``, and give the written table: all columns, ``shard`` and ``slot``."""
+    names = [name for name in documents.columns if name not in ("shard", "slot")]
+    keys = document_records(documents.withColumn("__at", F.struct(*names)), "__at")
+    keys = keys.select("__at", *(F.col(name).alias(f"__{name}") for name in ("doc_id", "text_crc32", "size")))
+    # records alike in these may differ in others; maps cannot be hashed
+    others = [f"__at.`{f.name}`" for f in documents.schema if f.name in names and "map<" not in f.dataType.simpleString()]
+    keys = keys.withColumn("__rest", F.xxhash64(*others))
+    placed = shuffle_into_shards(keys, shards, ["__doc_id", "__text_crc32", "__size", "__rest"], "__size")
+    sharded = placed.select("__at.*", "shard", "slot")
+    write_shards(sharded, path)
+    return documents.sparkSession.read.schema(sharded.schema).parquet(path)
 
 
-def document_records(documents: DataFrame) -> DataFrame:
-    """``(doc_id, size, text_crc32)`` of whole texts; the size counts UTF-8 bytes and 16 for the record."""
+def document_records(documents: DataFrame, *others: str) -> DataFrame:
+    """``(doc_id, size, text_crc32)`` of whole texts, and the columns ``others``; the size counts UTF-8 bytes and 16 for the record."""
     text = whole_text()
     return documents.select(
+        *others,
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + F.lit(16)).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),

@@ -86,6 +86,25 @@ def test_sharding(odd):
     assert sharding.shuffle_into_shards(records.limit(0), 5, ["doc_id"], "size").count() == 0
 
 
+def test_shards_hold_whole_documents(spark, odd, folder, tmp_path, monkeypatch):
+    """Every column of every document is in the files, and the query's rows are those of the files."""
+    written = sharding.shard_documents(odd, 5, str(tmp_path / "odd"))
+    columns = [c for c in odd.columns if c != "shard"]
+    assert collections.Counter(map(tuple, written.select(columns).collect())) == collections.Counter(map(tuple, odd.select(columns).collect()))
+    again = sharding.shard_documents(odd.repartition(4), 5, str(tmp_path / "again"))
+    assert sorted(map(repr, written.select("shard", "slot", "text").collect())) == sorted(map(repr, again.select("shard", "slot", "text").collect()))
+    assert sorted(p.name for p in (tmp_path / "odd").glob("shard=*")) == [f"shard={k}" for k in range(5)]
+    for file in (tmp_path / "odd").glob("shard=*/*.parquet"):
+        slots = [r.slot for r in spark.read.parquet(str(file)).collect()]
+        assert slots == sorted(slots)
+    assert sharding.shard_documents(odd.limit(0), 5, str(tmp_path / "none")).count() == 0
+    monkeypatch.setattr(queries, "shared_folder", lambda spark: str(tmp_path / "query"))
+    rows = queries.op4_sharding(spark, folder).collect()
+    files = spark.read.parquet(str(next((tmp_path / "query").glob("shards-*")))).collect()
+    assert {(r.shard, r.slot): (r.doc_id, r.size, r.text_crc32) for r in rows} == {(f.shard, f.slot): (f.doc_id, len((f.text or "").encode()) + 16, zlib.crc32((f.text or "").encode())) for f in files}
+    assert sorted(texts_of(spark.read.parquet(f"{folder}/documents.parquet"))) == sorted((f.doc_id, f.text or "") for f in files)
+
+
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda text: F.substring(F.sha2(text, 256), 1, 0)])
 def test_exact_dedup(odd, digest):
     """A digest that never tells texts apart gives the same classes: the bytes decide."""
