@@ -7,6 +7,10 @@ canonical-link edges connect pages, connected components are found in the table
 of edges, and a decision of any member holds for the members without one, an
 explicit allow before a block. Pages that nothing decides are allowed.
 
+Targets are resolved against the url of their page, or against its base element
+where it has one; ``.`` and ``..`` segments of relative targets are resolved, and
+urls that stand whole keep them. ``&amp;`` stands for ``&``.
+
 All work is DataFrame expressions and joins.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits
@@ -24,6 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortwise.llm.common import cut_lineage
 from cohortwise.llm.components import connected_components
 
 
@@ -65,6 +70,50 @@ def node_of(url: Column) -> Column:
     return F.when(at > 0, F.concat(lower_ascii(F.substring(plain, F.lit(1), head)), F.substring(plain, head + 1, F.length(plain))))
 
 
+def _without_dots(segments: Column) -> Column:
+    """An absolute path, split at its slashes, without its ``.`` and ``..`` segments."""
+    kept = F.aggregate(
+        F.slice(segments, F.lit(2), F.size(segments) - 1),
+        F.array().cast("array<string>"),
+        lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.array_append(held, x)),
+    )
+    end = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+    return F.regexp_replace(F.concat(F.lit("/"), F.array_join(kept, "/"), end), r"\A//\z", "/")
+
+
+def resolved(table: DataFrame, target: str, base: str) -> DataFrame:
+    """Column ``target`` as it stands when it names a scheme, else as seen from the url in ``base``; null where that has no ``://``.
+
+    Each step is a projection of its own: nested in one, the expressions would multiply.
+    """
+    names, t, u = table.columns, F.col(target), F.col(base)
+    steps = table.withColumns(
+        {
+            "__at": F.instr(u, "://"),
+            "__plain": F.regexp_extract(u, r"\A([^#]*)", 1),
+            "__authority": F.regexp_extract(_rest(u), r"\A([^/?#]*)", 1),
+            "__base_path": path_of(u),
+            "__path": F.regexp_extract(t, r"\A([^?#]*)", 1),
+        }
+    )
+    path, base_path = F.col("__path"), F.col("__base_path")
+    steps = steps.withColumns(
+        {
+            "__site": F.concat(F.substring("__plain", F.lit(1), F.col("__at") + 2), "__authority"),
+            "__query": F.substring(t, F.length(path) + 1, F.length(t)),
+            "__whole": F.when(path.startswith("/"), path).otherwise(F.concat(F.when(base_path == "", "/").otherwise(F.regexp_extract(base_path, r"\A(.*/)", 1)), path)),
+        }
+    )
+    steps = steps.withColumn("__segments", F.split("__whole", "/")).withColumn("__clean", F.when(F.col("__whole").contains("/."), _without_dots(F.col("__segments"))).otherwise(F.col("__whole")))
+    relative = (
+        F.when(t.startswith("//"), F.concat(F.substring(u, F.lit(1), F.col("__at")), t))
+        .when((t == "") | t.startswith("#"), F.col("__plain"))
+        .when(t.startswith("?"), F.concat("__site", "__base_path", t))
+        .otherwise(F.concat("__site", "__clean", "__query"))
+    )
+    return steps.withColumn(target, F.when(t.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), t).when(F.col("__at") > 0, relative)).select(*names)
+
+
 def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """``struct(length, rule, verdict)`` of the longest fitting rule, else null. Of equal texts an allow comes first."""
     if not rules:
@@ -82,18 +131,28 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 _TAG = r"(?is)<(?:link|meta)\b[^>]*>"
-_CANONICAL = r"(?is)\brel\s*=\s*[\"']?canonical[\"']?"
+_CANONICAL = r"""(?is)(?<![\w-])rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))"""
+_BASE = r"(?is)<base\s(?:[^>]*\s)?href\s*=\s*[\"']?\s*([^\"'\s>]+)"
 _REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh[\"']?"
 
 
+def _with_ampersands(text: Column) -> Column:
+    return F.regexp_replace(text, "(?i)&(?:amp|#38|#x26);", "&")
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(source, target)`` nodes of canonical links and refresh redirects with absolute targets."""
-    tags = pages.where(F.col(url).isNotNull() & F.col(html).rlike(f"{_CANONICAL}|{_REFRESH}")).select(
-        node_of(F.col(url)).alias("source"), F.explode(F.regexp_extract_all(F.col(html), F.lit(_TAG), F.lit(0))).alias("tag")
+    """``(source, target)`` nodes of canonical links and refresh redirects."""
+    linked = pages.where(F.col(url).isNotNull() & F.col(html).rlike(f"{_CANONICAL}|{_REFRESH}"))
+    based = resolved(
+        linked.select(F.col(url).alias("page"), _with_ampersands(F.regexp_extract(html, _BASE, 1)).alias("base"), F.regexp_extract_all(F.col(html), F.lit(_TAG), F.lit(0)).alias("tags")), "base", "page"
     )
-    canonical = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
+    tags = based.select("page", F.coalesce("base", "page").alias("base"), F.explode("tags").alias("tag")).withColumn("tag", _with_ampersands(F.col("tag")))
+    canonical = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", r"(?is)(?<![\w-])href\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
     refresh = F.when(F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1))
-    return tags.select("source", node_of(F.coalesce(canonical, refresh)).alias("target")).where("source is not null and target is not null")
+    found = tags.select("page", "base", F.coalesce(canonical, refresh).alias("target")).where("target <> ''")
+    edges = resolved(found, "target", "base").select(node_of(F.col("page")).alias("source"), node_of(F.col("target")).alias("target"))
+    # written, so that filters on the nodes are not pushed down as copies of all steps
+    return cut_lineage(edges).where("source is not null and target is not null")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None = None, id_column: str = "page_id") -> DataFrame:

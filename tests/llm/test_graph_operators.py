@@ -74,6 +74,41 @@ def test_url_rules_and_aliases(spark):
     assert got[2][:2] == ("a.org", "/x") and got[10][1] == "/p"
 
 
+def test_link_targets(spark):
+    cases = [
+        ("http://a.net/p", '<link rel=canonical href="/es/p">', "http://a.net/es/p"),
+        ("HTTP://A.net/x/y?q=1#f", '<link rel="canonical" href="z.html">', "http://a.net/x/z.html"),
+        ("http://a.net", '<link rel="canonical" href="z.html">', "http://a.net/z.html"),
+        ("https://a.net/x", '<link rel="canonical" href="//B.net/x">', "https://b.net/x"),
+        ("http://a.net/x/y?q=1", '<link rel="canonical" href="?r=2&amp;s=3">', "http://a.net/x/y?r=2&s=3"),
+        ("http://a.net/x/y/z", '<link rel="canonical" href="../w/./v/..">', "http://a.net/x/w/"),
+        ("http://a.net/x", '<link rel="canonical" href="../../w?u=/../k">', "http://a.net/w?u=/../k"),
+        ("http://a.net/x", '<link rel="canonical" href="/to?next=http://c.org/">', "http://a.net/to?next=http://c.org/"),
+        ("http://a.net/x", '<link rel="shortlink canonical" href="http://b.net/s">', "http://b.net/s"),
+        ("http://a.net/x", "<link rel='canonical nofollow' href='/s'>", "http://a.net/s"),
+        ("http://a.net/x", '<meta http-equiv="refresh" content="0; url=/r?a=1&amp;b=2">', "http://a.net/r?a=1&b=2"),
+        ("http://a.net/x", '<base target="_top" href="http://b.net/d/e"><link rel="canonical" href="f">', "http://b.net/d/f"),
+        ("http://a.net/x?q#f", '<link rel="canonical" href="#top">', "http://a.net/x?q"),
+        ("http://a.net/x", '<link rel="canonical" href="mailto:a@b.net">', None),
+        ("http://a.net/x", '<link rel="noncanonical" href="/s">', None),
+        ("http://a.net/x", '<link rel="canonical">', None),
+    ]
+    pages = spark.createDataFrame([(f"{page}#{k}" if "#" not in page else page, f"<html>{tag}</html>") for k, (page, tag, _) in enumerate(cases)], "url string, html string")
+    got = collections.Counter((e.source, e.target) for e in url_filter.link_edges(pages).collect())
+    assert got == collections.Counter((page.split("#")[0].replace("HTTP://A", "http://a"), target) for page, _, target in cases if target is not None)
+
+
+def test_relative_links_are_aliases(spark):
+    pages = [
+        (1, "http://a.net/p", '<link rel=canonical href="/es/p">'),
+        (2, "http://b.net/q", '<meta http-equiv="refresh" content="0;url=//a.net/p">'),
+        (3, "http://b.net/d/r", '<link rel="shortlink canonical" href="../q">'),
+        (4, "http://b.net/other", '<link rel="canonical" href="other">'),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.PAGE_RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def test_url_filter_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), []).count() == 0
 
