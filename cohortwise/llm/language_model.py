@@ -4,10 +4,12 @@ Counts of words and word pairs are quantised by powers of two and held as
 membership only: a gram with count c is entered once for each level 1 to
 1 + floor(log2 c). Looking a gram up means probing level after level until one is
 missing; the last level found gives back a count. The filter is built in regions
-by the tasks that gather the counts, put together once, and broadcast. Its size
-follows the training tokens (``bits_per_token``) up to ``max_filter_bytes``;
-beyond that nothing is left out, but wrong hits grow more frequent
-(``Filter.filled`` tells the share of set bits).
+by the tasks that gather the counts; its size follows the training tokens
+(``bits_per_token``) without a cap. Up to ``max_filter_bytes`` the regions are put
+together once and broadcast. A larger filter stays a table of regions: documents
+are held in runs of about a million tokens, each run sends its distinct grams to
+their regions once, and the levels found come back to the run. Both ways read the
+same bits and give the same scores.
 
 The probability of a word w after v is (c(v,w) + mu * P(w)) / (c(v) + mu) with
 P(w) = (c(w) + 1) / (N + V + 1), all counts from the filter, c(v,w) at most c(v).
@@ -29,6 +31,7 @@ Columns besides id and text are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -43,7 +46,7 @@ from cohortwise.llm.common import cut_lineage, whole_text
 
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"", 1)), np.uint64(xxhash.xxh64_intdigest(b"", 2))
 _PROBES = 3
-_FLUSH_TOKENS, _RUN_TOKENS = 2_000_000, 300_000
+_FLUSH_TOKENS, _RUN_TOKENS, _SENT_TOKENS, _BATCH_GRAMS = 2_000_000, 300_000, 1_000_000, 300_000
 
 
 def words(text: str) -> list[bytes]:
@@ -111,6 +114,15 @@ class Filter:
         return float(np.unpackbits(self.bits[: 1 << 20]).mean()) if len(self.bits) else 0.0
 
 
+@dataclass(frozen=True)
+class SpreadFilter:
+    """A filter too large to broadcast: ``table`` holds ``(region, bits)``; regions without entries have no row."""
+
+    regions: int
+    region_bits: int
+    table: DataFrame
+
+
 def _region(grams: np.ndarray, regions: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(regions)) >> np.uint64(32)
 
@@ -133,8 +145,8 @@ def fill_region(grams: np.ndarray, counts: np.ndarray, region_bits: int) -> tupl
     return np.packbits(flags, bitorder="little"), entries
 
 
-def quantised_counts(held: Filter, grams: np.ndarray) -> np.ndarray:
-    """Counts by repeated probing: the middle of the last level found, 0 where the first is missing."""
+def found_levels(held: Filter, grams: np.ndarray) -> np.ndarray:
+    """The last level found by repeated probing, 0 where the first is missing."""
     found = np.zeros(len(grams), np.int64)
     alive = np.arange(len(grams))
     level = 0
@@ -150,7 +162,16 @@ def quantised_counts(held: Filter, grams: np.ndarray) -> np.ndarray:
         found[alive] = level
         if level == 64:
             break
-    return np.where(found == 0, 0.0, np.where(found == 1, 1.0, 0.75 * 2.0**found - 0.5))
+    return found
+
+
+def counts_of(levels: np.ndarray) -> np.ndarray:
+    """The middle of each level, 0 for level 0."""
+    return np.where(levels == 0, 0.0, np.where(levels == 1, 1.0, 0.75 * 2.0**levels - 0.5))
+
+
+def quantised_counts(held: Filter, grams: np.ndarray) -> np.ndarray:
+    return counts_of(found_levels(held, grams))
 
 
 @dataclass
@@ -162,7 +183,7 @@ class Model:
     counts: DataFrame
     frequent_hashes: np.ndarray
     frequent_counts: np.ndarray
-    filter: Filter
+    filter: Filter | SpreadFilter
 
 
 def _token_hashes(table: WordTable, text: str) -> np.ndarray:
@@ -176,6 +197,27 @@ def _summed(grams: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.nd
     return different, np.bincount(at, weights, len(different)).astype(np.int64)
 
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]])
+
+
+def _behind(start: float | np.uint64, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each token the value of the one before it in its document."""
+    before = np.roll(values, 1)
+    before[starts] = start
+    return before
+
+
+def _gram_counts(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending grams of the documents with their counts; a word and a pair of equal hash stand apart."""
+    token = np.concatenate(documents)
+    before = _behind(_START, token, _starts(np.array([len(t) for t in documents])))
+    (different, n), (pairs, n_pairs) = _summed(token), _summed(bigrams(before, token))
+    grams, counts = np.concatenate([unigrams(np.append(different, _START)), pairs]), np.concatenate([n, [len(documents)], n_pairs])
+    order = np.argsort(grams)
+    return grams[order], counts[order]
+
+
 def _in_flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Token hashes of the documents, in lists of some millions of tokens."""
     table, held, size = WordTable(), [], 0
@@ -210,25 +252,27 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(different[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000].astype(np.int64))], names=["word", "n"])
 
 
-def _build_filter(texts: DataFrame, tokens: int, bits_per_token: int, max_filter_bytes: int) -> Filter:
+def _by_region(grams: np.ndarray, regions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Regions that hold some of the ascending ``grams``, and where the grams of each begin and end."""
+    region = _region(grams, regions).astype(np.int64)  # ascends with the grams
+    names, at = np.unique(region, return_index=True)
+    return names, at, np.append(at[1:], len(region))
+
+
+def _build_filter(texts: DataFrame, tokens: int, bits_per_token: int, max_filter_bytes: int) -> Filter | SpreadFilter:
     regions = max(8, math.ceil(tokens / 1_000_000))
-    region_bits = max(64, min(bits_per_token * max(tokens, 1), 8 * max_filter_bytes) // regions // 64 * 64)
+    region_bits = max(64, bits_per_token * tokens // regions // 64 * 64)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for documents in _in_flushes(batches):
-            grams = []
-            for t in documents:
-                before = np.append(_START, t[:-1])
-                grams += [unigrams(t), bigrams(before, t), unigrams(_START[None])]
-            different, n = _summed(np.concatenate(grams))
-            region = _region(different, regions).astype(np.int64)  # ascends with the grams
-            names, at = np.unique(region, return_index=True)
-            ends = np.append(at[1:], len(region))
-            for k in range(0, len(names), 256):
-                part = range(k, min(k + 256, len(names)))
+            different, n = _gram_counts(documents)
+            names, at, ends = _by_region(different, regions)
+            step = 1 + len(names) * _BATCH_GRAMS // len(different)
+            for k in range(0, len(names), step):
+                part = range(k, min(k + step, len(names)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(names[k : k + 256]),
+                        pa.array(names[k : k + step]),
                         pa.array([different[at[i] : ends[i]].tobytes() for i in part], pa.binary()),
                         pa.array([n[at[i] : ends[i]].astype("<u4").tobytes() for i in part], pa.binary()),
                     ],
@@ -239,10 +283,14 @@ def _build_filter(texts: DataFrame, tokens: int, bits_per_token: int, max_filter
         grams = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in rows["grams"]])
         counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in rows["counts"]])
         bits, _ = fill_region(*_summed(grams, counts), region_bits)
+        pa.default_memory_pool().release_unused()  # workers are used again by the tasks that score
         return pa.table({"region": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
     scattered = texts.mapInArrow(scatter, "region long, grams binary, counts binary")
-    filled = scattered.groupBy("region").applyInArrow(gather, "region long, bits binary").toArrow()  # at most max_filter_bytes
+    gathered = scattered.groupBy("region").applyInArrow(gather, "region long, bits binary")
+    if regions * region_bits > 8 * max_filter_bytes:
+        return SpreadFilter(regions, region_bits, cut_lineage(gathered))
+    filled = gathered.toArrow()  # at most max_filter_bytes
     bits = np.zeros((regions, region_bits // 8), np.uint8)
     for region, part in zip(filled["region"].to_pylist(), filled["bits"]):
         bits[region] = np.frombuffer(part.as_buffer(), np.uint8)
@@ -271,56 +319,61 @@ def train(documents: DataFrame, text_column: str = "text", bits_per_token: int =
     return Model(tokens, vocabulary, rest, hashes[order], numbers, _build_filter(texts, tokens, bits_per_token, max_filter_bytes))
 
 
-def score(documents: DataFrame, model: Model, smoothing: float = 200.0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` for every document."""
-    context = documents.sparkSession.sparkContext
-    shared = context.broadcast((model.filter, model.frequent_hashes, model.frequent_counts))
-    tokens, mass = model.tokens, float(model.tokens + model.vocabulary + 1)
+_SCORED = "doc_id long, n_tokens long, known long, base double, score double, rest array<long>"
+
+
+def _exact_counts(asked: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of the words among the frequent ones, else -1."""
+    if not len(hashes):
+        return np.full(len(asked), -1.0)
+    at = np.searchsorted(hashes, asked).clip(max=len(hashes) - 1)
+    return np.where(hashes[at] == asked, counts[at], -1).astype(np.float64)
+
+
+def _run_scores(
+    names: pa.Array, sizes: np.ndarray, token: np.ndarray, exact: np.ndarray, near: np.ndarray, near_start: float, counted: Callable[[np.ndarray], np.ndarray], mass: float, smoothing: float
+) -> dict[str, pa.Array]:
+    """Scores of documents with ``sizes`` tokens each, ends included; ``counted`` gives the filter's counts of distinct grams."""
+    starts = _starts(sizes)
+    common = exact >= 0
+    base = np.where(common, np.log10(np.where(common, exact + 1, 1.0) / mass), 0.0)
+    near_before = _behind(near_start, near, starts)
+    different, place = np.unique(bigrams(_behind(_START, token, starts), token), return_inverse=True)
+    pairs = np.minimum(counted(different)[place], near_before)
+    logs = np.log10((pairs + smoothing * (near + 1) / mass) / (near_before + smoothing))
+    known = np.add.reduceat(common.astype(np.int64), starts)
+    rest = np.concatenate([[0], np.cumsum(sizes - known)]).astype(np.int32)
+    return {
+        "doc_id": names,
+        "n_tokens": pa.array(sizes),
+        "known": pa.array(known),
+        "base": pa.array(np.add.reduceat(base, starts)),
+        "score": pa.array(np.add.reduceat(logs, starts)),
+        "rest": pa.ListArray.from_arrays(pa.array(rest), pa.array(token[~common].view(np.int64))),
+    }
+
+
+def _score_by_broadcast(narrow: DataFrame, model: Model, mass: float, smoothing: float) -> DataFrame:
+    """Every task probes the whole filter."""
+    shared = narrow.sparkSession.sparkContext.broadcast((model.filter, model.frequent_hashes, model.frequent_counts))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hashes, counts = shared.value
 
         def values(asked: np.ndarray) -> dict[str, np.ndarray]:
-            at = np.searchsorted(hashes, asked).clip(max=max(len(hashes) - 1, 0))
-            known = hashes[at] == asked if len(hashes) else np.zeros(len(asked), bool)
-            exact = np.where(known, counts[at], -1) if len(hashes) else np.full(len(asked), -1)
-            return {"exact": exact.astype(np.float64), "near": quantised_counts(held, unigrams(asked))}
+            return {"exact": _exact_counts(asked, hashes, counts), "near": quantised_counts(held, unigrams(asked))}
 
         table = WordTable(values)
         of_end = {name: array[0] for name, array in values(_END[None]).items()}
         near_start = quantised_counts(held, unigrams(_START[None]))[0]
 
-        def with_ends(of_words: np.ndarray, end: float | np.uint64, ends: np.ndarray) -> np.ndarray:
-            return np.insert(of_words, ends, end)
-
-        def behind(start: float | np.uint64, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-            """For each token the value of the one before it in its document."""
-            before = np.roll(values, 1)
-            before[starts] = start
-            return before
-
         def together(names: pa.Array, run: list[list[bytes]]) -> pa.RecordBatch:
             sizes = np.array([len(document) for document in run], np.int64)
             at, ends = table.look_up(list(chain.from_iterable(run))), np.cumsum(sizes)
-            starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-            token = with_ends(table.column("hash", at), _END, ends)
-            exact, near = (with_ends(table.column(name, at), of_end[name], ends) for name in ("exact", "near"))
-            common = exact >= 0
-            base = np.where(common, np.log10(np.where(common, exact + 1, 1.0) / mass), 0.0)
-            near_before = behind(near_start, near, starts)
-            different, place = np.unique(bigrams(behind(_START, token, starts), token), return_inverse=True)
-            pairs = np.minimum(quantised_counts(held, different)[place], near_before)
-            logs = np.log10((pairs + smoothing * (near + 1) / mass) / (near_before + smoothing))
-            known = np.add.reduceat(common.astype(np.int64), starts)
-            rest = np.concatenate([[0], np.cumsum(sizes + 1 - known)]).astype(np.int32)
-            columns = {
-                "n_tokens": pa.array(sizes + 1),
-                "known": pa.array(known),
-                "base": pa.array(np.add.reduceat(base, starts)),
-                "score": pa.array(np.add.reduceat(logs, starts)),
-                "rest": pa.ListArray.from_arrays(pa.array(rest), pa.array(token[~common].view(np.int64))),
-            }
-            return pa.RecordBatch.from_arrays([names, *columns.values()], names=["doc_id", *columns])
+            token = np.insert(table.column("hash", at), ends, _END)
+            exact, near = (np.insert(table.column(name, at), ends, of_end[name]) for name in ("exact", "near"))
+            columns = _run_scores(names, sizes + 1, token, exact, near, near_start, lambda grams: quantised_counts(held, grams), mass, smoothing)
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         for batch in batches:
             names, first = batch.column("doc_id"), 0
@@ -328,9 +381,84 @@ def score(documents: DataFrame, model: Model, smoothing: float = 200.0, id_colum
                 yield together(names.slice(first, len(run)), run)
                 first += len(run)
 
-    narrow = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    done = cut_lineage(narrow.mapInArrow(scored, "doc_id long, n_tokens long, known long, base double, score double, rest array<long>"))
+    done = cut_lineage(narrow.mapInArrow(scored, _SCORED))
+    shared.unpersist()
+    return done
+
+
+def _asked(sizes: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """All distinct grams that the scores of a run need, ascending."""
+    return np.unique(np.concatenate([unigrams(np.unique(np.append(token, _START))), np.unique(bigrams(_behind(_START, token, _starts(sizes)), token))]))
+
+
+def _score_by_region(narrow: DataFrame, model: Model, mass: float, smoothing: float) -> DataFrame:
+    """Runs of documents send their distinct grams to the filter's regions and get the levels back."""
+    held = model.filter
+    regions, region_bits = held.regions, held.region_bits
+    shared = narrow.sparkSession.sparkContext.broadcast((model.frequent_hashes, model.frequent_counts))
+    sent = pa.schema([("run", pa.string()), ("region", pa.int64()), ("names", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("data", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row with the tokens of each run, without a region, and one for each region with the grams asked of it."""
+
+        def rows(names: list[int | None], documents: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            run, sizes, token = uuid.uuid4().hex, np.array([len(x) for x in documents], np.int64), np.concatenate(documents)
+            yield pa.RecordBatch.from_pydict({"run": [run], "region": [None], "names": [names], "sizes": [sizes.tolist()], "data": [token.tobytes()]}, sent)
+            grams = _asked(sizes, token)
+            places, begins, ends = _by_region(grams, regions)
+            for k in range(0, len(places), 1024):
+                part = range(k, min(k + 1024, len(places)))
+                data = [grams[begins[i] : ends[i]].tobytes() for i in part]
+                nothing = [None] * len(part)
+                yield pa.RecordBatch.from_pydict({"run": [run] * len(part), "region": places[k : k + 1024].tolist(), "names": nothing, "sizes": nothing, "data": data}, sent)
+
+        table, names, documents, size = WordTable(), [], [], 0
+        for batch in batches:
+            for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                names.append(name)
+                documents.append(_token_hashes(table, text.as_py()))
+                size += len(documents[-1])
+                if size >= _SENT_TOKENS:
+                    yield from rows(names, documents)
+                    names, documents, size = [], [], 0
+        if documents:
+            yield from rows(names, documents)
+
+    def probe(key: tuple[pa.Scalar, ...], asked: pa.Table, filled: pa.Table) -> pa.Table:
+        bits = np.frombuffer(filled["bits"][0].as_buffer(), np.uint8) if len(filled) else np.zeros(region_bits // 8, np.uint8)
+        region = Filter(1, region_bits, bits)
+        levels = [found_levels(region, np.frombuffer(x.as_buffer(), np.uint64)).astype(np.uint8).tobytes() for x in asked["data"]]
+        return pa.table({"run": asked["run"], "region": asked["region"], "levels": pa.array(levels, pa.binary())})
+
+    def scored(key: tuple[pa.Scalar, ...], run: pa.Table, answers: pa.Table) -> pa.Table:
+        hashes, counts = shared.value
+        sizes, token = np.array(run["sizes"][0].as_py(), np.int64), np.frombuffer(run["data"][0].as_buffer(), np.uint64)
+        grams = _asked(sizes, token)
+        levels = b"".join(x.as_py() for x in answers.sort_by("region")["levels"])  # the grams ascend with their regions
+        found = counts_of(np.frombuffer(levels, np.uint8).astype(np.int64))
+
+        def counted(asked: np.ndarray) -> np.ndarray:
+            return found[np.searchsorted(grams, asked)]
+
+        different, place = np.unique(token, return_inverse=True)
+        exact, near = _exact_counts(different, hashes, counts)[place], counted(unigrams(different))[place]
+        return pa.table(_run_scores(run["names"][0].values, sizes, token, exact, near, counted(unigrams(_START[None]))[0], counted, mass, smoothing))
+
+    held_runs = cut_lineage(narrow.mapInArrow(send, "run string, region long, names array<long>, sizes array<long>, data binary"))
+    asked = held_runs.where("region is not null").select("run", "region", "data")
+    answers = asked.groupBy("region").cogroup(held.table.groupBy("region")).applyInArrow(probe, "run string, region long, levels binary")
+    runs = held_runs.where("region is null").select("run", "names", "sizes", "data")
+    done = cut_lineage(runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(scored, _SCORED))
     shared.unpersist()
+    return done
+
+
+def score(documents: DataFrame, model: Model, smoothing: float = 200.0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` for every document."""
+    tokens, mass = model.tokens, float(model.tokens + model.vocabulary + 1)
+    narrow = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
+    by = _score_by_region if isinstance(model.filter, SpreadFilter) else _score_by_broadcast
+    done = by(narrow, model, mass, smoothing)
     done = done.withColumn("row", F.monotonically_increasing_id())  # stable: the rows lie in files now
     log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(mass))
     rare = (

@@ -237,3 +237,18 @@ def test_filter_never_forgets():
     assert (found >= 2.0 ** np.floor(np.log2(counts)) * 0.99).all()
     others = rng.integers(0, 2**63, 5000).astype(np.uint64)
     assert (language_model.quantised_counts(held, others) > 0).mean() < 0.5
+
+
+def test_filter_keeps_its_bits_beyond_the_broadcast(spark, odd, folder):
+    """A filter over the broadcast bound has the same bits as one below it: level false hits, equal scores."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text")).repartition(3)
+    training = documents.where(~language_model.held_out(F.col("doc_id")))
+    small, large = language_model.train(training, max_filter_bytes=500), language_model.train(training)
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    got, expected = (sorted(map(repr, map(tuple, language_model.score(documents, m).select(columns).withColumns({c: F.round(c, 6) for c in columns[4:]}).collect()))) for m in (small, large))
+    assert got == expected
+    assert small.filter.regions * small.filter.region_bits == large.filter.regions * large.filter.region_bits > 8 * 500
+    others = np.random.default_rng(4).integers(0, 2**63, 20_000).astype(np.uint64)
+    hits = [language_model.quantised_counts(language_model.Filter(1, small.filter.region_bits, np.frombuffer(r.bits, np.uint8)), others) > 0 for r in small.filter.table.collect()]
+    assert abs(np.mean(hits) - (language_model.quantised_counts(large.filter, others) > 0).mean()) < 0.01 and np.mean(hits) < 0.1
+    assert language_model.score(odd.limit(0), small).count() == 0
