@@ -1,6 +1,7 @@
 """Embeddings, URL rules, quality, components, pipeline and the SQL comparison."""
 
 import collections
+import zlib
 
 import numpy as np
 import pytest
@@ -139,6 +140,12 @@ def test_label_model_finds_accuracies():
     assert np.abs(model.accuracies() - rates).max() < 0.05
 
 
+def test_pipeline_gives_token_ids(spark, odd, folder):
+    """The packed sequences can be rebuilt from the pipeline's result alone."""
+    pieces = corpus_pipeline.STAGES[-1][1](spark, odd, folder).collect()
+    assert pieces and all(len(p.ids) == p.length and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32 for p in pieces)
+
+
 def test_pipeline(spark, folder, odd):
     columns = odd.columns
     docs = odd
