@@ -34,7 +34,8 @@ class SecretRule:
     """A kind of secret: what to match, which matches count, and what any match contains.
 
     ``least`` is the least length of ``group``. ``literals`` are alternatives in
-    lower case; one without three characters in a row gives no trigram, and the
+    lower case, written by hand: nothing checks them against ``pattern``, and an
+    alternative that is missing loses its matches; one without three characters in a row gives no trigram, and the
     rule is then scanned fully.
     """
 
