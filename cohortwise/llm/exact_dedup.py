@@ -4,13 +4,15 @@ A stream of (digest, identifier, locator) rows is grouped by digest. The state
 never expires and lives on disk (RocksDB, snapshots in the shared folder): for
 each digest it keeps the largest identifier, the content locator that belongs to
 it, and the number of rows. A digest alone proves nothing: wherever a row hits a
-digest that is already there, the full bytes are compared. Texts that share a
+digest that is already there, ``deduplicate`` compares the full bytes. Texts that share a
 digest and differ (none with SHA-256, many with a short digest) are then told
 apart by their whole text.
 
 ``deduplicate`` runs the stream over a table in one go: it lands the narrow rows
 in the shared folder, streams them with ``availableNow`` and reads the state.
-``follow`` starts the same state on a stream that goes on.
+``follow`` starts the same state on a stream that goes on; it never sees the texts
+and verifies nothing, so unlike texts with one digest are merged there. Its locator
+is the name of an input file and is not read back.
 
 Copies are folded before each shuffle (the stream aggregates within its tasks
 first; the byte check spreads a digest over ``spread`` parts), so a text that
