@@ -107,4 +107,44 @@ SELECT s.doc_id, s.n::BIGINT AS n_shingles, least(s.doc_id, coalesce(l.b, s.doc_
 FROM sized s LEFT JOIN least l ON l.a = s.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_cover_tree": OP2, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_secret_scan": OP8, "op10_minhash": OP10}
+_COVERAGE = {5: 25, 6: 24, 7: 23, 8: 22, 9: 21, 10: 20}  # fixed values: the bounds of the query
+
+
+def _covered(n: int) -> str:
+    """Characters of the words inside windows of n words that stood before, and words inside windows found twice."""
+    return f"""
+covered_{n} AS (
+    SELECT doc_id, sum(CASE WHEN max_before > 0 THEN length(word) ELSE 0 END)::BIGINT AS chars, sum(max_twice)::BIGINT AS words FROM (
+        SELECT doc_id, word, max(before) OVER near AS max_before, max(twice) OVER near AS max_twice FROM (
+            SELECT doc_id, at, word,
+                   CASE WHEN at + {n - 1} <= n AND row_number() OVER (PARTITION BY doc_id, gram ORDER BY at) > 1 THEN 1 ELSE 0 END AS before,
+                   CASE WHEN at + {n - 1} <= n AND count(*) OVER (PARTITION BY doc_id, gram) > 1 THEN 1 ELSE 0 END AS twice
+            FROM (SELECT doc_id, at, word, n, CASE WHEN at + {n - 1} <= n THEN array_to_string(w[at:at + {n - 1}], ' ') ELSE 'rest ' || at END AS gram FROM placed)
+        ) WINDOW near AS (PARTITION BY doc_id ORDER BY at ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)
+    ) GROUP BY doc_id
+)"""
+
+
+OP13 = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+placed AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS at, unnest(w) AS word FROM docs),
+lines AS (
+    SELECT doc_id, line, at FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS at FROM docs)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), repeated AS (
+    SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY at) AS k FROM lines) WHERE k > 1 GROUP BY doc_id
+),{",".join(_covered(n) for n in _COVERAGE)},
+measured AS (
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+           (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+           coalesce(r.n, 0)::BIGINT AS n_dup_lines, coalesce(r.chars, 0)::BIGINT AS line_chars, coalesce(covered_8.words, 0)::BIGINT AS n_repeat_words,
+           {", ".join(f"coalesce(covered_{n}.chars, 0)::BIGINT AS covered_{n}" for n in _COVERAGE)}
+    FROM docs d LEFT JOIN repeated r ON r.doc_id = d.doc_id {" ".join(f"LEFT JOIN covered_{n} ON covered_{n}.doc_id = d.doc_id" for n in _COVERAGE)}
+), failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND 100 * line_chars <= 20 * word_chars AND 100 * n_symbols <= 10 * n_words
+       AND {" AND ".join(f"100 * covered_{n} <= {percent} * word_chars" for n, percent in _COVERAGE.items())} AS kept
+FROM failed
+"""
+
+ORACLES: dict[str, str] = {"op2_cover_tree": OP2, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_secret_scan": OP8, "op10_minhash": OP10, "op13_repetition": OP13}

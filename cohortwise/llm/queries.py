@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import bpe, embedding_dedup, exact_dedup, language_model, minhash, packing, quality, secrets, sharding, url_filter
+from cohortwise.llm import bpe, embedding_dedup, exact_dedup, language_model, minhash, packing, quality, repetition, secrets, sharding, url_filter
 from cohortwise.llm.common import shared_folder
 
 
@@ -86,6 +86,11 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), minhash.NearDuplicates(shingle=2, percent=80))
 
 
+def op13_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    """Repetition coverage and verdict of every whole text."""
+    return repetition.judge(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_cover_tree": op2_cover_tree,
@@ -97,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_minhash": op10_minhash,
+    "op13_repetition": op13_repetition,
 }
