@@ -116,24 +116,24 @@ def _covered(n: int) -> str:
 covered_{n} AS (
     SELECT doc_id, sum(CASE WHEN max_before > 0 THEN length(word) ELSE 0 END)::BIGINT AS chars, sum(max_twice)::BIGINT AS words FROM (
         SELECT doc_id, word, max(before) OVER near AS max_before, max(twice) OVER near AS max_twice FROM (
-            SELECT doc_id, at, word,
-                   CASE WHEN at + {n - 1} <= n AND row_number() OVER (PARTITION BY doc_id, gram ORDER BY at) > 1 THEN 1 ELSE 0 END AS before,
-                   CASE WHEN at + {n - 1} <= n AND count(*) OVER (PARTITION BY doc_id, gram) > 1 THEN 1 ELSE 0 END AS twice
-            FROM (SELECT doc_id, at, word, n, CASE WHEN at + {n - 1} <= n THEN array_to_string(w[at:at + {n - 1}], ' ') ELSE 'rest ' || at END AS gram FROM placed)
-        ) WINDOW near AS (PARTITION BY doc_id ORDER BY at ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)
+            SELECT doc_id, pos, word,
+                   CASE WHEN pos + {n - 1} <= n AND row_number() OVER (PARTITION BY doc_id, gram ORDER BY pos) > 1 THEN 1 ELSE 0 END AS before,
+                   CASE WHEN pos + {n - 1} <= n AND count(*) OVER (PARTITION BY doc_id, gram) > 1 THEN 1 ELSE 0 END AS twice
+            FROM (SELECT doc_id, pos, word, n, CASE WHEN pos + {n - 1} <= n THEN array_to_string(w[pos:pos + {n - 1}], ' ') ELSE 'rest ' || pos END AS gram FROM placed)
+        ) WINDOW near AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)
     ) GROUP BY doc_id
 )"""
 
 
 OP13 = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-placed AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS at, unnest(w) AS word FROM docs),
+placed AS (SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM docs),
 lines AS (
-    SELECT doc_id, line, at FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS at FROM docs)
+    SELECT doc_id, line, pos FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS pos FROM docs)
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), repeated AS (
     SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars
-    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY at) AS k FROM lines) WHERE k > 1 GROUP BY doc_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS k FROM lines) WHERE k > 1 GROUP BY doc_id
 ),{",".join(_covered(n) for n in _COVERAGE)},
 measured AS (
     SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
