@@ -107,6 +107,58 @@ SELECT s.doc_id, s.n::BIGINT AS n_shingles, least(s.doc_id, coalesce(l.b, s.doc_
 FROM sized s LEFT JOIN least l ON l.a = s.doc_id
 """
 
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR END"
+
+
+def _tree(name: str, leaves: str, levels: int = 6) -> str:
+    """Nodes ``(tree, pos, digest)`` level by level, and the runs of their digests."""
+    parts = [f"{name}_0 AS (SELECT * FROM {leaves})"]
+    for k in range(levels):
+        parts.append(f"{name}_runs_{k} AS (SELECT tree, pos // 16 AS run, list(digest ORDER BY pos) AS members, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}_{k}) GROUP BY ALL)")
+        parts.append(f"{name}_{k + 1} AS (SELECT tree, run AS pos, CASE WHEN n > 1 THEN sha256(array_to_string(members, '')) ELSE members[1] END AS digest FROM {name}_runs_{k})")
+    return ",\n".join(parts)
+
+
+def _climb(rows: str, name: str, tree: str, position: str, out: str, levels: int = 6) -> str:
+    """Follow each row's node to its root: ``cur`` is recomputed and ``sibs`` gathers the siblings."""
+    parts = [f"{out}_0 AS (SELECT *, {tree} AS tree_key, {position} AS place FROM {rows})"]
+    for k in range(levels):
+        own = "(r.place % 16 + 1)"
+        parts.append(f"""{out}_{k + 1} AS (
+    SELECT r.* REPLACE (r.place // 16 AS place,
+           CASE WHEN m.n > 1 THEN sha256(array_to_string(list_transform(m.members, lambda x, i: CASE WHEN i = {own} THEN r.cur ELSE x END), '')) ELSE r.cur END AS cur,
+           CASE WHEN m.n > 1 THEN r.sibs || array_to_string(list_filter(m.members, lambda x, i: i <> {own}), '') ELSE r.sibs END AS sibs)
+    FROM {out}_{k} r JOIN {name}_runs_{k} m ON m.tree = r.tree_key AND m.run = r.place // 16)""")
+    return ",\n".join(parts)
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# crc32 bit by bit: DuckDB has no such function
+_CRC32 = """(4294967295 - list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT)), lambda crc, byte:
+    list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)))"""
+
+OP11 = f"""
+WITH docs AS (
+    SELECT doc_id, coalesce('s' || source, '') AS tree, sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+           sha256({" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", _LOWERED)))}) AS lowered, {_CRC32} % 5 = 0 AS tampered
+    FROM documents
+), placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM docs),
+leaves AS (SELECT tree, pos, leaf AS digest FROM placed),
+{_tree("node", "leaves")},
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS place_of FROM node_6),
+tops AS (SELECT '' AS tree, place_of AS pos, digest FROM subroots),
+{_tree("top", "tops", 3)},
+begun AS (SELECT p.*, CASE WHEN coalesce(tampered, FALSE) THEN lowered ELSE leaf END AS cur, '' AS sibs FROM placed p),
+{_climb("begun", "node", "tree", "pos", "up")},
+halfway AS (SELECT u.* EXCLUDE (tree_key, place), s.digest AS subroot, s.place_of FROM up_6 u JOIN subroots s ON s.tree = u.tree),
+{_climb("halfway", "top", "''", "place_of", "over", 3)}
+SELECT o.doc_id, o.leaf, o.subroot, t.digest AS root, sha256(o.sibs) AS proof_sha256, o.cur AS folded_root, o.cur = t.digest AS verified
+FROM over_3 o CROSS JOIN top_3 t
+"""
+
 _COVERAGE = {5: 25, 6: 24, 7: 23, 8: 22, 9: 21, 10: 20}  # fixed values: the bounds of the query
 
 
@@ -147,4 +199,4 @@ SELECT *, NOT base_failed AND 100 * line_chars <= 20 * word_chars AND 100 * n_sy
 FROM failed
 """
 
-ORACLES: dict[str, str] = {"op2_cover_tree": OP2, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_secret_scan": OP8, "op10_minhash": OP10, "op13_repetition": OP13}
+ORACLES: dict[str, str] = {"op2_cover_tree": OP2, "op5_exact_dedup": OP5, "op6_url_filter": OP6, "op8_secret_scan": OP8, "op10_minhash": OP10, "op11_merkle": OP11, "op13_repetition": OP13}

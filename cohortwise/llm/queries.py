@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import bpe, embedding_dedup, exact_dedup, language_model, minhash, packing, quality, repetition, secrets, sharding, url_filter
+from cohortwise.llm import bpe, embedding_dedup, exact_dedup, language_model, merkle, minhash, packing, quality, repetition, secrets, sharding, url_filter
 from cohortwise.llm.common import shared_folder
 
 
@@ -86,6 +86,17 @@ def op10_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), minhash.NearDuplicates(shingle=2, percent=80))
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Merkle proofs of all documents; where 5 divides the checksum of the id, the root is recomputed from a text with its A-Z lowered."""
+    documents = _table(spark, folder, "documents")
+    lowered = merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), url_filter.lower_ascii(F.col("text"))])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lowered)
+    proven = merkle.manifest(documents, carry={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root")
+    checked = proven.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded)
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_repetition(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition coverage and verdict of every whole text."""
     return repetition.judge(_table(spark, folder, "documents"))
@@ -102,5 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe": op9_bpe,
     "op10_minhash": op10_minhash,
+    "op11_merkle": op11_merkle,
     "op13_repetition": op13_repetition,
 }
