@@ -7,13 +7,15 @@ in the columns of its contract.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm import bpe, embedding_dedup, exact_dedup, language_model, merkle, minhash, packing, quality, repetition, secrets, sharding, url_filter
+from cohortwise.llm import bpe, embedding_dedup, exact_dedup, language_model, merkle, minhash, packing, periodic_runs, quality, repetition, secrets, sharding, url_filter
 from cohortwise.llm.common import shared_folder
 
 
@@ -97,6 +99,27 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _planted(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Words of a tenth of the documents repeat from a place on that follows from the id."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    places = np.arange(n)
+    places[first:] = first + (places[first:] - first) % period
+    return places
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every whole text, the strongest of them, and the collapsed text as a digest."""
+    found = periodic_runs.periodic_runs(_table(spark, folder, "documents"), change=_planted)
+    listed = F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256")
+    digests = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), periodic_runs.strongest(F.col("runs")).alias("best"), listed, F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return digests.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_repetition(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition coverage and verdict of every whole text."""
     return repetition.judge(_table(spark, folder, "documents"))
@@ -114,5 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_minhash": op10_minhash,
     "op11_merkle": op11_merkle,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_repetition": op13_repetition,
 }

@@ -105,25 +105,29 @@ def hash_between(mixed: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return total
 
 
-def measure(data: np.ndarray, edges: np.ndarray, rules: RepetitionRules) -> dict[str, np.ndarray]:
-    """The measures of the documents whose UTF-8 bytes lie in ``data`` from each of the ``edges`` to the next."""
-    documents = len(edges) - 1
+def word_places(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and each word's document."""
     begins = np.zeros(len(data) + 1, bool)
     begins[edges] = True
-    space = np.concatenate([_IS_SPACE[data], [True]])
-    before = np.concatenate([[True], space[:-1]]) | begins
-    starts = (~space & before).nonzero()[0]
+    space = np.append(_IS_SPACE[data], True)
+    starts = (~space & (np.append(True, space[:-1]) | begins)).nonzero()[0]
     ends = ((space | begins)[1:] & ~space[:-1]).nonzero()[0] + 1
+    return starts, ends, np.searchsorted(edges, starts, side="right") - 1
+
+
+def measure(data: np.ndarray, edges: np.ndarray, rules: RepetitionRules) -> dict[str, np.ndarray]:
+    """The measures of the documents whose UTF-8 bytes lie in ``data`` from each of the ``edges`` to the next."""
+    documents = len(edges) - 1
+    starts, ends, document = word_places(data, edges)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points up to here
     lengths = points[ends] - points[starts]
-    document = np.searchsorted(edges, starts, side="right") - 1
     sizes = np.bincount(document, minlength=documents)
     per_document = lambda values: np.bincount(document, weights=values, minlength=documents).astype(np.int64)
     mixed = _mix(np.arange(1, 257, dtype=np.uint64) * _STEP)[data]
     symbol = np.zeros(256, np.int64)
     symbol[list(rules.symbols.encode())] = 1
     found = {"n_words": sizes.astype(np.int64), "word_chars": per_document(lengths), "n_symbols": sum_between(symbol[data], edges)}
-    found |= _line_measures(data, edges, begins, mixed, starts, lengths)
+    found |= _line_measures(data, edges, mixed, starts, lengths)
 
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(starts))  # words from here to the document's end
     wanted = dict(rules.coverage)
@@ -146,9 +150,10 @@ def measure(data: np.ndarray, edges: np.ndarray, rules: RepetitionRules) -> dict
     return found
 
 
-def _line_measures(data: np.ndarray, edges: np.ndarray, begins: np.ndarray, mixed: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
+def _line_measures(data: np.ndarray, edges: np.ndarray, mixed: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray]:
     """How many lines with a word stood in the document before, and the code points of their words."""
-    first = begins.copy()
+    first = np.zeros(len(data) + 1, bool)
+    first[edges] = True
     first[1:] |= data == _NEWLINE
     first[-1] = False
     line_start = first.nonzero()[0]
