@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortwise.functions.coding import level_position
+from cohortwise.functions.nulls import null_safe_join
+from cohortwise.functions.ordinal import with_positions
 from cohortwise.operators.grid import activity_vector, count_bits, is_active, word_names
 from cohortwise.sources.durable import durable
 
@@ -28,6 +31,19 @@ def rule_clusters(words: DataFrame, bins: int, minimum: Sequence[int]) -> DataFr
     return words.select("p_id", rule_label(engaged, minimum).alias("cluster"), engaged.alias("engaged"))
 
 
+def ordered_membership(members: DataFrame, levels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``members`` in display order: by level as listed, then participant.
+
+    Adds ``position`` (gapless over each group ``by``) and ``row_in_cluster``. Clusters outside the levels come first.
+    """
+    placed = with_positions(members, [level_position("cluster", levels), F.col("p_id")], by)
+    first = members.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("rows"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # over one row a cluster
+    before = F.sum("rows").over(group.orderBy(level_position("cluster", levels))) - F.col("rows")
+    starts = first.select(*by, "cluster", before.alias("__first"))
+    return null_safe_join(placed, starts, [*by, "cluster"]).withColumn("row_in_cluster", F.col("position") - F.col("__first")).drop("__first")
+
+
 def activity_patterns(words: DataFrame, bins: int) -> DataFrame:
     """Different activity vectors with the number of participants that share each.
 

@@ -19,15 +19,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.functions.pvalues import chi_square_tail, normal_two_sided
-from cohortwise.operators.survival import Z_95, Factor, Term, term_names
+from cohortwise.functions.ties import efron_sums
+from cohortwise.operators.concordance import concordance
+from cohortwise.operators.covariance import covariance
+from cohortwise.operators.survival import Z_95, ByStratum, Factor, Term, term_names
 from cohortwise.sources.durable import durable
 
-_TIE_CHUNK = 1_000_000
-
 
 def _exp(x: float) -> float:
     """Infinity where the ratio is beyond a double, as under separation."""
@@ -146,22 +147,6 @@ def _running(values: np.ndarray, strata: np.ndarray) -> np.ndarray:
     return result
 
 
-def _tie_sums(risk: float, tied: float, deaths: int) -> tuple[float, ...]:
-    """Sums over l of f^k / (risk - f tied)^j for f = l / deaths, and of the logarithm."""
-    log = a0 = a1 = b0 = b1 = b2 = 0.0
-    for low in range(0, deaths, _TIE_CHUNK):
-        share = np.arange(low, min(low + _TIE_CHUNK, deaths)) / deaths
-        base = risk - share * tied
-        one, two = 1.0 / base, 1.0 / base**2
-        log += np.log(base).sum()
-        a0 += one.sum()
-        a1 += (share * one).sum()
-        b0 += two.sum()
-        b1 += (share * two).sum()
-        b2 += (share * share * two).sum()
-    return log, a0, a1, b0, b1, b2
-
-
 def _likelihood(table: pd.DataFrame, beta: np.ndarray, layout: _Layout) -> dict:
     """Log partial likelihood, gradient, information and the pieces per event time."""
     table = table.sort_values(["stratum", "time"], kind="stable").reset_index(drop=True)
@@ -169,18 +154,18 @@ def _likelihood(table: pd.DataFrame, beta: np.ndarray, layout: _Layout) -> dict:
     strata = table["stratum"].to_numpy()
     r0, r1, r2 = (_running(part[name], strata) for name in ("r0", "r1", "r2"))
     at = np.flatnonzero(part["d"] > 0)
-    p = layout.width
     loglik = float((part["sum_x"] @ beta).sum())
-    means, spreads = np.zeros((len(at), p)), np.zeros((len(at), p, p))
-    for i, k in enumerate(at):
-        log, a0, a1, b0, b1, b2 = _tie_sums(r0[k], part["t0"][k], int(round(part["d"][k])))
-        loglik -= log
-        means[i] = r1[k] * a0 - part["t1"][k] * a1
-        cross = np.outer(r1[k], part["t1"][k])
-        spreads[i] = (
-            r2[k] * a0 - part["t2"][k] * a1
-            - np.outer(r1[k], r1[k]) * b0 + (cross + cross.T) * b1 - np.outer(part["t1"][k], part["t1"][k]) * b2
-        )
+    log, *shares = efron_sums(r0[at], part["t0"][at], np.rint(part["d"][at]))
+    loglik -= float(log.sum())
+    a0, a1, b0, b1, b2 = (share[:, None] for share in shares)
+    risk, tied = r1[at], part["t1"][at]
+    means = risk * a0 - tied * a1
+    outer = lambda x, y: x[:, :, None] * y[:, None, :]
+    cross = outer(risk, tied * b1)
+    spreads = (
+        r2[at] * a0[:, :, None] - part["t2"][at] * a1[:, :, None]
+        - outer(risk, risk * b0) + cross + cross.transpose(0, 2, 1) - outer(tied, tied * b2)
+    )
     return {
         "loglik": float(loglik),
         "gradient": part["sum_x"].sum(axis=0) - means.sum(axis=0),
@@ -297,36 +282,64 @@ class CoxFit:
                 at += width
         return self._frame(rows, "model string, variable string, level string, n bigint, hr double, lower double, upper double, p double")
 
-    def _day_table(self) -> DataFrame:
-        """Risk-set mean per (model, stratum, event day) with the model's scaling matrix; at most horizon rows a stratum."""
-        rows = []
-        for m in self.models:
-            coef = np.where(m.kept, m.coef, 0.0)
-            scaling = (m.variance * m.events).tolist()
-            for (stratum, time), mean in zip(m.pieces["times"].itertuples(index=False), m.pieces["x_means"]):
-                rows.append((m.model, stratum, int(time), mean.tolist()))
-            self._scaling = getattr(self, "_scaling", {})
-            self._scaling[m.model] = (coef.tolist(), scaling)
+    def _constants(self) -> DataFrame:
+        """Coefficients and scaling matrix, one row a model."""
+        rows = [(m.model, np.where(m.kept, m.coef, 0.0).tolist(), (m.variance * m.events).tolist()) for m in self.models]
+        return self._frame(rows, "model string, coef array<double>, scaling array<array<double>>")
+
+    def _event_days(self) -> DataFrame:
+        """Risk-set mean per model, stratum and event day; at most horizon rows a stratum."""
+        rows = [
+            (m.model, stratum, int(time), mean.tolist())
+            for m in self.models
+            for (stratum, time), mean in zip(m.pieces["times"].itertuples(index=False), m.pieces["x_means"])
+        ]
         return self._frame(rows, "model string, stratum string, time int, x_mean array<double>")
 
-    def schoenfeld(self) -> DataFrame:
-        """``p_id, model, stratum, time, term, resid, scaled`` for every event.
+    def residual_rows(self) -> DataFrame:
+        """``p_id, model, stratum, time, resid, scaled`` of every event, residuals as arrays over the columns.
 
-        Events are joined with the risk-set mean of their day; that table has one
-        row per model, stratum and event day, so it is small by construction.
+        Events meet the risk-set mean of their day; Spark broadcasts these few rows when they are below its threshold.
         """
-        days = self._day_table()
-        models = self._frame([(m, c, v) for m, (c, v) in self._scaling.items()], "model string, coef array<double>, scaling array<array<double>>")
-        events = self.rows.filter(F.col("event") == 1).join(F.broadcast(days), ["model", "stratum", "time"])
-        resid = F.zip_with("x", "x_mean", lambda a, b: a - b)
+        events = self.rows.filter(F.col("event") == 1).join(self._event_days(), ["model", "stratum", "time"])
         dot = lambda row: F.aggregate(F.zip_with(row, F.col("resid"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        joined = events.withColumn("resid", resid).join(F.broadcast(models), "model")
+        joined = events.withColumn("resid", F.zip_with("x", "x_mean", lambda a, b: a - b)).join(self._constants(), "model")
         scaled = F.zip_with("coef", F.transform("scaling", dot), lambda c, v: c + v)
+        return joined.select("p_id", "model", "stratum", "time", "resid", scaled.alias("scaled"))
+
+    def schoenfeld(self) -> DataFrame:
+        """``p_id, model, stratum, time, term, resid, scaled`` for every event and column."""
         names = F.array(*[F.lit(name) for name in self.models[0].names])
         cells = F.arrays_zip(names.alias("term"), F.col("resid").alias("resid"), F.col("scaled").alias("scaled"))
-        flat = joined.withColumn("scaled", scaled).select("p_id", "model", "stratum", "time", F.inline(cells))
+        flat = self.residual_rows().select("p_id", "model", "stratum", "time", F.inline(cells))
         return flat.toDF("p_id", "model", "stratum", "time", "term", "resid", "scaled")
 
+    def combined_columns(self) -> dict[str, list[int]]:
+        """Positions of the columns that make up each residual column.
+
+        Every column stands for itself; the columns of a level in the separate strata of a ``ByStratum`` term
+        also stand together, as the effect of that level over all of the follow-up.
+        """
+        names = self.models[0].names
+        columns = {name: [i] for i, name in enumerate(names)}
+        for term in self.terms:
+            if isinstance(term, ByStratum):
+                for level, parts in term.level_names().items():
+                    columns[level] = [names.index(part) for part in parts]
+        return columns
+
+    def residual_covariance(self, column: str = "scaled") -> DataFrame:
+        """``model, row_term, column_term, n, covariance`` of all residual columns, combined ones included.
+
+        Null for columns that the model dropped; a combined column takes what is left of its parts.
+        """
+        columns = self.combined_columns()
+        values = F.array(*[sum((F.col(column)[i] for i in parts[1:]), F.col(column)[parts[0]]) for parts in columns.values()])
+        rows = self.residual_rows().select("model", values.alias("z"))
+        shift = {m.model: [float(sum(m.coef[i] for i in parts if m.kept[i])) for parts in columns.values()] for m in self.models}
+        missing = {m.model: {k for k, parts in enumerate(columns.values()) if not any(m.kept[i] for i in parts)} for m in self.models}
+        return covariance(rows, list(columns), shift if column == "scaled" else None, missing)
+
     def ph_test(self) -> DataFrame:
         """Score test of a trend of each term's effect in 1 - S(t-), per term and overall."""
         rows = []
@@ -348,7 +361,7 @@ class CoxFit:
             risk = F.aggregate(F.zip_with("x", beta, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
             part = self.rows.filter(F.col("model") == m.model).select("model", "time", "event", risk.alias("risk"))
             scored = part if scored is None else scored.unionByName(part)
-        return concordance(scored, rows=sum(m.rows for m in self.models))
+        return concordance(scored)
 
 
 def _trend_tests(m: CoxModel, spans: list[tuple[str, list[int]]]) -> list[tuple[str, float | None, int]]:
@@ -378,11 +391,12 @@ def _trend_tests(m: CoxModel, spans: list[tuple[str, list[int]]]) -> list[tuple[
 
 def coxph(
     matrix: DataFrame, terms: Sequence[Term], model: str | None = None, stratum: str | None = None, time: str = "duration",
-    event: str = "event", max_steps: int = 25, tolerance: float = 1e-9,
+    event: str = "event", max_steps: int = 200, tolerance: float = 1e-9,
 ) -> CoxFit:
     """Fit one model per value of ``model`` on a design matrix with the vector column ``x``.
 
-    ``max_steps=0`` evaluates everything at zero coefficients.
+    Steps go on until the log likelihood stays within ``tolerance``; a model that takes more than ``max_steps``
+    is an error, so every fit that is returned has converged. ``max_steps=0`` evaluates everything at zero coefficients.
     """
     names = term_names(terms)
     width = len(names)
@@ -418,8 +432,8 @@ def coxph(
                 state.steps += 1
                 continue
             state.loglik, state.pieces = at["loglik"], at
-            if done or step == max_steps:
-                state.converged = done or max_steps == 0
+            if done or max_steps == 0:
+                state.converged = True
                 del active[name]
                 continue
             kept = np.flatnonzero(state.kept)
@@ -430,6 +444,8 @@ def coxph(
             state.steps += 1
         if not active:
             break
+    if active:
+        raise RuntimeError(f"no convergence in {max_steps} steps: {sorted(active)}")
     return CoxFit(rows, [_in_original_units(name, names, states[name]) for name in sorted(states)], terms)
 
 
@@ -452,73 +468,3 @@ def _in_original_units(name: str, names: list[str], state: _State) -> CoxModel:
         name, names, np.where(state.kept, beta / state.scale, np.nan), state.kept, variance, state.rows, at["n_event"],
         state.loglik_null, state.loglik, state.converged, state.steps, state.level_share, pieces,
     )
-
-
-def concordance(scored: DataFrame, rows: int) -> DataFrame:
-    """Concordance per model from ``(model, time, event, risk)``.
-
-    Rows are folded to counts per (risk, time, event) and cut into risk buckets.
-    Pairs from different buckets follow from the bucket x day totals, pairs
-    inside a bucket from one sorted sweep per bucket with a day-indexed counter.
-    No pair is ever written out.
-    """
-    buckets = int(min(max(rows // 200_000, 8), 1024))
-    counts = scored.groupBy("model", "risk", "time", "event").agg(F.count(F.lit(1)).alias("n"))
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = counts.groupBy("model").agg(F.percentile_approx("risk", shares, 100 * buckets).alias("edges"), F.sum("n").alias("rows"))
-    tagged = counts.join(F.broadcast(edges.select("model", "edges")), "model").withColumn(
-        "bucket", F.size(F.filter("edges", lambda edge: edge < F.col("risk")))
-    )
-    tagged = tagged.drop("edges")
-    inside = tagged.groupBy("model", "bucket").applyInPandas(_inside_bucket, "model string, lower double, tied double, pairs double")
-    totals = tagged.groupBy("model", "bucket", "time", "event").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    across = scored.sparkSession.createDataFrame(
-        [_across_buckets(name, part) for name, part in totals.groupby("model")], "model string, lower double, tied double, pairs double"
-    )
-    summed = inside.unionByName(across).groupBy("model").agg(F.sum("lower").alias("lower"), F.sum("tied").alias("tied"), F.sum("pairs").alias("pairs"))
-    return summed.select("model", F.try_divide(F.col("lower") + F.col("tied") / F.lit(2.0), F.col("pairs")).alias("concordance"), "pairs")
-
-
-def _later(counts: np.ndarray, censored: np.ndarray) -> np.ndarray:
-    """Per day: rows that outlast an event on that day (later days, or censored the same day)."""
-    after = np.cumsum(counts[..., ::-1], axis=-1)[..., ::-1] - counts
-    return after + censored
-
-
-def _across_buckets(name: str, part: pd.DataFrame) -> tuple:
-    days, day = np.unique(part["time"], return_inverse=True)
-    names, bucket = np.unique(part["bucket"], return_inverse=True)
-    everyone, censored = np.zeros((len(names), len(days))), np.zeros((len(names), len(days)))
-    np.add.at(everyone, (bucket, day), part["n"].to_numpy(float))
-    np.add.at(censored, (bucket, day), np.where(part["event"] == 0, part["n"], 0).astype(float))
-    later = _later(everyone, censored)
-    lower = np.cumsum(later, axis=0) - later
-    other = later.sum(axis=0) - later
-    deaths = everyone - censored
-    return (name, float((deaths * lower).sum()), 0.0, float((deaths * other).sum()))
-
-
-def _inside_bucket(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("risk", kind="stable")
-    days, day = np.unique(part["time"], return_inverse=True)
-    n = part["n"].to_numpy(float)
-    event = part["event"].to_numpy() == 1
-    risk = part["risk"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, np.diff(risk) != 0])
-    ends = np.r_[starts[1:], len(risk)]
-    everyone, censored = np.zeros(len(days)), np.zeros(len(days))
-    lower = tied = 0.0
-    all_deaths = np.zeros(len(days))
-    for a, b in zip(starts, ends):
-        here, lost, deaths = np.zeros(len(days)), np.zeros(len(days)), np.zeros(len(days))
-        np.add.at(here, day[a:b], n[a:b])
-        np.add.at(lost, day[a:b], np.where(event[a:b], 0.0, n[a:b]))
-        deaths = here - lost
-        if deaths.any():
-            lower += float((deaths * _later(everyone, censored)).sum())
-            tied += float((deaths * _later(here, lost)).sum())
-        everyone += here
-        censored += lost
-        all_deaths += deaths
-    pairs = float((all_deaths * _later(everyone, censored)).sum())
-    return pd.DataFrame({"model": [part["model"].iloc[0]], "lower": [lower], "tied": [tied], "pairs": [pairs]})

@@ -153,6 +153,10 @@ class ByStratum:
     def names(self) -> list[str]:
         return [f"{self.factor.column}={l}:{self.stratum}={v}" for v in self.values for l in self.factor.levels]
 
+    def level_names(self) -> dict[str, list[str]]:
+        """For each level the names of its columns over the strata."""
+        return {f"{self.factor.column}={l}:{self.stratum}": [f"{self.factor.column}={l}:{self.stratum}={v}" for v in self.values] for l in self.factor.levels}
+
     @property
     def column(self) -> str:
         return f"{self.factor.column}:{self.stratum}"

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from cohortwise.config import COHORT_1, COHORT_2, PASSIVE_TYPES, STREAM_LABELS, STREAMS, Cohort
 from cohortwise.functions import coding
 from cohortwise.functions.calendar import bin_label
-from cohortwise.operators import align, cluster, compare, cox, describe, grid, ranks, report, summary, survival
+from cohortwise.operators import align, cluster, compare, concordance, cox, describe, grid, ranks, report, summary, survival
 from cohortwise.plans import engagement, retention
 from cohortwise.plans.fixtures import Fixtures
 from cohortwise.sources import study
@@ -451,6 +451,13 @@ def cluster_bin_rate(f: Fixtures) -> DataFrame:
     return present(cluster.bin_rate(members, ["stream", "cluster"]))
 
 
+@query
+def cluster_membership(f: Fixtures) -> DataFrame:
+    """Participants in display order, by cluster and id, for each stream."""
+    members = engagement.by_stream(_wide_words(f), COHORT_1, RULE_BINS).select("stream", "p_id", "cluster")
+    return present(cluster.ordered_membership(members, tuple(f"C{k + 1}" for k in range(len(RULE_BINS) + 1)), ["stream"]))
+
+
 def _record_counts(f: Fixtures) -> DataFrame:
     """Value counts of survey and visit records per participant, before any group is known."""
     surveys = _surveys(f).select(
@@ -735,14 +742,17 @@ def zph_one_covariate(f: Fixtures) -> DataFrame:
     return present(tests.select(F.col("model").alias("stream"), "chisq", "df"), 5)
 
 
-@query
-def cox_episode_effect(f: Fixtures) -> DataFrame:
+def _episode_sex_model(f: Fixtures) -> cox.CoxFit:
     cuts = COHORT_1.episodes["phone"][0]
     terms = [survival.ByStratum(survival.Factor("sex", ("male", "female")), "tgroup", tuple(range(1, len(cuts) + 2)))]
     table = _cohort_table(f).withColumnsRenamed({"duration_phone": "duration", "event_phone": "event"})
     matrix = survival.design_matrix(survival.episode_split(table, cuts), terms, ["p_id", "tgroup", "tstop", "event"])
-    fit = cox.coxph(matrix, terms, stratum="tgroup", time="tstop", tolerance=1e-12)
-    return present(fit.coefficients().filter(F.col("coef").isNotNull()).select("term", "coef", "se"), 5)
+    return cox.coxph(matrix, terms, stratum="tgroup", time="tstop", tolerance=1e-12)
+
+
+@query
+def cox_episode_effect(f: Fixtures) -> DataFrame:
+    return present(_episode_sex_model(f).coefficients().filter(F.col("coef").isNotNull()).select("term", "coef", "se"), 5)
 
 
 @query
@@ -782,21 +792,50 @@ def schoenfeld_residuals(f: Fixtures) -> DataFrame:
     return present(_fit(f).schoenfeld().drop("stratum").withColumnRenamed("model", "stream"))
 
 
+def _zero_model(f: Fixtures) -> cox.CoxFit:
+    terms = [survival.Numeric("age"), survival.Factor("sex", ("female", "male"))]
+    return cox.coxph(retention.long_matrix(_cohort_table(f), terms), terms, model="stream", max_steps=0)
+
+
 @query
 def schoenfeld_at_zero(f: Fixtures) -> DataFrame:
-    terms = [survival.Numeric("age"), survival.Factor("sex", ("female", "male"))]
-    matrix = retention.long_matrix(_cohort_table(f), terms)
-    residuals = cox.coxph(matrix, terms, model="stream", max_steps=0).schoenfeld()
+    residuals = _zero_model(f).schoenfeld()
     return present(residuals.select("p_id", F.col("model").alias("stream"), "time", "term", "resid"))
 
 
+@query
+def concordance_of_baseline(f: Fixtures) -> DataFrame:
+    """How well a continuous score of the baseline tells who drops out earlier."""
+    table = _cohort_table(f).withColumn("risk", F.col("phq_base") * F.lit(2.0) + F.col("edu_age_align") / F.lit(1000.0))
+    long = survival.dropout_long(table.filter(F.col("risk").isNotNull()), STREAMS, ("p_id", "risk"))
+    scored = long.select(F.col("stream").alias("model"), F.col("duration").alias("time"), "event", "risk")
+    return present(concordance.concordance(scored).withColumnRenamed("model", "stream"))
+
+
+@query
+def cox_summary_one_covariate(f: Fixtures) -> DataFrame:
+    fit = _sex_model(f)
+    joined = fit.summary().join(fit.concordance(), "model")
+    return present(joined.select(F.col("model").alias("stream"), "n", "n_event", "loglik_null", "loglik", "lr", "df", "aic", "concordance", "pairs", "converged"), 5)
+
+
 @query
 def residual_covariance(f: Fixtures) -> DataFrame:
-    """Covariance of the scaled residual columns of the phone model's first terms."""
-    scaled = _fit(f).schoenfeld().filter(F.col("model") == "phone")
-    wide = scaled.groupBy("p_id", "time").pivot("term", ["edu_age_align", "phq_base"]).agg(F.first("scaled"))
-    pair = F.covar_samp("edu_age_align", "phq_base").alias("covariance")
-    return present(wide.agg(F.var_samp("edu_age_align").alias("var_edu"), F.var_samp("phq_base").alias("var_phq"), pair), 9)
+    """Covariance of all pairs of scaled residual columns: the three streams, and the phone model by episode with its columns combined."""
+    episodes = retention.episode_model(_cohort_table(f), COHORT_1, "phone", SITES)
+    by_episode = episodes.residual_covariance().withColumn("model", F.lit("phone by episode"))
+    return present(_fit(f).residual_covariance().unionByName(by_episode).withColumnRenamed("model", "stream"), 9)
+
+
+@query
+def residual_covariance_at_zero(f: Fixtures) -> DataFrame:
+    return present(_zero_model(f).residual_covariance("resid").withColumnRenamed("model", "stream"))
+
+
+@query
+def residual_covariance_by_episode(f: Fixtures) -> DataFrame:
+    """The effect of sex by episode: each episode's residual column, and the column of all episodes together."""
+    return present(_episode_sex_model(f).residual_covariance().drop("model"), 5)
 
 
 @query

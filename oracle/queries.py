@@ -328,6 +328,14 @@ def _newton(rows: str) -> str:
   fitted AS (SELECT stream, b FROM newton WHERE i = 12)"""
 
 
+def _concordance(rows: str) -> str:
+    """Every comparable pair, one by one."""
+    return f"""WITH scored AS ({rows})
+  SELECT a.stream, CAST(sum(CASE WHEN b.risk < a.risk THEN 1 ELSE 0 END) AS DOUBLE) AS lower, CAST(sum(CASE WHEN b.risk = a.risk THEN 1 ELSE 0 END) AS DOUBLE) AS tied,
+   CAST(sum(CASE WHEN b.risk > a.risk THEN 1 ELSE 0 END) AS DOUBLE) AS higher, count(*) AS pairs
+  FROM scored a JOIN scored b ON a.stream = b.stream AND a.event = 1 AND (b.time > a.time OR b.time = a.time AND b.event = 0) GROUP BY a.stream"""
+
+
 _ONE_COVARIATE = f"""SELECT stream, CAST(n AS BIGINT) AS n, CAST(n_event AS BIGINT) AS n_event, round(b, 5) AS coef, round(exp(b), 5) AS hr,
  round(1 / sqrt(info), 5) AS se, round(b * sqrt(info), 5) AS z, round(null_ll, 5) AS loglik_null, round(ll, 5) AS loglik
  FROM ({_newton(_STREAM_ROWS)}
@@ -336,6 +344,8 @@ _ONE_COVARIATE = f"""SELECT stream, CAST(n AS BIGINT) AS n, CAST(n_event AS BIGI
    -sum(ln(w0 + w1)) AS null_ll, any_value(z.dm) * any_value(r.b) - sum(ln(w0 + w1 * exp(r.b))) AS ll
   FROM fitted r JOIN steps t ON t.stream = r.stream JOIN sizes z ON z.stream = r.stream GROUP BY r.stream)"""
 
+_ONE_COVARIATE_FIT = _ONE_COVARIATE.replace("SELECT stream,", "SELECT stream, b, ll, null_ll,", 1)
+
 _TREND = f"""SELECT stream, round(u * u / (i22 - i12 * i12 / i11), 5) AS chisq, CAST(1 AS BIGINT) AS df
  FROM ({_newton(_STREAM_ROWS)},
   before AS (SELECT stream, time, d, dm, coalesce(product(1.0 - d / n) OVER (PARTITION BY stream ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) AS s FROM risk),
@@ -354,6 +364,48 @@ _EPISODE_EFFECT = f"""SELECT 'sex=male:tgroup=' || stream AS term, round(b, 5) A
 HELPERS["episodes_phone"] = _episodes("labels_people", "phone", (130, 240))
 _ORDER.append("episodes_phone")
 
+_ZERO_RESIDUALS = """SELECT r.p_id, r.stream, r.time, r.age - m.age AS age, r.male - m.male AS male
+ FROM (WITH long AS (SELECT p_id, s.stream, CASE s.stream WHEN 'active' THEN duration_active WHEN 'phone' THEN duration_phone ELSE duration_fitbit END AS time,
+   CASE s.stream WHEN 'active' THEN event_active WHEN 'phone' THEN event_phone ELSE event_fitbit END AS event,
+   age, CASE WHEN sex = 'male' THEN 1.0 ELSE 0.0 END AS male
+   FROM cohort_table CROSS JOIN (SELECT unnest(['active', 'phone', 'fitbit']) AS stream) s WHERE age IS NOT NULL)
+  SELECT * FROM long) r
+ JOIN (WITH long AS (SELECT s.stream, CASE s.stream WHEN 'active' THEN duration_active WHEN 'phone' THEN duration_phone ELSE duration_fitbit END AS time,
+   CASE s.stream WHEN 'active' THEN event_active WHEN 'phone' THEN event_phone ELSE event_fitbit END AS event,
+   age, CASE WHEN sex = 'male' THEN 1.0 ELSE 0.0 END AS male
+   FROM cohort_table CROSS JOIN (SELECT unnest(['active', 'phone', 'fitbit']) AS stream) s WHERE age IS NOT NULL),
+  days AS (SELECT stream, time, count(*) AS n, sum(age) AS age, sum(male) AS male, CAST(sum(event) AS BIGINT) AS d,
+   sum(age) FILTER (WHERE event = 1) AS age_d, sum(male) FILTER (WHERE event = 1) AS male_d FROM long GROUP BY stream, time),
+  risk AS (SELECT stream, time, d, age_d, male_d, sum(n) OVER w AS n, sum(age) OVER w AS age, sum(male) OVER w AS male
+   FROM days WINDOW w AS (PARTITION BY stream ORDER BY time DESC)),
+  steps AS (SELECT *, unnest(range(0, d)) AS l FROM risk WHERE d > 0)
+  SELECT stream, time, avg((age - l / CAST(d AS DOUBLE) * age_d) / (n - l)) AS age, avg((male - l / CAST(d AS DOUBLE) * male_d) / (n - l)) AS male
+  FROM steps GROUP BY stream, time) m ON m.stream = r.stream AND m.time = r.time
+ WHERE r.event = 1"""
+
+_EPISODE_NAMES = [*[f"sex={l}:tgroup={v}" for v in (1, 2, 3) for l in ("male", "female")], "sex=male:tgroup", "sex=female:tgroup"]
+_EPISODE_VALUES = {"sex=male:tgroup=1": "z1", "sex=male:tgroup=2": "z2", "sex=male:tgroup=3": "z3", "sex=male:tgroup": "z1 + z2 + z3"}
+
+
+def _scaled(episode: int) -> str:
+    """Coefficient of the episode plus the scaled residual, which is 0 for events of other episodes."""
+    return f"""(SELECT b FROM sized WHERE stream = '{episode}') + CASE WHEN e.stream = '{episode}' THEN (SELECT n FROM total) / (SELECT info FROM sized WHERE stream = '{episode}') * (e.male - m.mean) ELSE 0 END"""
+
+
+_EPISODE_SCALED = f"""{_newton(_EPISODE_ROWS)},
+  means AS (SELECT t.stream, t.time, avg(w1 * exp(b) / (w0 + w1 * exp(b))) AS mean FROM steps t JOIN fitted f ON f.stream = t.stream GROUP BY t.stream, t.time),
+  sized AS (SELECT r.stream, any_value(r.b) AS b, sum(w1 * exp(r.b) / (w0 + w1 * exp(r.b)) * (1 - w1 * exp(r.b) / (w0 + w1 * exp(r.b)))) AS info
+   FROM fitted r JOIN steps t ON t.stream = r.stream GROUP BY r.stream),
+  total AS (SELECT CAST(sum(event) AS DOUBLE) AS n FROM long)
+  SELECT {_scaled(1)} AS z1, {_scaled(2)} AS z2, {_scaled(3)} AS z3 FROM long e JOIN means m ON m.stream = e.stream AND m.time = e.time WHERE e.event = 1"""
+_EPISODE_COVARIANCE = f"""SELECT row_term, column_term, n, covariance FROM (WITH scaled AS ({_EPISODE_SCALED}) """ + " UNION ALL ".join(
+    f"SELECT '{t}' AS row_term, '{u}' AS column_term, CAST(count(*) AS BIGINT) AS n, "
+    + (f"round(covar_samp({_EPISODE_VALUES[t]}, {_EPISODE_VALUES[u]}), 5)" if t in _EPISODE_VALUES and u in _EPISODE_VALUES else "CAST(NULL AS DOUBLE)")
+    + " AS covariance FROM scaled"
+    for i, t in enumerate(_EPISODE_NAMES)
+    for u in _EPISODE_NAMES[i:]
+) + ")"
+
 _TEXTS = {
     "cox_one_covariate": _ONE_COVARIATE,
     "zph_one_covariate": _TREND,
@@ -511,25 +563,24 @@ _TEXTS = {
     "episode_split": _episodes("labels_1", "phone", (130, 240)),
     "episode_split_cohort_2": _episodes("labels_2", "active", (320,)),
     "design_matrix": "SELECT p_id, " + ", ".join(_r(e, f"x_{i + 1}") for i, e in enumerate(_DESIGN)) + f" FROM cohort_table WHERE {_COMPLETE}",
-    "schoenfeld_at_zero": """SELECT r.p_id, r.stream, CAST(r.time AS BIGINT) AS time, unnest(['age', 'sex=male']) AS term,
- round(unnest([r.age - m.age, r.male - m.male]), 6) AS resid
- FROM (WITH long AS (SELECT p_id, s.stream, CASE s.stream WHEN 'active' THEN duration_active WHEN 'phone' THEN duration_phone ELSE duration_fitbit END AS time,
-   CASE s.stream WHEN 'active' THEN event_active WHEN 'phone' THEN event_phone ELSE event_fitbit END AS event,
-   age, CASE WHEN sex = 'male' THEN 1.0 ELSE 0.0 END AS male
-   FROM cohort_table CROSS JOIN (SELECT unnest(['active', 'phone', 'fitbit']) AS stream) s WHERE age IS NOT NULL)
-  SELECT * FROM long) r
- JOIN (WITH long AS (SELECT s.stream, CASE s.stream WHEN 'active' THEN duration_active WHEN 'phone' THEN duration_phone ELSE duration_fitbit END AS time,
-   CASE s.stream WHEN 'active' THEN event_active WHEN 'phone' THEN event_phone ELSE event_fitbit END AS event,
-   age, CASE WHEN sex = 'male' THEN 1.0 ELSE 0.0 END AS male
-   FROM cohort_table CROSS JOIN (SELECT unnest(['active', 'phone', 'fitbit']) AS stream) s WHERE age IS NOT NULL),
-  days AS (SELECT stream, time, count(*) AS n, sum(age) AS age, sum(male) AS male, CAST(sum(event) AS BIGINT) AS d,
-   sum(age) FILTER (WHERE event = 1) AS age_d, sum(male) FILTER (WHERE event = 1) AS male_d FROM long GROUP BY stream, time),
-  risk AS (SELECT stream, time, d, age_d, male_d, sum(n) OVER w AS n, sum(age) OVER w AS age, sum(male) OVER w AS male
-   FROM days WINDOW w AS (PARTITION BY stream ORDER BY time DESC)),
-  steps AS (SELECT *, unnest(range(0, d)) AS l FROM risk WHERE d > 0)
-  SELECT stream, time, avg((age - l / CAST(d AS DOUBLE) * age_d) / (n - l)) AS age, avg((male - l / CAST(d AS DOUBLE) * male_d) / (n - l)) AS male
-  FROM steps GROUP BY stream, time) m ON m.stream = r.stream AND m.time = r.time
- WHERE r.event = 1""",
+    "schoenfeld_at_zero": f"SELECT p_id, stream, CAST(time AS BIGINT) AS time, unnest(['age', 'sex=male']) AS term, round(unnest([age, male]), 6) AS resid FROM ({_ZERO_RESIDUALS})",
+    "residual_covariance_at_zero": " UNION ALL ".join(
+        f"SELECT stream, '{t}' AS row_term, '{u}' AS column_term, CAST(count(*) AS BIGINT) AS n, round(covar_samp({a}, {b}), 6) AS covariance FROM ({_ZERO_RESIDUALS}) GROUP BY stream"
+        for t, a, u, b in (("age", "age", "age", "age"), ("age", "age", "sex=male", "male"), ("sex=male", "male", "sex=male", "male"))
+    ),
+    "residual_covariance_by_episode": _EPISODE_COVARIANCE,
+    "concordance_of_baseline": f"""SELECT stream, round((lower + tied / 2.0) / pairs, 6) AS concordance, CAST(pairs AS DOUBLE) AS pairs
+ FROM ({_concordance("""SELECT s.stream, CASE s.stream WHEN 'active' THEN duration_active WHEN 'phone' THEN duration_phone ELSE duration_fitbit END AS time,
+   CASE s.stream WHEN 'active' THEN event_active WHEN 'phone' THEN event_phone ELSE event_fitbit END AS event, phq_base * 2.0 + edu_age_align / 1000.0 AS risk
+   FROM cohort_table CROSS JOIN (SELECT unnest(['active', 'phone', 'fitbit']) AS stream) s WHERE phq_base * 2.0 + edu_age_align / 1000.0 IS NOT NULL""")})""",
+    "cox_summary_one_covariate": f"""SELECT c.stream, n, n_event, loglik_null, loglik, round(2 * (ll - null_ll), 5) AS lr, CAST(1 AS BIGINT) AS df, round(2 - 2 * ll, 5) AS aic,
+ round((CASE WHEN b > 0 THEN lower WHEN b < 0 THEN higher ELSE 0 END + tied / 2.0) / pairs, 5) AS concordance, CAST(pairs AS DOUBLE) AS pairs, TRUE AS converged
+ FROM ({_ONE_COVARIATE_FIT}) f JOIN ({_concordance(_STREAM_ROWS.replace("CASE WHEN sex = 'male' THEN 1 ELSE 0 END AS male", "CASE WHEN sex = 'male' THEN 1 ELSE 0 END AS risk"))}) c ON c.stream = f.stream""",
+    "cluster_membership": " UNION ALL ".join(
+        f"""SELECT '{s}' AS stream, p_id, cluster, CAST(row_number() OVER (ORDER BY cluster, p_id) AS BIGINT) AS position,
+ CAST(row_number() OVER (PARTITION BY cluster ORDER BY p_id) AS BIGINT) AS row_in_cluster FROM clusters_{s}"""
+        for s in STREAMS
+    ),
 }
 
 ORACLES = {name: _sql(text) for name, text in _TEXTS.items()}
