@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortwise.functions.coding import level_position
 from cohortwise.functions.nulls import null_safe_join
 from cohortwise.functions.ordinal import with_positions
-from cohortwise.operators.grid import activity_vector, count_bits, is_active, word_names
-from cohortwise.sources.durable import durable
+from cohortwise.operators import lloyd, patterns
+from cohortwise.operators.grid import count_bits, word_names
 
 
 def rule_label(engaged: Column, minimum: Sequence[int]) -> Column:
@@ -44,55 +42,25 @@ def ordered_membership(members: DataFrame, levels: Sequence[str], by: Sequence[s
     return null_safe_join(placed, starts, [*by, "cluster"]).withColumn("row_in_cluster", F.col("position") - F.col("__first")).drop("__first")
 
 
-def activity_patterns(words: DataFrame, bins: int) -> DataFrame:
-    """Different activity vectors with the number of participants that share each.
-
-    Many participants have the same row (all zero, above all), so the iterations
-    of k-means run over weighted patterns, kept in the checkpoint folder.
-    """
-    names = word_names(bins)
-    counted = words.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return durable(counted.withColumn("features", array_to_vector(activity_vector(names, bins))))
-
-
-def fit_kmeans(patterns: DataFrame, k: int, seed: int, max_iter: int = 20) -> KMeansModel:
-    return KMeans(k=k, seed=seed, maxIter=max_iter, weightCol="weight").fit(patterns)
+def _single(words: DataFrame, bins: int) -> DataFrame:
+    return patterns.stream_rows(words.withColumnsRenamed({w: f"one_{w}" for w in word_names(bins)}), {"one": bins})
 
 
-def assign_kmeans(words: DataFrame, bins: int, k: int, seed: int, max_iter: int = 20) -> DataFrame:
+def assign_kmeans(words: DataFrame, bins: int, k: int, seed: int, starts: int = 1) -> DataFrame:
     """``(p_id, raw_cluster, cluster)``: k-means membership and its stable label.
 
     Clusters are named C1..Ck by falling mean number of engaged bins, ties by
     centroid, so the label does not depend on the arbitrary cluster number.
     """
-    patterns = activity_patterns(words, bins)
-    model = fit_kmeans(patterns, k, seed, max_iter)
-    centers = [tuple(float(v) for v in center) for center in model.clusterCenters()]
-    ordered = sorted(range(len(centers)), key=lambda i: (-round(sum(centers[i]), 9), centers[i]))
-    labels = F.create_map(*[F.lit(v) for place, i in enumerate(ordered) for v in (i, f"C{place + 1}")])
-    vectors = words.select("p_id", array_to_vector(activity_vector(word_names(bins), bins)).alias("features"))
-    placed = model.transform(vectors).select("p_id", F.col("prediction").alias("raw_cluster"))
-    return placed.withColumn("cluster", F.element_at(labels, F.col("raw_cluster")))
+    rows = _single(words, bins)
+    found = lloyd.best(lloyd.fit_all(patterns.weighted_patterns(rows), {"one": bins}, [k], starts, seed))
+    return lloyd.assign(rows, {"one": found["one", k]} if found else {}, {"one": bins}).drop("stream")
 
 
 def wss_curve(words: DataFrame, bins: int, k_max: int = 10, seed: int = 1, starts: int = 1) -> DataFrame:
-    """Within-cluster sum of squares for k = 1..k_max (k = 1 in closed form, else the best of ``starts``)."""
-    names = word_names(bins)
-    patterns = activity_patterns(words, bins)
-    ones = [F.sum(F.col("weight") * is_active(names, F.lit(i + 1))) for i in range(bins)]
-    rows = F.sum("weight")
-    total = None
-    for one in ones:
-        part = one - one * one / rows
-        total = part if total is None else total + part
-    first = patterns.agg(F.lit(1).alias("k"), total.alias("wss"))
-    distinct = patterns.count()
-    # as many clusters as different patterns leave nothing within
-    costs = [(k, 0.0) for k in range(max(2, distinct), k_max + 1)]
-    for k in range(2, min(k_max + 1, distinct)):
-        costs.append((k, min(fit_kmeans(patterns, k, seed + s).summary.trainingCost for s in range(starts))))
-    rest = words.sparkSession.createDataFrame(costs, "k int, wss double")
-    return first.unionByName(rest)
+    """``(k, wss)``: within-cluster sum of squares for k = 1..k_max, the best of ``starts``, all fitted together."""
+    weighted = patterns.weighted_patterns(_single(words, bins))
+    return lloyd.curve(weighted, lloyd.fit_all(weighted, {"one": bins}, range(1, k_max + 1), starts, seed)).select("k", "wss")
 
 
 def bin_rate(members: DataFrame, keys: Sequence[str]) -> DataFrame:

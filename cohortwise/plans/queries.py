@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from cohortwise.config import COHORT_1, COHORT_2, PASSIVE_TYPES, STREAM_LABELS, STREAMS, Cohort
 from cohortwise.functions import coding
 from cohortwise.functions.calendar import bin_label
-from cohortwise.operators import align, cluster, compare, concordance, cox, describe, grid, ranks, report, summary, survival
+from cohortwise.operators import align, cluster, compare, concordance, cox, describe, grid, lloyd, medoids, patterns, ranks, report, summary, survival
 from cohortwise.plans import engagement, retention
 from cohortwise.plans.fixtures import Fixtures
 from cohortwise.sources import study
@@ -115,8 +116,12 @@ def _words(f: Fixtures, stream: str, cohort: Cohort = COHORT_1) -> DataFrame:
     return engagement.stream_words(stream, f.active(), f.passive(), enrollment, participants, cohort)
 
 
-def _wide_words(f: Fixtures) -> DataFrame:
-    return engagement.all_stream_words(f.active(), f.passive(), f.enrollment(), _participants(f), COHORT_1)
+def _wide_words(f: Fixtures, cohort: Cohort = COHORT_1) -> DataFrame:
+    participants, enrollment = _participants(f), f.enrollment()
+    if cohort.members_only:
+        members = durable(_members(f, cohort))
+        participants, enrollment = align.keep_ids(participants, members), align.keep_ids(enrollment, members)
+    return engagement.all_stream_words(f.active(), f.passive(), enrollment, participants, cohort)
 
 
 def _clusters(f: Fixtures, stream: str) -> DataFrame:
@@ -503,36 +508,88 @@ def cluster_extremes(f: Fixtures) -> DataFrame:
     return present(rows.select("p_id", F.concat_ws("_", "cluster", "stream").alias("cluster"), "engaged"))
 
 
+def _bins(cohort: Cohort) -> dict[str, int]:
+    return {s: engagement.bins_of(cohort, s) for s in STREAMS}
+
+
+def _stream_rows(f: Fixtures, cohort: Cohort = COHORT_1) -> DataFrame:
+    return durable(patterns.stream_rows(_wide_words(f, cohort), _bins(cohort)))
+
+
 @query
 def wss_curve(f: Fixtures) -> DataFrame:
-    return present(cluster.wss_curve(_words(f, "active"), COHORT_1.biweeks, 10, SEED))
+    """Elbow curve of k-means for every stream, all fits in one pass a step."""
+    weighted = patterns.weighted_patterns(_stream_rows(f))
+    return present(lloyd.curve(weighted, lloyd.fit_all(weighted, _bins(COHORT_1), range(1, 11), seed=SEED)).select("stream", "k", "wss"))
+
+
+def _kmeans(f: Fixtures, cohort: Cohort) -> DataFrame:
+    rows, bins = _stream_rows(f, cohort), _bins(cohort)
+    fits = lloyd.fit_all(patterns.weighted_patterns(rows), bins, [cohort.clusters], seed=SEED)
+    return lloyd.assign(rows, {fit.stream: fit for fit in fits}, bins)
 
 
 @query
 def kmeans_assign(f: Fixtures) -> DataFrame:
-    placed = cluster.assign_kmeans(durable(_words(f, "active")), COHORT_1.biweeks, COHORT_1.clusters, SEED)
-    return present(placed.select("p_id", "raw_cluster"))
+    return present(_kmeans(f, COHORT_1).select("stream", "p_id", "raw_cluster"))
 
 
 @query
 def cluster_labels(f: Fixtures) -> DataFrame:
-    wide = durable(_wide_words(f))
-    result = None
-    for stream in STREAMS:
-        bins = engagement.bins_of(COHORT_1, stream)
-        names = grid.word_names(bins, f"{stream}_w")
-        words = wide.select("p_id", *[F.col(a).alias(b) for a, b in zip(names, grid.word_names(bins))])
-        placed = cluster.assign_kmeans(words, bins, COHORT_1.clusters, SEED)
-        part = placed.select(F.lit(stream).alias("stream"), "p_id", "cluster")
-        result = part if result is None else result.unionByName(part)
-    return present(result)
+    return present(_kmeans(f, COHORT_1).select("stream", "p_id", "cluster"))
 
 
 @query
 def cluster_labels_cohort_2(f: Fixtures) -> DataFrame:
-    words = durable(_words(f, "active", COHORT_2))
-    placed = cluster.assign_kmeans(words, COHORT_2.biweeks, COHORT_2.clusters, SEED)
-    return present(placed.select("p_id", "cluster"))
+    return present(_kmeans(f, COHORT_2).select("stream", "p_id", "cluster"))
+
+
+def _from_rules(f: Fixtures) -> tuple[DataFrame, dict[str, lloyd.Fit]]:
+    """k-means of every stream that starts from the means of the rule clusters."""
+    bins = _bins(COHORT_1)
+    wide = durable(_wide_words(f))
+    rates = cluster.bin_rate(engagement.by_stream(wide, COHORT_1, RULE_BINS, with_bins=True), ["stream", "cluster"])
+    found = {(r.stream, r.cluster, r.bin): r.active_rate for r in rates.collect()}  # streams x clusters x bins
+    names = {s: sorted({c for t, c, _ in found if t == s}) for s in STREAMS}
+    centers = {s: np.array([[found[s, c, b + 1] for b in range(bins[s])] for c in names[s]]) for s in STREAMS if names[s]}
+    rows = durable(patterns.stream_rows(wide, bins))
+    return rows, {fit.stream: fit for fit in lloyd.fit_all(patterns.weighted_patterns(rows), bins, [], centers=centers)}
+
+
+@query
+def kmeans_from_rules(f: Fixtures) -> DataFrame:
+    rows, fits = _from_rules(f)
+    return present(lloyd.assign(rows, fits, _bins(COHORT_1)).select("stream", "p_id", "raw_cluster"))
+
+
+@query
+def kmeans_from_rules_wss(f: Fixtures) -> DataFrame:
+    rows, fits = _from_rules(f)
+    return present(lloyd.curve(rows, list(fits.values())).select("stream", "k", "wss"))
+
+
+@query
+def medoid_curve(f: Fixtures) -> DataFrame:
+    """Elbow curve of the clusters around medoids for every stream."""
+    weighted = patterns.weighted_patterns(_stream_rows(f))
+    return present(medoids.curve(weighted, medoids.fit_medoids(weighted, _bins(COHORT_1), 10)).drop("swaps"))
+
+
+@query
+def medoid_single(f: Fixtures) -> DataFrame:
+    """The most central pattern of every stream."""
+    weighted, bins = patterns.weighted_patterns(_stream_rows(f)), _bins(COHORT_1)
+    fits = medoids.fit_medoids(weighted, bins, 1)
+    return present(medoids.medoid_table(weighted, fits, bins).join(medoids.curve(weighted, fits).select("stream", "k", "cost", "wss"), ["stream", "k"]))
+
+
+@query
+def medoid_pair_cost(f: Fixtures) -> DataFrame:
+    """Cost of the best two medoids of the questionnaire stream."""
+    rows = patterns.stream_rows(_wide_words(f), {"active": COHORT_1.biweeks})
+    weighted = patterns.weighted_patterns(rows)
+    fits = medoids.fit_medoids(weighted, {"active": COHORT_1.biweeks}, 2)
+    return present(medoids.curve(weighted, fits).select("stream", "k", "cost"))
 
 
 # Group comparison --------------------------------------------------------------------

@@ -406,6 +406,35 @@ _EPISODE_COVARIANCE = f"""SELECT row_term, column_term, n, covariance FROM (WITH
     for u in _EPISODE_NAMES[i:]
 ) + ")"
 
+def _kmeans(steps: int = 40) -> str:
+    """Assignments step by step from the rule clusters; distances from the active bins alone."""
+    parts = [
+        "hits AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT DISTINCT '{s}' AS stream, p_id, bin FROM bins_{s} WHERE p_id IN (SELECT p_id FROM participants)" for s in STREAMS) + ")",
+        "label_0 AS MATERIALIZED (" + " UNION ALL ".join(
+            f"SELECT '{s}' AS stream, p_id, CAST(dense_rank() OVER (ORDER BY cluster) - 1 AS BIGINT) AS c FROM clusters_{s}" for s in STREAMS) + ")",
+    ]
+    for t in range(steps):
+        parts.append(f"size_{t} AS MATERIALIZED (SELECT stream, c, CAST(count(*) AS DOUBLE) AS n FROM label_{t} GROUP BY stream, c)")
+        parts.append(f"center_{t} AS MATERIALIZED (SELECT l.stream, l.c, h.bin, count(*) / any_value(z.n) AS m FROM label_{t} l JOIN hits h ON h.stream = l.stream AND h.p_id = l.p_id"
+                     f" JOIN size_{t} z ON z.stream = l.stream AND z.c = l.c GROUP BY l.stream, l.c, h.bin)")
+        parts.append(f"norm_{t} AS MATERIALIZED (SELECT z.stream, z.c, coalesce(sum(m * m), 0) AS s FROM size_{t} z LEFT JOIN center_{t} e ON e.stream = z.stream AND e.c = z.c GROUP BY z.stream, z.c)")
+        parts.append(f"""label_{t + 1} AS MATERIALIZED (SELECT stream, p_id, arg_min(c, round(s - 2 * dot, 9) * 1000.0 + c * 1e-7) AS c FROM (
+  SELECT l.stream, l.p_id, n.c, any_value(n.s) AS s, coalesce(sum(e.m), 0) AS dot
+  FROM label_{t} l JOIN norm_{t} n ON n.stream = l.stream LEFT JOIN hits h ON h.stream = l.stream AND h.p_id = l.p_id
+  LEFT JOIN center_{t} e ON e.stream = l.stream AND e.c = n.c AND e.bin = h.bin GROUP BY l.stream, l.p_id, n.c) GROUP BY stream, p_id)""")
+    return ",\n".join(parts)
+
+
+_PATTERNS = "patterns AS MATERIALIZED (" + " UNION ALL ".join(
+    f"""SELECT '{s}' AS stream, w, any_value(vec) AS vec, CAST(count(*) AS DOUBLE) AS n FROM (SELECT p.p_id, list_transform(range(0, {-(-bins // 64)}), lambda k:
+   list_sum(list_transform(coalesce(b.bins, []), lambda b: CASE WHEN (b - 1) // 64 <> k THEN 0::HUGEINT WHEN (b - 1) % 64 = 63 THEN -9223372036854775808::HUGEINT
+    ELSE 1::HUGEINT << CAST((b - 1) % 64 AS HUGEINT) END))::BIGINT) AS w,
+   array_to_string(list_transform(range(1, {bins + 1}), lambda x: CASE WHEN list_contains(coalesce(b.bins, []), x) THEN '1' ELSE '0' END), '') AS vec
+   FROM participants p LEFT JOIN (SELECT p_id, list(DISTINCT bin) AS bins FROM bins_{s} GROUP BY p_id) b ON b.p_id = p.p_id) GROUP BY w"""
+    for s, bins in (("active", 22), ("phone", 301), ("fitbit", 301))
+) + ")"
+_APART = "sqrt(list_sum(list_transform(list_zip(a.w, b.w), lambda x: bit_count(xor(coalesce(x[1], 0), coalesce(x[2], 0))))))"
+
 _TEXTS = {
     "cox_one_covariate": _ONE_COVARIATE,
     "zph_one_covariate": _TREND,
@@ -576,6 +605,24 @@ _TEXTS = {
     "cox_summary_one_covariate": f"""SELECT c.stream, n, n_event, loglik_null, loglik, round(2 * (ll - null_ll), 5) AS lr, CAST(1 AS BIGINT) AS df, round(2 - 2 * ll, 5) AS aic,
  round((CASE WHEN b > 0 THEN lower WHEN b < 0 THEN higher ELSE 0 END + tied / 2.0) / pairs, 5) AS concordance, CAST(pairs AS DOUBLE) AS pairs, TRUE AS converged
  FROM ({_ONE_COVARIATE_FIT}) f JOIN ({_concordance(_STREAM_ROWS.replace("CASE WHEN sex = 'male' THEN 1 ELSE 0 END AS male", "CASE WHEN sex = 'male' THEN 1 ELSE 0 END AS risk"))}) c ON c.stream = f.stream""",
+    "kmeans_from_rules": f"SELECT * FROM (WITH {_kmeans()} SELECT stream, p_id, c AS raw_cluster FROM label_40)",
+    "kmeans_from_rules_wss": f"""SELECT stream, k, round(wss, 6) AS wss FROM (WITH {_kmeans()}
+ SELECT z.stream, CAST(count(DISTINCT z.c) AS BIGINT) AS k, sum(coalesce(e.within, 0)) AS wss FROM (SELECT stream, c FROM label_40 GROUP BY stream, c) z
+ LEFT JOIN (SELECT stream, c, sum(ones - ones * ones / n) AS within FROM (SELECT l.stream, l.c, h.bin, CAST(count(*) AS DOUBLE) AS ones, any_value(t.n) AS n
+   FROM label_40 l JOIN hits h ON h.stream = l.stream AND h.p_id = l.p_id
+   JOIN (SELECT stream, c, count(*) AS n FROM label_40 GROUP BY stream, c) t ON t.stream = l.stream AND t.c = l.c GROUP BY l.stream, l.c, h.bin) GROUP BY stream, c) e
+ ON e.stream = z.stream AND e.c = z.c GROUP BY z.stream)""",
+    "medoid_single": f"""SELECT stream, CAST(1 AS BIGINT) AS k, vec AS medoid, size, round(cost, 6) AS cost, wss FROM (WITH {_PATTERNS},
+  p AS (SELECT stream, vec, n, list_transform(w, lambda x: coalesce(x, 0)) AS w FROM patterns),
+  sums AS (SELECT a.stream, a.w, any_value(a.vec) AS vec, sum(b.n * {_APART}) AS cost FROM p a JOIN p b ON a.stream = b.stream GROUP BY a.stream, a.w),
+  spread AS (SELECT h.stream, sum(ones - ones * ones / z.n) AS wss, any_value(z.n) AS n FROM ({" UNION ALL ".join(f"SELECT '{s}' AS stream, bin, CAST(count(DISTINCT p_id) AS DOUBLE) AS ones FROM bins_{s} WHERE p_id IN (SELECT p_id FROM participants) GROUP BY bin" for s in STREAMS)}) h
+   CROSS JOIN (SELECT count(*) AS n FROM participants) z GROUP BY h.stream)
+  SELECT s.stream, s.vec, s.cost, round(x.wss, 6) AS wss, CAST(x.n AS BIGINT) AS size, row_number() OVER (PARTITION BY s.stream ORDER BY round(cost, 7), s.w) AS place
+  FROM sums s JOIN spread x ON x.stream = s.stream) WHERE place = 1""",
+    "medoid_pair_cost": f"""SELECT * FROM (WITH {_PATTERNS}, p AS (SELECT w, n, row_number() OVER (ORDER BY w) AS id FROM patterns WHERE stream = 'active'),
+  apart AS MATERIALIZED (SELECT a.id AS a, b.id AS b, b.n, {_APART} AS d FROM p a CROSS JOIN p b)
+  SELECT 'active' AS stream, CAST(1 AS BIGINT) AS k, round(min(cost), 6) AS cost FROM (SELECT a, sum(n * d) AS cost FROM apart GROUP BY a)
+  UNION ALL SELECT 'active', CAST(2 AS BIGINT), round(min(cost), 6) FROM (SELECT x.a, y.a, sum(x.n * least(x.d, y.d)) AS cost FROM apart x JOIN apart y ON x.b = y.b AND x.a < y.a GROUP BY x.a, y.a))""",
     "cluster_membership": " UNION ALL ".join(
         f"""SELECT '{s}' AS stream, p_id, cluster, CAST(row_number() OVER (ORDER BY cluster, p_id) AS BIGINT) AS position,
  CAST(row_number() OVER (PARTITION BY cluster ORDER BY p_id) AS BIGINT) AS row_in_cluster FROM clusters_{s}"""
