@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from cohortwise.config import COHORT_1, COHORT_2, RSES_MAX, STREAM_LABELS, STREAMS, Cohort
 from cohortwise.functions.coding import drop_above
-from cohortwise.operators import align, cluster, compare, cox, describe, grid, ranks, report, summary, survival
+from cohortwise.functions.spread import hot_join
+from cohortwise.operators import align, cluster, compare, cox, describe, grid, lloyd, patterns, ranks, report, summary, survival
 from cohortwise.plans import engagement, retention
 from cohortwise.sources.durable import durable
 from cohortwise.sources.study import Study, merge_ethnicity
@@ -49,6 +50,14 @@ def restrict(study: Study, members: DataFrame) -> Study:
     )
 
 
+def selected(study: Study, cohort: Cohort) -> Study:
+    """The participants that the cohort is about: all, or those who could have been observed for the whole window."""
+    if not cohort.members_only:
+        return study
+    days = align.days_in_study(study.active, study.enrollment)
+    return restrict(study, durable(align.cohort_members(days, cohort.horizon)))
+
+
 def _people(study: Study, cohort: Cohort) -> DataFrame:
     people = study.demographics
     if not cohort.merge_categories:
@@ -88,7 +97,8 @@ def demographics_tables(study: Study, cohort: Cohort) -> dict[str, DataFrame]:
 
 
 def retention_tables(study: Study, cohort: Cohort) -> dict[str, DataFrame]:
-    """Survival curves of the three streams and their hazard models."""
+    """Survival curves of the three streams and their hazard models, for the cohort's participants."""
+    study = selected(study, cohort)
     people = _people(study, cohort)
     base = people.select("p_id").join(study.enrollment.select("p_id", "enrollment_date"), "p_id", "left")
     labels = retention.dropout_labels(study.active, study.passive, study.enrollment, base, cohort)
@@ -135,8 +145,17 @@ def _record_counts(study: Study, cohort: Cohort) -> DataFrame:
     return ranks.value_counts(rows, ["p_id", "variable"])
 
 
+def _with_baseline(shared: DataFrame, stream: str) -> DataFrame:
+    """Baseline scores as the stream's profile takes them."""
+    scores = ("sum_phq8", "sum_rses")
+    if stream in engagement.KNOWN_BASELINE:
+        shared = shared.withColumns({score: F.col(f"known_{score}") for score in scores})
+    return shared.drop(*[f"known_{score}" for score in scores])
+
+
 def engagement_tables(study: Study, cohort: Cohort, seed: int = 1, k_max: int = 10) -> dict[str, DataFrame]:
-    """k-means clusters of each stream, their comparison tables and the plot data over all streams."""
+    """k-means clusters of each stream, their comparison tables and the plot data over all streams, for the cohort's participants."""
+    study = selected(study, cohort)
     people = _people(study, cohort)
     wide = durable(engagement.all_stream_words(study.active, study.passive, study.enrollment, people, cohort))
     shared = durable(
@@ -147,25 +166,33 @@ def engagement_tables(study: Study, cohort: Cohort, seed: int = 1, k_max: int =
             *engagement.survey_summaries(study.phq8, study.rses, cohort),
             summary.baseline_max(study.phq8, "sum_phq8"),
             summary.baseline_max(study.rses, "sum_rses"),
+            *[summary.baseline_top1(records, score).withColumnRenamed(score, f"known_{score}") for records, score in ((study.phq8, "sum_phq8"), (study.rses, "sum_rses"))],
         ).withColumn("total_time", F.col("phq8_total_s") + F.col("rses_total_s"))
     )
     records = durable(_record_counts(study, cohort))
     numbers = [c for c in NUMBERS if c in [*shared.columns, "engaged_days"]]
     factors = [c for c in FACTORS if c in shared.columns]
     results, profiles = {}, {}
-    for stream in STREAMS:
-        bins = engagement.bins_of(cohort, stream)
+    all_bins = {stream: engagement.bins_of(cohort, stream) for stream in STREAMS}
+    rows = durable(patterns.stream_rows(wide, all_bins))
+    weighted = patterns.weighted_patterns(rows)
+    fits = lloyd.fit_all(weighted, all_bins, range(1, max(k_max, cohort.clusters) + 1), seed=seed)
+    best = lloyd.best(fits)
+    curve = lloyd.curve(weighted, [f for f in fits if f.k <= k_max])
+    placed_all = durable(lloyd.assign(rows, {s: best[s, cohort.clusters] for s in STREAMS if (s, cohort.clusters) in best}, all_bins).drop("raw_cluster"))
+    for stream, bins in all_bins.items():
         names = grid.word_names(bins, f"{stream}_w")
         words = wide.select("p_id", *[F.col(a).alias(b) for a, b in zip(names, grid.word_names(bins))])
-        placed = cluster.assign_kmeans(words, bins, cohort.clusters, seed).drop("raw_cluster")
+        placed = placed_all.filter(F.col("stream") == stream).drop("stream")
         days = grid.count_bits(grid.word_names(bins)) * F.lit(14 if stream == "active" else 1)
-        profile = durable(placed.join(words.select("p_id", days.alias("engaged_days")), "p_id").join(shared, "p_id", "left"))
+        profile = durable(placed.join(words.select("p_id", days.alias("engaged_days")), "p_id").join(_with_baseline(shared, stream), "p_id", "left"))
         members = profile.select("p_id", "cluster")
-        by_record = records.join(members.withColumnRenamed("cluster", "stratum"), "p_id").groupBy("variable", "stratum", "value").agg(F.sum("n").alias("n"))
+        spread = hot_join(records, members.withColumnRenamed("cluster", "stratum"), ["p_id"], "inner", ["variable", "value"])
+        by_record = spread.groupBy("variable", "stratum", "value").agg(F.sum("n").alias("n"))
         by_record = durable(by_record)
         rate = words.join(members, "p_id").select("cluster", F.lit(bins).alias("bins"), grid.active_bins(grid.word_names(bins), bins).alias("active"))
         results |= {
-            f"{stream}_wss": cluster.wss_curve(words, bins, k_max, seed),
+            f"{stream}_wss": curve.filter(F.col("stream") == stream).select("k", "wss"),
             f"{stream}_members": members,
             f"{stream}_bin_rate": cluster.bin_rate(rate, ["cluster"]),
             f"{stream}_comparison": _comparison(profile, by_record, numbers, factors),

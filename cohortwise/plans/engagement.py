@@ -10,6 +10,10 @@ from cohortwise.functions.calendar import bin_of, day_in_study
 from cohortwise.operators import align, cluster, grid, summary
 
 
+#: Streams whose profile takes the highest known baseline score; in the others a missing score makes it unknown.
+KNOWN_BASELINE = ("phone",)
+
+
 def bins_of(cohort: Cohort, stream: str) -> int:
     """Biweeks for the questionnaire stream, days for the passive streams."""
     return cohort.biweeks if stream == "active" else cohort.horizon

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from cohortwise.config import COHORT_1, COHORT_2, PASSIVE_TYPES, STREAM_LABELS, STREAMS, Cohort
 from cohortwise.functions import coding
 from cohortwise.functions.calendar import bin_label
+from cohortwise.functions.spread import hot_join
 from cohortwise.operators import align, cluster, compare, concordance, cox, describe, grid, lloyd, medoids, patterns, ranks, report, summary, survival
 from cohortwise.plans import engagement, retention
 from cohortwise.plans.fixtures import Fixtures
@@ -75,15 +76,25 @@ def _participants(f: Fixtures) -> DataFrame:
     return align.remove_ids(f.demographics().select("p_id"), _outside(f))
 
 
-def _surveys(f: Fixtures) -> DataFrame:
+def _scored(records: DataFrame) -> DataFrame:
     lag = F.nullif(F.col("notif_lag_s"), F.lit(summary.NO_NOTIFICATION))
-    return summary.score_surveys(f.survey().withColumn("response_lag", lag)).drop(*summary.RSES_ITEMS)
+    return summary.score_surveys(records.withColumn("response_lag", lag)).drop(*summary.RSES_ITEMS)
+
+
+def _surveys(f: Fixtures) -> DataFrame:
+    return _scored(f.survey())
 
 
 def _indexed_surveys(f: Fixtures) -> DataFrame:
     return summary.index_surveys(_surveys(f), f.enrollment(), "inner")
 
 
+def _rses_summary(f: Fixtures, cohort: Cohort) -> DataFrame:
+    """Score, response time and completion time of the RSES questionnaire."""
+    indexed = summary.index_surveys(_scored(f.rses_survey()), f.enrollment(), "inner")
+    return engagement.survey_summary(indexed, "rses", "mean", cohort.horizon)
+
+
 def _survey_summary(f: Fixtures, cohort: Cohort) -> DataFrame:
     stats = summary.survey_period_summary(
         _indexed_surveys(f),
@@ -372,6 +383,11 @@ def survey_period_summary_cohort_2(f: Fixtures) -> DataFrame:
     return present(_survey_summary(f, COHORT_2))
 
 
+@query
+def rses_period_summary(f: Fixtures) -> DataFrame:
+    return present(_rses_summary(f, COHORT_1))
+
+
 @query
 def days_in_study(f: Fixtures) -> DataFrame:
     return present(_days_in_study(f))
@@ -476,7 +492,8 @@ def _record_counts(f: Fixtures) -> DataFrame:
 
 
 def _longitudinal_counts(f: Fixtures) -> DataFrame:
-    joined = _record_counts(f).join(_clusters(f, "active").select("p_id", F.col("cluster").alias("stratum")), "p_id")
+    members = _clusters(f, "active").select("p_id", F.col("cluster").alias("stratum"))
+    joined = hot_join(durable(_record_counts(f)), members, ["p_id"], "inner", ["variable", "value"])
     return joined.groupBy("variable", "stratum", "value").agg(F.sum("n").alias("n"))
 
 
@@ -488,13 +505,19 @@ def longitudinal_by_group(f: Fixtures) -> DataFrame:
 
 def _streams(f: Fixtures) -> DataFrame:
     indexed = _indexed_surveys(f)
-    shared = ("age", "mean_phq8_score", "phq8_response_min", "phq8_total_s", "sum_phq8")
+    shared = ("age", "mean_phq8_score", "phq8_response_min", "phq8_total_s", "rses_total_s", "sum_phq8", "known_phq8")
     people = summary.star(
-        _wide_words(f), _people(f).select("p_id", "age"), _survey_summary(f, COHORT_1), summary.baseline_max(indexed, "sum_phq8")
+        _wide_words(f), _people(f).select("p_id", "age"), _survey_summary(f, COHORT_1), _rses_summary(f, COHORT_1).select("p_id", "rses_total_s"),
+        summary.baseline_max(indexed, "sum_phq8"), summary.baseline_top1(indexed, "sum_phq8").withColumnRenamed("sum_phq8", "known_phq8"),
     )
     rows = engagement.by_stream(people, COHORT_1, RULE_BINS, ("p_id", *shared))
-    total = F.col("phq8_total_s") + F.col("phq8_response_min")
-    return rows.withColumns({"cat": coding.recode("stream", STREAM_LABELS), "total_time": total}).drop("stream", "engaged")
+    return rows.withColumns(
+        {
+            "cat": coding.recode("stream", STREAM_LABELS),
+            "total_time": F.col("phq8_total_s") + F.col("rses_total_s"),
+            "sum_phq8": F.when(F.col("stream").isin(*engagement.KNOWN_BASELINE), F.col("known_phq8")).otherwise(F.col("sum_phq8")),
+        }
+    ).drop("stream", "engaged", "rses_total_s", "known_phq8")
 
 
 @query

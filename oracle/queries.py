@@ -98,7 +98,7 @@ HELPERS = {
  SELECT e.p_id, 'actual_days', coalesce(date_diff('day', e.enrollment_date, max(CAST(a.ts AS DATE))) + 1, 1)
  FROM fx_enrollment e LEFT JOIN fx_active a USING (p_id) GROUP BY e.p_id, e.enrollment_date""",
     "members_2": "SELECT DISTINCT p_id FROM study_days WHERE type = 'theoretical_max' AND value >= 660",
-    "surveys": """SELECT s.p_id, s.start_time, nullif(notif_lag_s, -1) AS response_lag, total_time_taken,
+    "surveys": """SELECT s.p_id, s.l_orderkey, s.start_time, nullif(notif_lag_s, -1) AS response_lag, total_time_taken,
  s_1 + s_2 + s_3 + s_4 + s_5 + s_6 + s_7 + s_8 AS sum_phq8,
  s_1 + (3 - s_2) + s_3 + s_4 + (3 - s_5) + (3 - s_6) + s_7 + (3 - s_8) + (3 - s_9) + s_10 AS sum_rses,
  date_diff('day', e.enrollment_date, CAST(s.start_time AS DATE)) + 1 AS days, e.enrollment_date,
@@ -124,10 +124,16 @@ HELPERS = {
  num_contact, count_ids, baseline_ids, mean_phq8_score, phq8_response_min, phq8_total_s, mean_rses_score, b.sum_phq8
  FROM clusters_active c LEFT JOIN people p ON p.p_id = c.p_id LEFT JOIN contacts_1 n ON n.p_id = c.p_id
  LEFT JOIN visit_sum v ON v.p_id = c.p_id LEFT JOIN survey_sum s ON s.p_id = c.p_id LEFT JOIN base_max b ON b.p_id = c.p_id""",
+    "rses_sum": """SELECT p_id, CASE WHEN count(*) = count(sum_rses) THEN avg(sum_rses) END AS mean_rses_score,
+ CASE WHEN count(*) = count(response_lag) THEN median(response_lag) END / 60.0 AS rses_response_min,
+ CASE WHEN count(*) = count(total_time_taken) THEN median(total_time_taken) END AS rses_total_s
+ FROM surveys WHERE days <= 301 AND l_orderkey % 3 = 1 GROUP BY p_id""",
+    "base_known": "SELECT p_id, max(sum_phq8) AS sum_phq8 FROM early WHERE sum_phq8 IS NOT NULL GROUP BY p_id",
     "streams_all": "\n UNION ALL ".join(
-        f"""SELECT '{label}' AS cat, c.p_id, c.cluster, p.age, c.engaged * {days} AS engaged_days, mean_phq8_score, phq8_response_min,
- phq8_total_s, phq8_total_s + phq8_response_min AS total_time, b.sum_phq8
- FROM clusters_{s} c LEFT JOIN people p ON p.p_id = c.p_id LEFT JOIN survey_sum s ON s.p_id = c.p_id LEFT JOIN base_max b ON b.p_id = c.p_id"""
+        f"""SELECT '{label}' AS cat, c.p_id, c.cluster, p.age, c.engaged * {days} AS engaged_days, s.mean_phq8_score, s.phq8_response_min,
+ s.phq8_total_s, s.phq8_total_s + r.rses_total_s AS total_time, b.sum_phq8
+ FROM clusters_{s} c LEFT JOIN people p ON p.p_id = c.p_id LEFT JOIN survey_sum s ON s.p_id = c.p_id
+ LEFT JOIN rses_sum r ON r.p_id = c.p_id LEFT JOIN {'base_known' if s == 'phone' else 'base_max'} b ON b.p_id = c.p_id"""
         for s, label, days in (("active", "Phone-Active", 14), ("phone", "Phone-Passive", 1), ("fitbit", "Fitbit-Passive", 1))
     ),
     "km_1": _km("labels_1", "stream"),
@@ -492,6 +498,7 @@ _TEXTS = {
  {_r('a.phq8_response_min', 'phq8_response_min')}, {_r('a.phq8_total_s', 'phq8_total_s')}, {_r('a.mean_rses_score', 'mean_rses_score')}
  FROM survey_sum a JOIN ({_survey_summary(301, 'avg')}) b USING (p_id)""",
     "survey_period_summary_cohort_2": f"SELECT p_id, {_summary_columns()} FROM ({_survey_summary(660, 'avg')})",
+    "rses_period_summary": f"SELECT p_id, {_r('mean_rses_score', 'mean_rses_score')}, {_r('rses_response_min', 'rses_response_min')}, {_r('rses_total_s', 'rses_total_s')} FROM rses_sum",
     "days_in_study": f"SELECT p_id, type, {_i('value')} FROM study_days",
     "cohort_members": """SELECT DISTINCT 'cohort_1' AS cohort, p_id FROM study_days WHERE type = 'theoretical_max' AND value >= 301
  UNION ALL SELECT 'cohort_2', p_id FROM members_2""",

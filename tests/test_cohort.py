@@ -1,5 +1,7 @@
 """The whole analysis on the benchmark tables in the roles of study tables."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,10 +38,7 @@ def test_selection_and_lists(study, tmp_path):
 
 @pytest.mark.parametrize("which", [COHORT_1, COHORT_2], ids=lambda c: c.name)
 def test_retention(study, which):
-    chosen = study
-    if which.members_only:
-        chosen = cohort.restrict(study, cohort.select_cohorts(study)["members_cohort_2"])
-    results = cohort.retention_tables(chosen, which)
+    results = cohort.retention_tables(study, which)
     assert {r.stream for r in results["curves"].collect()} == {"active", "phone", "fitbit"}
     assert results["forest"].filter("variable = 'children_cat'").count() == 6
     expected = {f"episodes_{s}" for s in which.episodes}
@@ -61,6 +60,36 @@ def test_engagement(study):
     assert results["boxplots"].count() == known.select("cat", "cluster", "variable").distinct().count() > 30
 
 
+@pytest.fixture(scope="module")
+def half(study):
+    """A cohort whose window only half of the participants could be observed for, and its members."""
+    days = align.days_in_study(study.active, study.enrollment)
+    horizon = days.filter("type = 'theoretical_max'").agg(F.percentile_approx("value", 0.5)).first()[0]
+    members = durable(align.cohort_members(days, horizon))
+    assert 0 < align.keep_ids(study.demographics, members).count() < study.demographics.count()
+    return replace(COHORT_2, horizon=horizon), members
+
+
+def test_retention_of_members_only(study, half):
+    chosen, members = half
+    got = cohort.retention_tables(study, replace(chosen, episodes={}))
+    people = align.keep_ids(study.demographics, members).count()
+    assert {r.n for r in got["curves"].groupBy("stream").agg(F.max("n_risk").alias("n")).collect()} == {people}
+    same = cohort.retention_tables(cohort.restrict(study, members), replace(chosen, episodes={}, members_only=False))
+    assert sorted(same["curves"].collect(), key=repr) == sorted(got["curves"].collect(), key=repr)
+
+
+def test_engagement_of_members_only(study, half):
+    """Members only; the phone profile ignores missing baseline scores, the others don't."""
+    chosen, members = half
+    inside = align.keep_ids(study.phq8.filter("week in (1, 2)"), members, ["start_time"])
+    gap = durable(inside.orderBy("p_id", "start_time").limit(1))
+    broken = replace(study, phq8=durable(study.phq8.unionByName(gap.withColumn("sum_phq8", F.lit(None).cast("int")).select(study.phq8.columns))))
+    streams = cohort.engagement_tables(broken, chosen, k_max=2)["streams"]
+    assert streams.count() == 3 * align.keep_ids(study.demographics, members).count()
+    assert {r.cat: r.sum_phq8 is None for r in streams.join(gap.select("p_id"), "p_id").collect()} == {"Phone-Active": True, "Phone-Passive": False, "Fitbit-Passive": True}
+
+
 def test_demographics(study):
     results = cohort.demographics_tables(study, COHORT_1)
     people = study.demographics.count()

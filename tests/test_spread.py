@@ -73,3 +73,16 @@ def test_surveys_of_a_hot_participant(spark, no_broadcast):
     expected = records.groupBy("p_id").agg(F.avg("total_time_taken").alias("m"), F.median("total_time_taken").alias("md"))
     for row in expected.collect():
         assert stats[row.p_id] == (pytest.approx(row.m), row.md)
+
+
+def test_only_hot_keys_are_repeated(spark):
+    """A third of the rows on one key makes as many parts as its rows ask for; other keys stay as they are."""
+    rows = [(7 if i % 3 == 0 else i % 500, i) for i in range(9000)] + [(None, -i) for i in range(1, 40)]
+    large = spark.createDataFrame(rows, "k int, v int")
+    small = spark.createDataFrame([(k, f"n{k}") for k in range(400)] + [(None, "none")], "k int, name string")
+    hot = {r.k: r["__parts"] for r in spread.hot_keys(large, ["k"], 20).collect()}
+    assert hot[7] > 128 and hot[None] == 2 and len(hot) == 2
+    joined = spread.hot_join(large, small, ["k"], "left", ["v"], 20)
+    assert sorted(map(repr, joined.collect())) == sorted(f"Row(k={k!r}, v={v!r}, name={(None if k is not None and k >= 400 else 'none' if k is None else f'n{k}')!r})" for k, v in rows)
+    inner = spread.hot_join(large, small, ["k"], "inner", ["v"])
+    assert inner.count() == sum(k is None or k < 400 for k, _ in rows)
