@@ -147,6 +147,43 @@ def brute_components(texts, shingle, percent):
     return out
 
 
+def test_one_row_of_each_group_stays(spark, odd):
+    """Repeated and null ids: rows are told apart by id and text."""
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    near = "one two three four five six seven eight nine"
+    rows = [(3, a), (5, a), (5, b), (None, b), (None, b), (None, "alone in the world with five words"), (7, b), (7, b), (8, None), (8, ""), (None, None), (2, near), (3, a)]
+    table = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, component int, key string, stay_id int")
+    kept = minhash.drop_near_copies(table)
+    assert kept.columns == table.columns
+    expected = [(2, near), (5, b), (None, "alone in the world with five words"), (8, None), (8, ""), (None, None)]
+    assert sorted(map(repr, map(tuple, kept.select("doc_id", "text").collect()))) == sorted(map(repr, expected))
+    nulls = spark.createDataFrame([(None, a), (None, a), (None, b)], "doc_id long, text string")
+    assert sorted(r.text for r in minhash.drop_near_copies(nulls).collect()) == sorted([a, b])
+    copies = spark.createDataFrame([(4, a, k) for k in range(5)], "doc_id long, text string, extra int")
+    assert minhash.drop_near_copies(copies).count() == 1
+    assert minhash.drop_near_copies(odd.limit(0)).count() == 0
+
+
+def test_a_large_group_is_dealt_in_small_blocks(spark, monkeypatch):
+    """1500 near copies beside 1500 plain texts: no task's group holds a tenth of the rows shipped."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*base[:k % 60], f"x{k}", *base[k % 60 :]])) for k in range(1500)]
+    rows += [(5000 + k, " ".join(f"p{k % 700}y{j}" if j else f"q{k}" for j in range(12))) for k in range(1500)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = []
+    deal = minhash._deal
+
+    def counted(members):
+        dealt = deal(members)
+        sizes.append(sorted((r["count"] for r in dealt.groupBy(*minhash._DEALT).count().collect()), reverse=True))
+        return dealt
+
+    monkeypatch.setattr(minhash, "_deal", counted)
+    got = minhash.near_duplicates(documents, minhash.NearDuplicates(2)).collect()
+    assert len({r.component_id for r in got if r.doc_id < 1500}) == 1
+    assert sizes and all(not s or s[0] <= max(2 * 1.5 * minhash._BLOCK_MEMBERS, sum(s) / 10) for s in sizes)
+
+
 @pytest.mark.parametrize("shingle", [2, 5])
 def test_near_duplicates(spark, odd, folder, shingle):
     spec = minhash.NearDuplicates(shingle)
