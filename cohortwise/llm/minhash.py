@@ -42,7 +42,7 @@ from cohortwise.llm.common import cut_lineage, whole_text
 from cohortwise.llm.components import connected_components
 from cohortwise.llm.language_model import WordTable, _mix, words
 
-_BLOCK_MEMBERS, _BLOCK_VALUES, _BUNDLE_MEMBERS, _COLUMNS = 128, 2_000_000, 256, 2048
+_BLOCK_MEMBERS, _BLOCK_VALUES, _BUNDLE_MEMBERS, _COLUMNS = 512, 2_000_000, 512, 2048
 
 
 @dataclass(frozen=True)
