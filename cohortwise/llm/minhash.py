@@ -136,18 +136,44 @@ def _lists(classes: DataFrame, spec: NearDuplicates) -> DataFrame:
     return cut_lineage(prefixes.join(different, "value"))
 
 
+_LEAST_BITS, _MOST_BITS = 1 << 16, 1 << 27
+
+
+def _marks(keys: DataFrame) -> np.ndarray:
+    """Bytes of a bitmap in which the places of all ``key`` hashes are set; about 16 bits a key, 16 MB at most.
+
+    It only keeps most other rows out: beyond its size more of them pass, and none that is wanted is ever lost.
+    """
+    wanted = keys.count()
+    bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << (16 * wanted).bit_length()))
+    place = (F.pmod(F.xxhash64("key"), F.lit(bits)) + 1).alias("place")
+    rows = keys.select(place).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
+    marks = np.zeros(bits // 8, np.uint8)
+    for row in rows.collect():  # bits / 32768 rows
+        part = np.frombuffer(row["bitmap"], np.uint8)
+        first = (row["bucket"] - 1) * len(part)
+        marks[first : first + len(part)] = part[: len(marks) - first]
+    return marks
+
+
 def _sets_of(documents: DataFrame, classes: DataFrame, spec: NearDuplicates) -> DataFrame:
-    """``(id, values)``: the full sets of the given classes, from the texts of their first documents."""
+    """``(id, values)``: the full sets of the given classes, from the texts of their first documents.
+
+    Texts are not shuffled: a bitmap of the wanted documents goes to the tasks, and only sets leave them.
+    """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
-    wanted = classes.select("id", "set_id", key)
+    wanted = cut_lineage(classes.select("id", "set_id", key))
+    marks = _marks(wanted.select("key"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable()
         for batch in batches:
-            found = [_set_of(table, t.as_py(), spec.shingle) for t in batch.column("text")]
+            place = batch.column("place").to_numpy()
+            texts = batch.column("text").filter(pa.array((marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            found = [_set_of(table, t.as_py(), spec.shingle) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["set_id", "values"])
 
-    texts = documents.select(key, "text").join(wanted.select("key").distinct(), "key", "left_semi").select("text")
+    texts = documents.select(F.pmod(F.xxhash64(key), F.lit(8 * len(marks))).alias("place"), "text")
     return texts.mapInArrow(sets, "set_id binary, values binary").join(wanted.select("id", "set_id"), "set_id").select("id", "values").dropDuplicates(["id"])
 
 

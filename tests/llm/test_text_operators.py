@@ -164,6 +164,17 @@ def test_one_row_of_each_group_stays(spark, odd):
     assert minhash.drop_near_copies(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("least, most", [(1 << 16, 1 << 27), (64, 64)])
+def test_marks_never_lose_a_wanted_document(spark, monkeypatch, least, most):
+    monkeypatch.setattr(minhash, "_LEAST_BITS", least)
+    monkeypatch.setattr(minhash, "_MOST_BITS", most)
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(3000)], "key string")
+    marks = minhash._marks(keys)
+    places = [r[0] for r in keys.select(F.pmod(F.xxhash64("key"), F.lit(8 * len(marks)))).collect()]
+    assert all(marks[p >> 3] >> (p & 7) & 1 for p in places)
+    assert np.unpackbits(marks).sum() == len(set(places))
+
+
 def test_a_large_group_is_dealt_in_small_blocks(spark, monkeypatch):
     """1500 near copies beside 1500 plain texts: no task's group holds a tenth of the rows shipped."""
     base = [f"w{i}" for i in range(60)]
