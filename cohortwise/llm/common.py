@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -46,6 +47,14 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def ascii_lowered(text: str) -> str:
+    """A-Z in lower case, all else as it stands."""
+    return text.translate(_LOWER)
+
+
 class Memo(dict):
     """A bounded memo in two generations: entries not used for a whole generation go.
 

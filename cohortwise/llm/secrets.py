@@ -1,69 +1,65 @@
 """Secret scans through a trigram inverted index.
 
-Each rule is a regular expression together with the literal alternatives that any
-match contains; from these follows a Boolean trigram query (any alternative, all
-of its trigrams). The index holds postings (trigram, document) for the trigrams
-that some rule asks for, postings are intersected per document, and only the
-candidates of a rule are verified with its expression. A rule without mandatory
-trigrams is verified on every document. Lower-cased trigrams serve rules that
-ignore case.
+For each rule a Boolean trigram query is derived from its regular expression
+(``trigrams.trigram_query``): trigrams of the lowered text that any text with a
+match holds. The index lists postings (trigram, document) of the trigrams that
+some rule asks for; the postings are intersected and united as the queries say,
+and the documents found for each rule become a bitmap of ``BITMAP`` places, a
+document's place a hash of its id and text. The bitmap (bounded: one row of a few
+numbers for 64 places) is sent to the rows, and a rule's expression verifies the
+texts whose place is set, so texts are never shuffled. Two documents in one place
+cost a needless verification and change nothing. A rule without mandatory
+trigrams is verified on every document.
 
 All work is DataFrame expressions and joins. Spans count code points, end
 exclusive; they come from the lengths of matches and of the text between them, so
 a text is scanned once per rule.
 
 Defined results: a null text counts as empty and has no spans; repeated rows get
-the same spans each; rows are looked up by (id, hash of the text), so repeated or
-null ids are no trouble; an empty table gives an empty result.
+the same spans each; repeated or null ids are no trouble, since rows are never
+looked up by them; an empty table gives an empty result; other columns may have
+any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm.common import whole_text
+from cohortwise.llm.trigrams import Query, trigram_query
 from cohortwise.llm.url_filter import lower_ascii
 
+#: Places of the bitmap of candidates: 262,144 rows of 64, at every size of the input.
+BITMAP = 1 << 24
+
 
 @dataclass(frozen=True)
 class SecretRule:
-    """A kind of secret: what to match, which matches count, and what any match contains.
-
-    ``least`` is the least length of ``group``. ``literals`` are alternatives in
-    lower case, written by hand: nothing checks them against ``pattern``, and an
-    alternative that is missing loses its matches; one without three characters in a row gives no trigram, and the
-    rule is then scanned fully.
-    """
+    """A kind of secret: what to match, and which matches count (``least`` is the least length of ``group``)."""
 
     kind: str
     pattern: str
     group: int
     least: int
-    literals: tuple[str, ...] = ()
 
-    def trigram_query(self) -> list[frozenset[str]]:
-        """Alternatives of trigram sets, or nothing where no trigram is mandatory."""
-        sets = [frozenset(t[i : i + 3] for i in range(len(t) - 2)) for t in self.literals]
-        return sets if sets and all(sets) else []
+    @cached_property
+    def query(self) -> Query:
+        return trigram_query(self.pattern)
 
 
 # The kinds every scan returns.
 BASE_RULES = (
-    SecretRule(
-        "assign",
-        r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        2,
-        6,
-        ("password", "passwd", "secret", "token", "apikey", "api_key"),
-    ),
-    SecretRule("access", r"AKIA[A-Z0-9]+", 0, 20, ("akia",)),
+    SecretRule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    SecretRule("access", r"AKIA[A-Z0-9]+", 0, 20),
     SecretRule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 
+
 def _matches(text: Column, rule: SecretRule) -> Column:
     """For each match what stands before it, the match and its group; last the rest of the text with null matches."""
     gaps = F.split(text, rule.pattern, -1)
@@ -94,43 +90,74 @@ def _without(text: Column, rule: SecretRule) -> Column:
     return F.array_join(F.transform(_matches(text, rule), shown), "")
 
 
-def postings(documents: DataFrame, rules: Sequence[SecretRule], text: str = "text") -> DataFrame:
-    """The inverted index over ``(id, text_hash)``: one row per document and trigram that some rule asks for."""
-    wanted = sorted({t for rule in rules for conjunct in rule.trigram_query() for t in conjunct})
-    lowered = documents.select("id", "text_hash", lower_ascii(F.col(text)).alias("lowered"))
-    found = F.array_compact(F.array(*[F.when(F.contains(F.col("lowered"), F.lit(t)), F.lit(t)) for t in wanted]))
-    return lowered.select("id", "text_hash", F.explode(found).alias("trigram")).distinct()
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+
+
+def _asked(rules: Sequence[SecretRule]) -> list[str]:
+    return sorted(set().union(*(rule.query.all_trigrams() for rule in rules)))
+
+
+def postings(documents: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
+    """The inverted index over ``(document, text)``: one row per document and trigram that some rule asks for."""
+    lowered = documents.select("document", lower_ascii(F.col("text")).alias("lowered"))
+    found = F.array_compact(F.array(*[F.when(F.contains("lowered", F.lit(t)), F.lit(t)) for t in _asked(rules)]).cast("array<string>"))
+    return lowered.select("document", F.explode(found).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
-    """``(id, text_hash, kinds)``: documents whose postings satisfy a rule's trigram query."""
-    present = index.groupBy("id", "text_hash").agg(F.collect_set("trigram").alias("trigrams"))  # at most the rules' trigrams
-    kinds = []
-    for rule in rules:
-        query = rule.trigram_query()
-        if query:
-            any_alternative = F.lit(False)
-            for conjunct in query:
-                needed = F.array(*[F.lit(t) for t in sorted(conjunct)])
-                any_alternative = any_alternative | (F.size(F.array_intersect("trigrams", needed)) == len(conjunct))
-            kinds.append(F.when(any_alternative, F.lit(rule.kind)))
-    return present.select("id", "text_hash", F.array_compact(F.array(*kinds)).alias("kinds")).where(F.size("kinds") > 0)
+    """``(document, kinds)``: the postings put together as each rule's query says. Counting folds on the map side."""
+    numbers = {t: n for n, t in enumerate(_asked(rules))}
+    words = range(-(-len(numbers) // 64) or 1)
+    number = F.array_position(F.array(*[F.lit(t) for t in numbers]).cast("array<string>"), F.col("trigram")) - 1
+    numbered = index.select("document", number.alias("number"))
+    mine = F.floor(F.col("number") / 64)
+    present = numbered.groupBy("document").agg(*[F.bit_or(F.when(mine == w, _bit(F.col("number") % 64)).otherwise(F.lit(0).cast("long"))).alias(f"word{w}") for w in words])
+
+    def holds(query: Query) -> Column:
+        needed = [_signed(sum(1 << numbers[t] % 64 for t in query.trigrams if numbers[t] // 64 == w)) for w in words]
+        parts = [F.col(f"word{w}").bitwiseAND(F.lit(mask)) == mask for w, mask in enumerate(needed) if mask]
+        parts += [reduce(Column.__or__, [holds(q) for q in sorted(group, key=repr)]) for group in sorted(query.choices, key=repr)]
+        return reduce(Column.__and__, parts)
+
+    kinds = [F.when(holds(rule.query), F.lit(rule.kind)) for rule in rules if rule.query]
+    return present.select("document", F.array_compact(F.array(*kinds).cast("array<string>")).alias("kinds")).where(F.size("kinds") > 0)
+
+
+def _verified_where(documents: DataFrame, rules: Sequence[SecretRule]) -> tuple[DataFrame, list[Column]]:
+    """``documents`` (with ``document`` and ``text``) and for each rule whether a row's text is to be verified."""
+    indexed = [rule for rule in rules if rule.query]
+    if not indexed:
+        return documents, [F.lit(True)] * len(rules)
+    place = F.pmod("document", F.lit(BITMAP).cast("long"))
+    found = candidates(postings(documents, indexed), indexed).select(place.alias("place"), "kinds")
+    bits = [F.bit_or(F.when(F.array_contains("kinds", rule.kind), _bit(F.col("place") % 64)).otherwise(F.lit(0).cast("long"))).alias(f"bits{n}") for n, rule in enumerate(indexed)]
+    bitmap = found.groupBy(F.floor(F.col("place") / 64).alias("word")).agg(*bits)  # at most BITMAP / 64 rows
+    marked = documents.withColumn("word", F.floor(place / 64)).join(F.broadcast(bitmap), "word", "left")
+    numbers = {rule.kind: n for n, rule in enumerate(indexed)}
+    where = [
+        F.coalesce(F.col(f"bits{numbers[rule.kind]}").bitwiseAND(_bit(place % 64)) != 0, F.lit(False)) if rule.query else F.lit(True) for rule in rules
+    ]
+    return marked, where
+
+
+def _named(documents: DataFrame, id_column: str, text_column: str, row: Column) -> DataFrame:
+    """``(row, document, text)``: columns of the table stay inside ``row``, so their names meet no others."""
+    text = whole_text(text_column)
+    identifier = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    return documents.select(row.alias("row"), F.xxhash64(identifier, text).alias("document"), text.alias("text"))
 
 
 def scan(documents: DataFrame, rules: Sequence[SecretRule] = BASE_RULES, id_column: str = "doc_id", text_column: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: its id, ``carry`` columns, and for each kind an array of ``(start, end)``."""
-    text = whole_text(text_column)
-    keyed = documents.select(F.col(id_column).alias("id"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"), *carry)
-    indexed = keyed.drop("id").withColumnRenamed("key", "id")
-    found = candidates(postings(indexed, rules), rules).withColumnRenamed("id", "key")
-    joined = keyed.join(found, ["key", "text_hash"], "left")
-    spans = []
-    for rule in rules:
-        exact = _kept_spans(F.col("text"), rule)
-        if rule.trigram_query():
-            exact = F.when(F.array_contains("kinds", rule.kind), exact)
-        spans.append(F.coalesce(exact, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias(rule.kind))
-    return joined.select(F.col("id").alias(id_column), *carry, *spans)
+    marked, where = _verified_where(_named(documents, id_column, text_column, F.struct(id_column, *carry)), rules)
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    spans = [F.when(concerned, _kept_spans(F.col("text"), rule)).otherwise(none).alias(rule.kind) for rule, concerned in zip(rules, where)]
+    return marked.select("row.*", *spans)
 
 
 def report(scanned: DataFrame, rules: Sequence[SecretRule] = BASE_RULES) -> DataFrame:
@@ -149,18 +176,16 @@ def report(scanned: DataFrame, rules: Sequence[SecretRule] = BASE_RULES) -> Data
 def masked(documents: DataFrame, rules: Sequence[SecretRule] = BASE_RULES) -> DataFrame:
     """The documents with each secret replaced by its kind in brackets; columns unchanged, ``n_chars`` follows the text.
 
-    Rules are applied one after the other to what the earlier ones left.
+    Rules are applied one after the other to what the earlier ones left. A rule is asked about texts whose trigrams in the
+    table admit it: what is in brackets holds no secret of its own. A null text stays null.
     """
-    names = documents.columns
-    text = whole_text()
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = documents.select("*", key.alias("__key"), F.xxhash64(text).alias("__hash"))
-    found = candidates(postings(keyed.select(F.col("__key").alias("id"), F.col("__hash").alias("text_hash"), text.alias("text")), rules), rules)
-    joined = keyed.join(found.select(F.col("id").alias("__key"), F.col("text_hash").alias("__hash"), F.col("kinds").alias("__kinds")), ["__key", "__hash"], "left")
-    for rule in rules:
-        concerned = F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False)) if rule.trigram_query() else F.lit(True)
-        joined = joined.withColumn("text", F.when(concerned & F.col("text").rlike(rule.pattern), _without(F.col("text"), rule)).otherwise(F.col("text")))
-    if "n_chars" in names:
-        kind = documents.schema["n_chars"].dataType
-        joined = joined.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
-    return joined.select(*names)
+    marked, where = _verified_where(_named(documents, "doc_id", "text", F.struct("*")), rules)
+    text = F.col("text")
+    flagged = marked.select("row", "text", *[concerned.alias(f"where{n}") for n, concerned in enumerate(where)])
+    for n, rule in enumerate(rules):
+        flagged = flagged.withColumn("text", F.when(F.col(f"where{n}") & text.rlike(rule.pattern), _without(text, rule)).otherwise(text))
+    shown = {name: F.col("row").getField(name) for name in documents.columns}
+    shown["text"] = F.when(shown["text"].isNotNull(), text)
+    if "n_chars" in shown:
+        shown["n_chars"] = F.coalesce(F.length(shown["text"]).cast(documents.schema["n_chars"].dataType), shown["n_chars"])
+    return flagged.select(*[column.alias(name) for name, column in shown.items()])
