@@ -120,19 +120,20 @@ def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def comparison_report(
-    continuous: DataFrame, categorical: DataFrame, tests: DataFrame, sections: Sequence[tuple[str, Sequence[str]]]
+    continuous: DataFrame, categorical: DataFrame, tests: DataFrame, sections: Sequence[tuple[str, Sequence[str]]], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Stacked text table: one row per variable, level and stratum in named sections.
+    """Stacked text table: one row per variable, level and stratum in named sections, for each level of ``by``.
 
-    Continuous rows read "median [q1, q3]", categorical rows "n (pct)".
+    Continuous rows read "median [q1, q3]" (no text where no value is known), categorical rows "n (pct)".
+    A test that cannot be made has no text.
     """
     def number(name: str, digits: int = 2):
-        return F.format_string(f"%.{digits}f", F.bround(F.col(name), digits))
+        return F.when(F.col(name).isNotNull(), F.format_string(f"%.{digits}f", F.bround(F.col(name), digits)))
 
     spread = F.concat(number("median"), F.lit(" ["), number("q1"), F.lit(", "), number("q3"), F.lit("]"))
     share = F.concat(F.col("n").cast("string"), F.lit(" ("), number("pct", 1), F.lit(")"))
-    rows = continuous.select("variable", F.lit(None).cast("string").alias("level"), "stratum", spread.alias("text")).unionByName(
-        categorical.select("variable", "level", "stratum", share.alias("text"))
+    rows = continuous.select(*by, "variable", F.lit(None).cast("string").alias("level"), "stratum", spread.alias("text")).unionByName(
+        categorical.select(*by, "variable", "level", "stratum", share.alias("text"))
     )
     section, order, place = None, None, 0
     for name, variables in sections:
@@ -143,5 +144,5 @@ def comparison_report(
             order = F.when(test, F.lit(place)) if order is None else order.when(test, F.lit(place))
     p_text = F.when(F.col("p") < 0.001, F.lit("<0.001")).otherwise(number("p", 3)).alias("p_text")
     placed = rows.withColumns({"section": section, "ord": order}).filter(F.col("section").isNotNull())
-    joined = null_safe_join(placed, tests.select("variable", "p"), ["variable"], "left")
-    return joined.select("section", "ord", "variable", "level", "stratum", "text", p_text)
+    joined = null_safe_join(placed, tests.select(*by, "variable", "p"), [*by, "variable"], "left")
+    return joined.select(*by, "section", "ord", "variable", "level", "stratum", "text", p_text)

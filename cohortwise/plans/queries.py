@@ -135,10 +135,6 @@ def _wide_words(f: Fixtures, cohort: Cohort = COHORT_1) -> DataFrame:
     return engagement.all_stream_words(f.active(), f.passive(), enrollment, participants, cohort)
 
 
-def _clusters(f: Fixtures, stream: str) -> DataFrame:
-    return cluster.rule_clusters(_words(f, stream), engagement.bins_of(COHORT_1, stream), RULE_BINS)
-
-
 def _labels(f: Fixtures, cohort: Cohort, base: DataFrame | None = None) -> DataFrame:
     enrollment = f.enrollment()
     start = enrollment.select("p_id", "enrollment_date") if base is None else base
@@ -166,16 +162,31 @@ def _cohort_table(f: Fixtures, cohort: Cohort = COHORT_1) -> DataFrame:
     return retention.model_covariates(table.withColumn("marry_align", coding.recode("marry_align", MARRY)))
 
 
-def _profile(f: Fixtures, stream: str = "active") -> DataFrame:
+def _profiles(f: Fixtures) -> DataFrame:
+    """One row per participant and stream with the cluster in that stream and all per-participant summaries, from one pass over the events."""
     indexed = _indexed_surveys(f)
-    return engagement.cluster_profile(
-        _clusters(f, stream),
+    shared = summary.star(
+        _wide_words(f),
         _people(f),
         summary.contact_count(f.contacts(), f.enrollment(), COHORT_1.horizon),
         summary.visit_summary(f.visits(), f.enrollment(), COHORT_1.horizon),
         _survey_summary(f, COHORT_1),
-        summary.baseline_max(indexed, "sum_phq8"),
+        summary.baseline_max(indexed, "sum_phq8").select("p_id", "sum_phq8"),
+        summary.baseline_top1(indexed, "sum_phq8").select("p_id", F.col("sum_phq8").alias("known_phq8")),
     )
+    own = [c for c in (*PROFILE_NUMBERS, *PROFILE_FACTORS) if c != "engaged"]
+    rows = engagement.by_stream(shared, COHORT_1, RULE_BINS, ("p_id", *own, "known_phq8"))
+    known = F.col("stream").isin(*engagement.KNOWN_BASELINE)
+    return rows.withColumn("sum_phq8", F.when(known, F.col("known_phq8")).otherwise(F.col("sum_phq8"))).drop("known_phq8")
+
+
+def _marked(long: DataFrame, name: str = "variable") -> DataFrame:
+    """The stream as part of ``name``, for operators that keep apart by one column."""
+    return long.withColumn(name, F.concat_ws("/", "stream", name)).drop("stream")
+
+
+def _unmarked(table: DataFrame, name: str = "variable") -> DataFrame:
+    return table.withColumns({"stream": F.substring_index(name, "/", 1), name: F.substring_index(name, "/", -1)})
 
 
 def _fit(f: Fixtures) -> cox.CoxFit:
@@ -420,7 +431,13 @@ def activity_grid_biweek(f: Fixtures) -> DataFrame:
 
 @query
 def activity_grid_daily(f: Fixtures) -> DataFrame:
-    return present(grid.activity_grid(_words(f, "phone"), COHORT_1.horizon))
+    """Days of both passive streams, from one pass over the events."""
+    wide = _wide_words(f)
+    cells = []
+    for stream in ("phone", "fitbit"):
+        words = zip(grid.word_names(COHORT_1.horizon, f"{stream}_w"), grid.word_names(COHORT_1.horizon))
+        cells.append(F.struct(F.lit(stream).alias("stream"), *[F.col(theirs).alias(plain) for theirs, plain in words]))
+    return present(grid.activity_grid(wide.select("p_id", F.inline(F.array(*cells))), COHORT_1.horizon, ("p_id", "stream")))
 
 
 def _activity_vector(f: Fixtures, cohort: Cohort) -> DataFrame:
@@ -459,8 +476,8 @@ def bin_labels(f: Fixtures) -> DataFrame:
 @query
 def cluster_profile(f: Fixtures) -> DataFrame:
     return present(
-        _profile(f).select(
-            "p_id", "cluster", "age", "sex", "site", "engaged", "num_contact", "count_ids", "baseline_ids", "mean_phq8_score",
+        _profiles(f).select(
+            "stream", "p_id", "cluster", "age", "sex", "site", "engaged", "num_contact", "count_ids", "baseline_ids", "mean_phq8_score",
             "phq8_response_min", "phq8_total_s", "mean_rses_score", F.col("sum_phq8").alias("baseline_phq8"),
         )
     )
@@ -492,15 +509,16 @@ def _record_counts(f: Fixtures) -> DataFrame:
 
 
 def _longitudinal_counts(f: Fixtures) -> DataFrame:
-    members = _clusters(f, "active").select("p_id", F.col("cluster").alias("stratum"))
+    """Value counts of the records of each cluster, the stream as part of the variable."""
+    members = engagement.by_stream(_wide_words(f), COHORT_1, RULE_BINS).select("p_id", "stream", F.col("cluster").alias("stratum"))
     joined = hot_join(durable(_record_counts(f)), members, ["p_id"], "inner", ["variable", "value"])
-    return joined.groupBy("variable", "stratum", "value").agg(F.sum("n").alias("n"))
+    return _marked(joined).groupBy("variable", "stratum", "value").agg(F.sum("n").alias("n"))
 
 
 @query
 def longitudinal_by_group(f: Fixtures) -> DataFrame:
-    table = compare.quantile_table(durable(_longitudinal_counts(f)))
-    return present(table.select(F.col("stratum").alias("cluster"), "variable", "n", "n_missing", "q1", "median", "q3"))
+    table = _unmarked(compare.quantile_table(durable(_longitudinal_counts(f))))
+    return present(table.select("stream", F.col("stratum").alias("cluster"), "variable", "n", "n_missing", "q1", "median", "q3"))
 
 
 def _streams(f: Fixtures) -> DataFrame:
@@ -621,15 +639,24 @@ PROFILE_NUMBERS = ["age", "engaged", "num_contact", "count_ids", "baseline_ids",
 PROFILE_FACTORS = ["sex", "site", "employment", "phone_brand", "phone_status", "comorb", "marry_align"]
 
 
+def _profile_counts(profiles: DataFrame) -> DataFrame:
+    """Value counts of the profile numbers of each cluster, the stream as part of the variable."""
+    long = describe.melt(profiles.withColumnRenamed("cluster", "stratum"), ["stream", "stratum"], PROFILE_NUMBERS)
+    return ranks.value_counts(_marked(long), ["variable", "stratum"])
+
+
+def _profile_categories(profiles: DataFrame) -> DataFrame:
+    return _unmarked(compare.table_one_categorical(_marked(profiles, "cluster"), PROFILE_FACTORS, "cluster"), "stratum")
+
+
 @query
 def table_one_continuous(f: Fixtures) -> DataFrame:
-    return present(compare.table_one_continuous(_profile(f), PROFILE_NUMBERS, "cluster"))
+    return present(_unmarked(compare.quantile_table(durable(_profile_counts(_profiles(f))))))
 
 
 @query
 def table_one_categorical(f: Fixtures) -> DataFrame:
-    profile = summary.star(_clusters(f, "active"), _people(f))
-    return present(compare.table_one_categorical(profile, PROFILE_FACTORS, "cluster"))
+    return present(_profile_categories(engagement.by_stream(summary.star(_wide_words(f), _people(f)), COHORT_1, RULE_BINS, ("p_id", *PROFILE_FACTORS))))
 
 
 @query
@@ -707,28 +734,22 @@ def numeric_summary(f: Fixtures) -> DataFrame:
 
 @query
 def comparison_report(f: Fixtures) -> DataFrame:
-    profile = durable(_profile(f))
-    counts = durable(ranks.value_counts(describe.melt(profile.withColumnRenamed("cluster", "stratum"), ["stratum"], PROFILE_NUMBERS), ["variable", "stratum"]))
-    names = {"sum_phq8": "record_phq8", "sum_rses": "record_rses", "ids_score": "record_ids"}
-    records = durable(_longitudinal_counts(f).withColumn("variable", coding.recode("variable", names)))
-    numbers, renamed = compare.quantile_table(counts), compare.quantile_table(records)
-    tests, record_tests = (
-        compare.kruskal_from_counts(part.filter(F.col("value").isNotNull()), "stratum").select("variable", "p") for part in (counts, records)
-    )
-    categories = compare.table_one_categorical(profile, PROFILE_FACTORS, "cluster")
-    cells = categories.select("variable", "level", "stratum", "n")
-    level_tests = compare.chi_square(cells, ["variable"], "level", "stratum").select("variable", "p")
+    """The cluster comparison of every stream as one stacked text table."""
+    profiles = durable(_profiles(f))
+    names = {f"{s}/{old}": f"{s}/{new}" for s in STREAMS for old, new in {"sum_phq8": "record_phq8", "sum_rses": "record_rses", "ids_score": "record_ids"}.items()}
+    records = _longitudinal_counts(f).withColumn("variable", coding.recode("variable", names))
+    counts = durable(_profile_counts(profiles).unionByName(records))
+    numbers = _unmarked(compare.quantile_table(counts))
+    tests = _unmarked(compare.kruskal_from_counts(counts.filter(F.col("value").isNotNull()), "stratum")).select("stream", "variable", "p")
+    categories = _profile_categories(profiles)
+    level_tests = compare.chi_square(categories, ["stream", "variable"], "level", "stratum").select("stream", "variable", "p")
     sections = [
         ("participants", ["age", *PROFILE_FACTORS, "num_contact", "engaged"]),
         ("depression", ["sum_phq8", "mean_phq8_score", "record_phq8", "response_lag_min", "total_time_taken"]),
         ("self-esteem", ["mean_rses_score", "record_rses"]),
         ("clinical", ["baseline_ids", "count_ids", "record_ids"]),
     ]
-    return present(
-        compare.comparison_report(
-            numbers.unionByName(renamed), categories, tests.unionByName(record_tests).unionByName(level_tests), sections
-        )
-    )
+    return present(compare.comparison_report(numbers, categories, tests.unionByName(level_tests), sections, ["stream"]))
 
 
 # Survival ------------------------------------------------------------------------------

@@ -120,10 +120,14 @@ HELPERS = {
     "bins_phone": _day_bins("Passive_phone"),
     "bins_fitbit": _day_bins("Passive_Fitbit"),
     **{f"clusters_{s}": _clusters(s) for s in STREAMS},
-    "profile": """SELECT c.p_id, c.cluster, c.engaged, p.age, p.sex, p.site, p.employment, p.phone_brand, p.phone_status, p.comorb, p.marry_align,
+    "profile": "\n UNION ALL ".join(
+        f"""SELECT '{s}' AS stream, c.p_id, c.cluster, c.engaged, p.age, p.sex, p.site, p.employment, p.phone_brand, p.phone_status, p.comorb, p.marry_align,
  num_contact, count_ids, baseline_ids, mean_phq8_score, phq8_response_min, phq8_total_s, mean_rses_score, b.sum_phq8
- FROM clusters_active c LEFT JOIN people p ON p.p_id = c.p_id LEFT JOIN contacts_1 n ON n.p_id = c.p_id
- LEFT JOIN visit_sum v ON v.p_id = c.p_id LEFT JOIN survey_sum s ON s.p_id = c.p_id LEFT JOIN base_max b ON b.p_id = c.p_id""",
+ FROM clusters_{s} c LEFT JOIN people p ON p.p_id = c.p_id LEFT JOIN contacts_1 n ON n.p_id = c.p_id
+ LEFT JOIN visit_sum v ON v.p_id = c.p_id LEFT JOIN survey_sum s ON s.p_id = c.p_id LEFT JOIN {'base_known' if s == 'phone' else 'base_max'} b ON b.p_id = c.p_id"""
+        for s in STREAMS
+    ),
+    "placed": " UNION ALL ".join(f"SELECT '{s}' AS stream, p_id, cluster FROM clusters_{s}" for s in STREAMS),
     "rses_sum": """SELECT p_id, CASE WHEN count(*) = count(sum_rses) THEN avg(sum_rses) END AS mean_rses_score,
  CASE WHEN count(*) = count(response_lag) THEN median(response_lag) END / 60.0 AS rses_response_min,
  CASE WHEN count(*) = count(total_time_taken) THEN median(total_time_taken) END AS rses_total_s
@@ -210,11 +214,47 @@ def _quartiles(source: str, keys: str) -> str:
  FROM ({source}) GROUP BY {keys}"""
 
 
-def _categorical(source: str, stratum: str, columns: list[str]) -> str:
-    long = _unpivot(source, f"{stratum} AS stratum", columns, "VARCHAR")
-    return f"""SELECT variable, value AS level, stratum, CAST(count(*) AS BIGINT) AS n,
- round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY variable, stratum), 6) AS pct
- FROM ({long}) WHERE value IS NOT NULL GROUP BY variable, value, stratum"""
+def _categorical(source: str, stratum: str, columns: list[str], by: str = "") -> str:
+    long = _unpivot(source, f"{by}{stratum} AS stratum", columns, "VARCHAR")
+    return f"""SELECT {by}variable, value AS level, stratum, CAST(count(*) AS BIGINT) AS n,
+ round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY {by}variable, stratum), 6) AS pct
+ FROM ({long}) WHERE value IS NOT NULL GROUP BY {by}variable, value, stratum"""
+
+
+def _tail(statistic: str, df: str) -> str:
+    """Upper tail of the chi-square distribution by the series of the incomplete gamma function; nothing is left beyond 400."""
+    terms = f"[exp(({df} / 2.0 + n) * ln({statistic} / 2) - {statistic} / 2 - lgamma({df} / 2.0 + n + 1)) FOR n IN range(0, 600)]"
+    return f"CASE WHEN {statistic} > 400 THEN 0.0 WHEN {statistic} <= 0 THEN 1.0 ELSE 1.0 - list_sum({terms}) END"
+
+
+def _report() -> str:
+    """Medians, levels and tests of the profile and of the records, each worked out on single rows."""
+    names = "CASE variable WHEN 'sum_phq8' THEN 'record_phq8' WHEN 'sum_rses' THEN 'record_rses' WHEN 'ids_score' THEN 'record_ids' ELSE variable END"
+    numbers = f"{_unpivot('profile', 'stream, cluster AS stratum', _NUMBERS, 'DOUBLE')} UNION ALL SELECT stream, cluster, {names}, value FROM records JOIN placed USING (p_id)"
+    ranked = """SELECT stream, variable, stratum, CAST(count(*) OVER v AS DOUBLE) AS total, CAST(count(*) OVER (PARTITION BY stream, variable, value) AS DOUBLE) AS tied,
+   rank() OVER (PARTITION BY stream, variable ORDER BY value) + (count(*) OVER (PARTITION BY stream, variable, value) - 1) / 2.0 AS rank
+   FROM numbers WHERE value IS NOT NULL WINDOW v AS (PARTITION BY stream, variable)"""
+    places = {v: (section, i + 1) for i, (section, v) in enumerate((section, v) for section, variables in _SECTIONS for v in variables)}
+    listed = ", ".join(f"('{v}', '{section}', {i})" for v, (section, i) in places.items())
+    return f"""WITH numbers(stream, stratum, variable, value) AS ({numbers}),
+  quartiles AS (SELECT stream, variable, stratum, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM numbers GROUP BY ALL),
+  sums AS (SELECT stream, variable, stratum, sum(rank) AS r, count(*) AS n, any_value(total) AS total, sum(tied * tied - 1) AS ties FROM ({ranked}) GROUP BY ALL),
+  kruskal AS (SELECT stream, variable, count(*) - 1 AS df,
+   (12.0 / (any_value(total) * (any_value(total) + 1)) * sum(r * r / n) - 3.0 * (any_value(total) + 1)) / nullif(1.0 - sum(ties) / nullif(pow(any_value(total), 3) - any_value(total), 0), 0) AS h
+   FROM sums GROUP BY stream, variable),
+  levels AS (SELECT stream, variable, level, stratum, n, pct FROM ({_categorical('profile', 'cluster', _FACTORS, 'stream, ')})),
+  rows_ AS (SELECT stream, variable, level, sum(n) AS n FROM levels GROUP BY ALL),
+  columns_ AS (SELECT stream, variable, stratum, sum(n) AS n FROM levels GROUP BY ALL),
+  expected AS (SELECT r.stream, r.variable, r.level, c.stratum, CAST(r.n AS DOUBLE) * c.n / sum(r.n) OVER (PARTITION BY r.stream, r.variable, c.stratum) AS e
+   FROM rows_ r JOIN columns_ c ON c.stream = r.stream AND c.variable = r.variable),
+  chi AS (SELECT stream, variable, (count(DISTINCT level) - 1) * (count(DISTINCT stratum) - 1) AS df, sum(pow(coalesce(n, 0) - e, 2) / e) AS h
+   FROM expected LEFT JOIN levels USING (stream, variable, level, stratum) GROUP BY stream, variable),
+  tests AS (SELECT stream, variable, {_tail('h', 'df')} AS p FROM (SELECT * FROM kruskal UNION ALL SELECT * FROM chi)),
+  texts AS (SELECT stream, variable, NULL AS level, stratum,
+    printf('%.2f', round_even(q2, 2)) || ' [' || printf('%.2f', round_even(q1, 2)) || ', ' || printf('%.2f', round_even(q3, 2)) || ']' AS text FROM quartiles
+   UNION ALL SELECT stream, variable, level, stratum, CAST(n AS VARCHAR) || ' (' || printf('%.1f', round_even(pct, 1)) || ')' FROM levels)
+  SELECT stream, section, CAST(ord AS BIGINT) AS ord, variable, level, stratum, text, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', round_even(p, 3)) END AS p_text
+  FROM texts JOIN (VALUES {listed}) o(variable, section, ord) USING (variable) LEFT JOIN tests USING (stream, variable)"""
 
 
 _KRUSKAL_SOURCE = " UNION ALL ".join(
@@ -284,6 +324,12 @@ _LEVEL_SOURCE = " UNION ALL ".join(
 )
 _NUMBERS = ["age", "engaged", "num_contact", "count_ids", "baseline_ids", "mean_phq8_score", "phq8_response_min", "phq8_total_s", "mean_rses_score", "sum_phq8"]
 _FACTORS = ["sex", "site", "employment", "phone_brand", "phone_status", "comorb", "marry_align"]
+_SECTIONS = [
+    ("participants", ["age", *_FACTORS, "num_contact", "engaged"]),
+    ("depression", ["sum_phq8", "mean_phq8_score", "record_phq8", "response_lag_min", "total_time_taken"]),
+    ("self-esteem", ["mean_rses_score", "record_rses"]),
+    ("clinical", ["baseline_ids", "count_ids", "record_ids"]),
+]
 _PEOPLE_NULLS = ["p_id", "age", "sex", "site", "phone_brand", "employment", "comorb_sum", "comorb", "phone_status", "enrollment_date", "withdrawal_date"]
 
 
@@ -507,7 +553,7 @@ _TEXTS = {
     "quantile_compare": """SELECT type, CAST(5 * i AS DOUBLE) AS quantile, round(quantile_cont(value, [x / 20.0 FOR x IN range(0, 21)])[i + 1], 6) AS value
  FROM study_days, (SELECT unnest(range(0, 21)) AS i) GROUP BY type, i""",
     "activity_grid_biweek": _grid("bins_active", 22),
-    "activity_grid_daily": _grid("bins_phone", 301),
+    "activity_grid_daily": " UNION ALL ".join(f"SELECT '{s}' AS stream, * FROM ({_grid(f'bins_{s}', 301)})" for s in ("phone", "fitbit")),
     "activity_vector": _vector(301, 22, ""),
     "activity_vector_cohort_2": _vector(660, 48, "WHERE p_id IN (SELECT p_id FROM members_2)"),
     "activity_pivot": "SELECT p.p_id, "
@@ -519,7 +565,7 @@ _TEXTS = {
     ),
     "bin_labels": """SELECT CAST(bin - 1 AS BIGINT) AS bin, CASE WHEN (bin - 1) % 14 = 0 THEN CAST(((bin - 1) // 14) * 2 + 1 AS VARCHAR) ELSE '' END AS label,
  CAST(count(DISTINCT p_id) AS BIGINT) AS n_active FROM bins_phone GROUP BY bin""",
-    "cluster_profile": f"""SELECT p_id, cluster, age, sex, site, {_i('engaged', 'num_contact', 'count_ids', 'baseline_ids')},
+    "cluster_profile": f"""SELECT stream, p_id, cluster, age, sex, site, {_i('engaged', 'num_contact', 'count_ids', 'baseline_ids')},
  {_summary_columns()}, CAST(sum_phq8 AS BIGINT) AS baseline_phq8 FROM profile""",
     "cluster_bin_rate": " UNION ALL ".join(
         f"""SELECT '{s}' AS stream, z.cluster, CAST(g.bin AS BIGINT) AS bin, CAST(z.n AS BIGINT) AS n, round(coalesce(h.hits, 0) / CAST(z.n AS DOUBLE), 6) AS active_rate
@@ -528,15 +574,16 @@ _TEXTS = {
  ON h.cluster = z.cluster AND h.bin = g.bin"""
         for s in STREAMS
     ),
-    "longitudinal_by_group": _quartiles("SELECT cluster, variable, value FROM records JOIN clusters_active USING (p_id)", "cluster, variable"),
+    "longitudinal_by_group": _quartiles("SELECT stream, cluster, variable, value FROM records JOIN placed USING (p_id)", "stream, cluster, variable"),
     "cluster_union_streams": f"""SELECT cat, p_id, cluster, age, {_i('engaged_days')}, {_r('mean_phq8_score', 'mean_phq8_score')},
  {_r('phq8_response_min', 'phq8_response_min')}, {_r('phq8_total_s', 'phq8_total_s')}, {_r('total_time', 'total_time')},
  CAST(sum_phq8 AS BIGINT) AS baseline_phq8 FROM streams_all""",
     "cluster_extremes": " UNION ALL ".join(
         f"SELECT p_id, cluster || '_{s}' AS cluster, CAST(engaged AS BIGINT) AS engaged FROM clusters_{s} WHERE cluster IN ('C1', 'C4')" for s in STREAMS
     ),
-    "table_one_continuous": _quartiles(_unpivot("profile", "cluster AS stratum", _NUMBERS, "DOUBLE"), "variable, stratum"),
-    "table_one_categorical": _categorical("profile", "cluster", _FACTORS),
+    "table_one_continuous": _quartiles(_unpivot("profile", "stream, cluster AS stratum", _NUMBERS, "DOUBLE"), "stream, variable, stratum"),
+    "table_one_categorical": _categorical("profile", "cluster", _FACTORS, "stream, "),
+    "comparison_report": f"SELECT * FROM ({_report()})",
     "table_one_site": _quartiles(_unpivot("people", "site AS stratum", ["age", "edu_age_align", "comorb_sum"], "DOUBLE"), "variable, stratum"),
     "table_one_overall": _categorical("people", "'Overall'", _FACTORS),
     "kruskal_wallis": _KRUSKAL,
