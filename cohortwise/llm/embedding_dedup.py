@@ -10,8 +10,10 @@ precision.
 Equal vectors form one class first; copies are counted, not compared. The upper
 levels are made by Spark: a cell with more than ``cell_rows`` classes is divided
 among a few of its own vectors, again and again, and pairs of cells are followed
-down with the same bounds. The lower levels are cover trees with halving radii
-inside tasks that hold one pair of cells each. So no task depends on the size of a
+down with the same bounds: a pair that lies within reach altogether is accepted
+there, by the numbers and one name of each cell, and none of its vectors is sent
+on. The lower levels are cover trees with halving radii inside tasks that hold one
+pair of the other cells each. So no task depends on the size of a
 label. A task returns the number of links of each class and only as many links as
 join its classes.
 
@@ -33,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortwise.functions.spread import hot_join
 from cohortwise.llm.common import cut_lineage
 from cohortwise.llm.components import connected_components
 
@@ -211,16 +214,36 @@ def _divide(members: DataFrame, sizes: DataFrame, cell_rows: int) -> tuple[DataF
         k = (away + jitter).argmin(1)
         return pa.table({"id": rows["id"], "weight": rows["weight"], "vector": rows["vector"], "parent": rows["cell"], "k": pa.array(k + 1, pa.int32()), "away": pa.array(away[np.arange(len(k)), k])})
 
-    schema = "id long, weight long, vector array<float>, parent string, k int, away double"
+    schema = f"id long, weight long, vector {members.schema['vector'].dataType.simpleString()}, parent string, k int, away double"
     dealt = chunked.groupBy("cell", "chunk").cogroup(copied.groupBy("parent_cell", "copy")).applyInArrow(nearest, schema)
     dealt = cut_lineage(dealt.withColumn("cell", F.concat_ws("/", "parent", "k")))
     cells = dealt.groupBy("parent", "k", "cell").agg(F.max("away").alias("radius")).join(pivots.select(F.col("parent_cell").alias("parent"), "k", _unit(F.col("pivot")).alias("centre")), ["parent", "k"])
     return dealt.select("id", "weight", "vector", "cell"), cells.select("parent", "cell", "centre", "radius")
 
 
-def _cells(members: DataFrame, threshold: float, cell_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Members in cells of bounded size, and the pairs of cells that may hold links."""
-    reach = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + _SLACK
+_FOUND = "a long, b long, n long"
+
+
+def _accepted(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows ``(a, b, n)`` as of ``_links`` for pairs of cells all of whose members are linked.
+
+    A member gains the weight of the cells its own is paired with; one link for each pair and one for each member join them.
+    """
+    totals = members.groupBy("cell").agg(F.sum("weight").alias("whole"), F.min("id").alias("name"))
+    sides = pairs.unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    gains = sides.join(totals.withColumnRenamed("cell", "b"), "b").groupBy(F.col("a").alias("cell")).agg(F.sum("whole").alias("gained"), F.max(F.col("a") == F.col("b")).alias("own"))
+    gaining = hot_join(members.select("id", "weight", "cell"), gains.join(totals.select("cell", "name"), "cell"), ["cell"], "inner", ["id"])
+    counted = gaining.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("gained") - F.when(F.col("own"), F.col("weight")).otherwise(0)).alias("n"))
+    none = F.lit(None).cast("long").alias("n")
+    one, other = (totals.select(F.col("cell").alias(side), F.col("name").alias(f"name_{side}")) for side in "ab")
+    between = pairs.where("a <> b").join(one, "a").join(other, "b").select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), none)
+    return counted.unionByName(gaining.where("id <> name").select(F.col("id").alias("a"), F.col("name").alias("b"), none)).unionByName(between)
+
+
+def _cells(members: DataFrame, threshold: float, cell_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members in cells of bounded size, the pairs of cells that may hold links, and ``(a, b, n)`` of those that hold nothing else."""
+    wide = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
+    reach, accepted = wide + _SLACK, members.sparkSession.createDataFrame([], _FOUND)
     pairs = None
     known = None  # centre and radius of the cells so far; undivided labels need none
     while True:
@@ -228,8 +251,10 @@ def _cells(members: DataFrame, threshold: float, cell_rows: int) -> tuple[DataFr
         if pairs is None:
             pairs = sizes.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
             known = sizes.select("cell", F.lit(None).cast("array<double>").alias("centre"), F.lit(None).cast("double").alias("radius"))
+        open_cells = pairs.select(F.col("a").alias("cell")).union(pairs.select("b")).distinct()
+        sizes = sizes.join(open_cells, "cell", "left_semi")
         if sizes.where(F.col("n") > cell_rows).isEmpty():
-            return members, pairs
+            return members, pairs, accepted
         inside, cells = _divide(members, sizes, cell_rows)
         divided = cells.select(F.col("parent").alias("cell")).distinct()
         members = cut_lineage(members.join(divided, "cell", "left_anti").select("id", "weight", "vector", "cell").unionByName(inside))
@@ -238,8 +263,11 @@ def _cells(members: DataFrame, threshold: float, cell_rows: int) -> tuple[DataFr
         one, other = (below.select(F.col("parent").alias(s), F.col("cell").alias(f"cell_{s}"), F.col("centre").alias(f"centre_{s}"), F.col("radius").alias(f"radius_{s}")) for s in "ab")
         away = F.sqrt(F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
         near = F.coalesce(away <= F.col("radius_a") + F.col("radius_b") + reach, F.lit(True))
+        inside = F.coalesce(away + F.col("radius_a") + F.col("radius_b") <= wide - _SLACK, F.lit(False))
         ordered = (F.col("a") != F.col("b")) | (F.col("cell_a") <= F.col("cell_b"))
-        pairs = cut_lineage(pairs.join(one, "a").join(other, "b").where(ordered & near).select(F.col("cell_a").alias("a"), F.col("cell_b").alias("b")))
+        followed = cut_lineage(pairs.join(one, "a").join(other, "b").where(ordered & near).select(F.col("cell_a").alias("a"), F.col("cell_b").alias("b"), inside.alias("inside")))
+        accepted = accepted.unionByName(cut_lineage(_accepted(members, followed.where("inside").drop("inside"))))
+        pairs = followed.where("not inside").drop("inside")
         known = below.drop("parent")
 
 
@@ -271,12 +299,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, cell_rows: int = 4
     """``(vec_id, n_links, component_id, kept)`` for every vector."""
     if not 0.5 < threshold <= 1:
         raise ValueError("the threshold lies above 0.5 and is at most 1")
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).cast("array<float>").alias("vector"))
+    kind = "array<float>" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(label_column).cast("string").alias("label"), F.col(vector_column).cast(kind).alias("vector"))
     usable = F.col("label").isNotNull() & _usable(F.col("vector"))
     classes = cut_lineage(rows.where(usable).groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")))
     classes = classes.withColumn("id", F.monotonically_increasing_id())  # stable: the rows lie in files now
-    members, pairs = _cells(classes.select("id", "weight", "vector", F.concat_ws("|", F.size("vector").cast("string"), "label").alias("cell")), threshold, cell_rows)
-    found = cut_lineage(_links(members, pairs, threshold))
+    members, pairs, accepted = _cells(classes.select("id", "weight", "vector", F.concat_ws("|", F.size("vector").cast("string"), "label").alias("cell")), threshold, cell_rows)
+    found = cut_lineage(_links(members, pairs, threshold).unionByName(accepted))
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     components = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")
     named = classes.join(components, "id", "left").join(counts, "id", "left").withColumn("component", F.coalesce("component", "id"))
