@@ -9,7 +9,7 @@ explicit allow before a block. Pages that nothing decides are allowed.
 
 Targets are resolved against the url of their page, or against its base element
 where it has one; ``.`` and ``..`` segments of relative targets are resolved, and
-urls that stand whole keep them. ``&amp;`` stands for ``&``.
+urls that stand whole keep them.
 
 All work is DataFrame expressions and joins.
 
@@ -130,26 +130,51 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.get(F.filter(fitting, lambda x: x["length"] == longest), F.lit(0))
 
 
-_TAG = r"(?is)<(?:link|meta)\b[^>]*>"
-_CANONICAL = r"""(?is)(?<![\w-])rel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))"""
-_BASE = r"(?is)<base\s(?:[^>]*\s)?href\s*=\s*[\"']?\s*([^\"'\s>]+)"
-_REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh[\"']?"
+# what holds no elements of the page: comments, scripts and styles, up to the end where they are not closed
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_IN_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_TAG = rf"(?i)<(?:link|meta)\b{_IN_TAG}"
+_BASE_TAG = rf"(?i)<base\b{_IN_TAG}"
+_ATTRIBUTE = r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_WORTH_READING = r"(?i)<link\b|<meta\b"
+_PIECES = r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});?|&amp;?|[^&]+|&"
 
 
-def _with_ampersands(text: Column) -> Column:
-    return F.regexp_replace(text, "(?i)&(?:amp|#38|#x26);", "&")
+def _without_references(text: Column) -> Column:
+    """Numeric character references and ``&amp;`` as the characters they stand for."""
+
+    def shown(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"(?i)&#x?([0-9a-f]+)", 1)
+        code = F.when(piece.rlike("(?i)^&#x"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        character = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.when(piece.rlike("^&#"), character).when(piece.rlike("(?i)^&amp"), "&").otherwise(piece)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), shown), "")).otherwise(text)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of the tag's first attribute of that name, null where it has none."""
+    names, values = (F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(group)) for group in (1, 2))
+    value = F.get(values, (F.array_position(F.transform(names, lower_ascii), name) - 1).cast("int"))
+    return F.trim(_without_references(F.regexp_replace(value, r"""\A["']|["']\z""", "")))
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(source, target)`` nodes of canonical links and refresh redirects."""
-    linked = pages.where(F.col(url).isNotNull() & F.col(html).rlike(f"{_CANONICAL}|{_REFRESH}"))
+    """``(source, target)`` nodes of canonical links and refresh redirects.
+
+    Tags in comments, scripts and styles are none; a ``>`` inside quotes ends no tag; references in values are decoded.
+    """
+    linked = pages.where(F.col(url).isNotNull() & F.col(html).rlike(_WORTH_READING) & F.col(html).rlike("(?i)canonical|refresh"))
+    shown = linked.select(F.col(url).alias("page"), F.regexp_replace(html, _HIDDEN, " ").alias("shown"))
     based = resolved(
-        linked.select(F.col(url).alias("page"), _with_ampersands(F.regexp_extract(html, _BASE, 1)).alias("base"), F.regexp_extract_all(F.col(html), F.lit(_TAG), F.lit(0)).alias("tags")), "base", "page"
+        shown.select("page", _attribute(F.regexp_extract("shown", _BASE_TAG, 0), "href").alias("base"), F.regexp_extract_all("shown", F.lit(_TAG), F.lit(0)).alias("tags")), "base", "page"
     )
-    tags = based.select("page", F.coalesce("base", "page").alias("base"), F.explode("tags").alias("tag")).withColumn("tag", _with_ampersands(F.col("tag")))
-    canonical = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", r"(?is)(?<![\w-])href\s*=\s*[\"']?\s*([^\"'\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1))
-    found = tags.select("page", "base", F.coalesce(canonical, refresh).alias("target")).where("target <> ''")
+    tags = based.select("page", F.coalesce("base", "page").alias("base"), F.explode("tags").alias("tag"))
+    read = tags.select("page", "base", *[_attribute(F.col("tag"), name).alias(name.replace("-", "_")) for name in ("rel", "href", "http-equiv", "content")])
+    canonical = F.when(F.array_contains(F.split(lower_ascii(F.col("rel")), r"\s+"), "canonical"), F.col("href"))
+    refresh = F.when(lower_ascii(F.col("http_equiv")) == "refresh", F.regexp_extract("content", r"(?i)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1))
+    found = read.select("page", "base", F.coalesce(canonical, refresh).alias("target")).where("target <> ''")
     edges = resolved(found, "target", "base").select(node_of(F.col("page")).alias("source"), node_of(F.col("target")).alias("target"))
     # written, so that filters on the nodes are not pushed down as copies of all steps
     return cut_lineage(edges).where("source is not null and target is not null")
@@ -174,6 +199,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], redirects: DataFrame | None =
         F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"),
         node_of(F.col("url")).alias("node"),
     ).withColumn("own", fitting_rule(F.col("host"), F.col("path"), rules))
-    return judged.join(aliases, "node", "left").select(
+    # no node holds a line feed: pages without a node are dealt out by their id and meet nobody
+    dealt = judged.withColumn("node", F.coalesce("node", F.concat(F.lit("\n"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+    return dealt.join(aliases, "node", "left").select(
         "page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "alias_verdict", F.lit("allow")).alias("verdict"), "component"
     )
