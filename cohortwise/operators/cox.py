@@ -30,6 +30,9 @@ from cohortwise.operators.survival import Z_95, ByStratum, Factor, Term, term_na
 from cohortwise.sources.durable import durable
 
 
+_ROWS_OUT = 64
+
+
 def _exp(x: float) -> float:
     """Infinity where the ratio is beyond a double, as under separation."""
     return math.exp(x) if x < 709.0 else math.inf
@@ -46,6 +49,10 @@ class _Layout:
         self.block = 1 + self.width + len(self.upper[0])
         self.size = 2 + self.width + 2 * self.block
 
+    def weighted(self, z: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sums of the weights, of the weighted columns and of their products, the products as one matrix product."""
+        return np.concatenate([[weight.sum()], weight @ z, ((z * weight[:, None]).T @ z)[self.upper]])
+
     def unpack(self, packed: np.ndarray) -> dict[str, np.ndarray]:
         p, q = self.width, self.block
         risk, tied = packed[:, 2 + p : 2 + p + q], packed[:, 2 + p + q :]
@@ -89,7 +96,7 @@ class _State:
 
 
 def _fold_partition(states: dict[str, tuple], width: int):
-    """Partition function: rows to packed sums per (model, stratum, time)."""
+    """Partition function: rows to packed sums per (model, stratum, time); no table of rows by products is built."""
     layout = _Layout(width)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,25 +109,27 @@ def _fold_partition(states: dict[str, tuple], width: int):
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
             for model, index in keys.groupby("model").indices.items():
                 center, scale, beta = states[model]
-                z = (x[index] - center) / scale
-                weight = np.exp(z @ beta)
-                block = np.hstack([np.ones((len(z), 1)), z, z[:, layout.upper[0]] * z[:, layout.upper[1]]]) * weight[:, None]
-                died = event[index]
-                packed = np.hstack([np.ones((len(z), 1)), died[:, None], z * died[:, None], block, block * died[:, None]])
                 groups = keys.iloc[index].groupby(["stratum", "time"]).ngroup().to_numpy()
                 order = np.argsort(groups, kind="stable")
-                starts = np.flatnonzero(np.r_[True, np.diff(groups[order]) != 0])
-                folded = np.add.reduceat(packed[order], starts, axis=0)
-                firsts = keys.iloc[index[order[starts]]]
-                for row, stratum, time in zip(folded, firsts["stratum"], firsts["time"]):
+                index, groups = index[order], groups[order]
+                starts = np.flatnonzero(np.r_[True, np.diff(groups) != 0])
+                firsts = keys.iloc[index[starts]]
+                for at, stratum, time in zip(np.split(index, starts[1:]), firsts["stratum"], firsts["time"]):
+                    z = (x[at] - center) / scale
+                    weight, died = np.exp(z @ beta), event[at]
+                    row = np.concatenate([[len(z), died.sum()], died @ z, layout.weighted(z, weight), layout.weighted(z, weight * died)])
                     key = (model, stratum, int(time))
-                    sums[key] = sums[key] + row if key in sums else row
-        if sums:
-            models, strata, times = zip(*sums)
-            values = np.stack(list(sums.values()))
-            offsets = np.arange(0, values.size + 1, layout.size, dtype=np.int32)
+                    if key in sums:
+                        sums[key] += row
+                    else:
+                        sums[key] = row
+        held = list(sums.items())
+        for first in range(0, len(held), _ROWS_OUT):
+            keys, values = zip(*held[first : first + _ROWS_OUT])
+            models, strata, times = zip(*keys)
+            offsets = np.arange(0, len(values) * layout.size + 1, layout.size, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(models), pa.array(strata), pa.array(times, pa.int32()), pa.ListArray.from_arrays(offsets, values.ravel())],
+                [pa.array(models), pa.array(strata), pa.array(times, pa.int32()), pa.ListArray.from_arrays(offsets, np.concatenate(values))],
                 names=["model", "stratum", "time", "packed"],
             )
 
