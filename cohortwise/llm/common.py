@@ -67,14 +67,21 @@ class Memo(dict):
         self._compute, self._bound, self._old = compute, bound, {}
 
     def __missing__(self, key):
-        self.ensure([key])
-        return self[key]
-
-    def ensure(self, keys: Iterable) -> None:
-        """Make ``self[key]`` a plain look-up for all ``keys`` until the next call."""
+        self._turn()
+        value = self._old.get(key)
+        if value is None:
+            (value,) = self._compute([key])
+        self[key] = value
+        return value
+
+    def _turn(self) -> None:
         if len(self) >= self._bound:
             self._old = dict(self)
             self.clear()
+
+    def ensure(self, keys: Iterable) -> None:
+        """Make ``self[key]`` a plain look-up for all ``keys`` until the next call."""
+        self._turn()
         missing = []
         for key in keys:
             if key not in self:

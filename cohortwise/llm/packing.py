@@ -75,7 +75,8 @@ class UnitEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._letters = byte_alphabet()
+        self._tokenize = self._tokenizer.model.tokenize
+        self._letters = dict(enumerate(byte_alphabet()))
         self._piece = Memo(lambda pieces: map(self._piece_ids, pieces))
         self._spaced = Memo(self._unit_ids, 500_000)
 
@@ -84,13 +85,15 @@ class UnitEncoder:
         return [array("I", x.ids).tobytes() for x in found]
 
     def _piece_ids(self, piece: str) -> bytes:
-        word = "".join([self._letters[b] for b in piece.encode()])
-        return array("I", [t.id for t in self._tokenizer.model.tokenize(word)]).tobytes()
+        word = piece.encode().decode("latin-1").translate(self._letters)  # one character for each byte
+        return array("I", [t.id for t in self._tokenize(word)]).tobytes()
 
     def _unit_ids(self, units: list[str]) -> list[bytes]:
         piece, out, rest = self._piece, [], []
         for unit in units:
-            if not _ORDINARY(unit):
+            if unit.isascii() and unit.isalpha():
+                out.append(piece[" " + unit])
+            elif not _ORDINARY(unit):
                 rest.append(len(out))
                 out.append(b"")
             elif unit.isalpha():
