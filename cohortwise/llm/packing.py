@@ -66,10 +66,10 @@ class UnitEncoder:
     space-separated units; units repeat, and their ids are remembered. Units of
     ordinary characters are cut into pieces as the pre-tokenizer does, and the
     library's merge model encodes a piece once; all others go through the whole
-    tokenizer.
+    tokenizer. ``remembered`` bounds each of two generations of remembered units.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = 500_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -77,8 +77,8 @@ class UnitEncoder:
         self._tokenizer.no_padding()
         self._tokenize = self._tokenizer.model.tokenize
         self._letters = dict(enumerate(byte_alphabet()))
-        self._piece = Memo(lambda pieces: map(self._piece_ids, pieces))
-        self._spaced = Memo(self._unit_ids, 500_000)
+        self._piece = Memo(lambda pieces: map(self._piece_ids, pieces), remembered // 5)
+        self._spaced = Memo(self._unit_ids, remembered)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -89,17 +89,17 @@ class UnitEncoder:
         return array("I", [t.id for t in self._tokenize(word)]).tobytes()
 
     def _unit_ids(self, units: list[str]) -> list[bytes]:
-        piece, out, rest = self._piece, [], []
+        piece, known, out, rest = self._piece, self._spaced.get, [], []
         for unit in units:
             if unit.isascii() and unit.isalpha():
-                out.append(piece[" " + unit])
+                out.append(self._piece_ids(" " + unit))  # asked for once: the unit's own entry is the memo
             elif not _ORDINARY(unit):
                 rest.append(len(out))
                 out.append(b"")
             elif unit.isalpha():
-                out.append(piece[" " + unit])
+                out.append(self._piece_ids(" " + unit))
             elif unit[:-1].isalpha() and unit[-1] in ",.":
-                out.append(piece[" " + unit[:-1]] + piece[unit[-1]])
+                out.append((known(unit[:-1]) or piece[" " + unit[:-1]]) + piece[unit[-1]])
             else:
                 out.append(b"".join([piece[x] for x in _PIECES(" " + unit)]))
         for at, ids in zip(rest, self._ids([" " + units[at] for at in rest])):
@@ -141,9 +141,9 @@ class UnitEncoder:
 
 
 @lru_cache(maxsize=1)
-def unit_encoder(path: str) -> UnitEncoder:
+def unit_encoder(path: str, remembered: int) -> UnitEncoder:
     """The encoder of this Python worker; later tasks find its memo filled."""
-    return UnitEncoder(path)
+    return UnitEncoder(path, remembered)
 
 
 def assign(lengths: list[int], spec: Packing) -> list[tuple[int, int, int, int, int]]:
@@ -170,17 +170,18 @@ def assign(lengths: list[int], spec: Packing) -> list[tuple[int, int, int, int,
     return pieces
 
 
-def pack(documents: DataFrame, tokenizer_path: str, spec: Packing = Packing(), id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, spec: Packing = Packing(), id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, remembered: int = 500_000) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, and a checksum of its ids.
 
     ``with_ids`` adds the ids themselves (``ids array<int>``). ``sequence_id`` is unique over the whole result.
+    ``remembered`` is the encoder's bound: fewer units take less memory and more time, the ids are the same.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     columns = [(name, pa.list_(pa.int32()) if kind == "array<int>" else pa.int64()) for name, kind in (x.split() for x in schema.split(", "))]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, closing = unit_encoder(tokenizer_path), np.asarray([spec.closing_id], dtype="<u4").tobytes()
+        encode, closing = unit_encoder(tokenizer_path, remembered), np.asarray([spec.closing_id], dtype="<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
         held, names, texts = 0, [], []
 
