@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import cut_lineage, whole_text
+from cohortwise.llm.common import cut_lineage, memory_returned, whole_text
 from cohortwise.llm.components import connected_components
 from cohortwise.llm.language_model import WordTable, _mix, words
 
@@ -92,6 +92,7 @@ def _fingerprint(values: np.ndarray) -> bytes:
 def _sketches(documents: DataFrame, spec: NearDuplicates) -> DataFrame:
     """``(doc_id, key, n, set_id, sketch)`` of every document ``(doc_id, key, text)``."""
 
+    @memory_returned
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable()
         for batch in batches:
@@ -165,6 +166,7 @@ def _sets_of(documents: DataFrame, classes: DataFrame, spec: NearDuplicates) ->
     wanted = cut_lineage(classes.select("id", "set_id", key))
     marks = _marks(wanted.select("key"))
 
+    @memory_returned
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordTable()
         for batch in batches:
@@ -184,6 +186,7 @@ def _array(x: pa.Scalar) -> np.ndarray:
 def _verified(pairs: DataFrame, sets: DataFrame, spec: NearDuplicates) -> DataFrame:
     """Those pairs ``(a, b)`` that are similar."""
 
+    @memory_returned
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.llm.bpe import byte_alphabet
-from cohortwise.llm.common import Memo, whole_text
+from cohortwise.llm.common import Memo, memory_returned, whole_text
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -170,18 +170,19 @@ def assign(lengths: list[int], spec: Packing) -> list[tuple[int, int, int, int,
     return pieces
 
 
-def pack(documents: DataFrame, tokenizer_path: str, spec: Packing = Packing(), id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, remembered: int = 500_000) -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str, spec: Packing = Packing(), id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, remembered: int = 500_000, lasting: bool = True) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, and a checksum of its ids.
 
     ``with_ids`` adds the ids themselves (``ids array<int>``). ``sequence_id`` is unique over the whole result.
     ``remembered`` is the encoder's bound: fewer units take less memory and more time, the ids are the same.
+    The encoder stays in the worker for later tasks; unless ``lasting`` it goes with its task, and its memory to the system.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     columns = [(name, pa.list_(pa.int32()) if kind == "array<int>" else pa.int64()) for name, kind in (x.split() for x in schema.split(", "))]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, closing = unit_encoder(tokenizer_path, remembered), np.asarray([spec.closing_id], dtype="<u4").tobytes()
+        encode, closing = (unit_encoder if lasting else UnitEncoder)(tokenizer_path, remembered), np.asarray([spec.closing_id], dtype="<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
         held, names, texts = 0, [], []
 
@@ -209,4 +210,4 @@ def pack(documents: DataFrame, tokenizer_path: str, spec: Packing = Packing(), i
             yield window()
 
     narrow = documents.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return narrow.mapInArrow(packed, schema)
+    return narrow.mapInArrow(packed if lasting else memory_returned(packed), schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import Memo, whole_text
+from cohortwise.llm.common import Memo, memory_returned, whole_text
 
 GOOD, BAD, NONE = 1, 0, 2
 
@@ -236,6 +236,7 @@ def fit(documents: DataFrame, sample_rows: int = 3000, id_column: str = "doc_id"
     """Label model from the votes on all documents, scorer from a hashed sample of about ``sample_rows`` of them."""
     narrow = documents.select(whole_text(text_column).alias("text"), F.xxhash64(F.col(id_column), whole_text(text_column)).alias("h"))
 
+    @memory_returned
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_vote(Statistics.of(t.as_py())) for t in batch.column("text")], pa.string())], names=["votes"])
@@ -247,6 +248,7 @@ def fit(documents: DataFrame, sample_rows: int = 3000, id_column: str = "doc_id"
     counts = np.array([row["count"] for row in counted], dtype=float)
     label_model = LabelModel.fit(patterns, counts)
 
+    @memory_returned
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _word_slots()
         for batch in batches:
@@ -272,6 +274,7 @@ def score(documents: DataFrame, model: QualityModel, threshold: float = 0.5, id_
     """``(doc_id, votes, quality_score, kept)`` for every document."""
     weights, bias = model.weights, model.bias
 
+    @memory_returned
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _word_slots()
         for batch in batches:
@@ -292,6 +295,7 @@ def keep_good(documents: DataFrame, model: QualityModel, threshold: float = 0.5)
     """The documents that the scorer accepts, columns unchanged."""
     weights, bias = model.weights, model.bias
 
+    @memory_returned
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _word_slots()
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortwise.llm import exact_dedup, minhash, packing, quality, secrets
 from cohortwise.llm.common import shared_folder
 
-#: The workers also hold what other stages left, so the last one remembers fewer units than packing alone does.
+#: The workers serve all stages, so the last one remembers fewer units than packing alone does, and each encoder goes with its task.
 REMEMBERED_UNITS = 100_000
 
 
@@ -43,7 +43,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens, with their token ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, remembered=REMEMBERED_UNITS)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, remembered=REMEMBERED_UNITS, lasting=False)
 
 
 STAGES = [
